@@ -74,6 +74,12 @@ CTES = {
              union all select * from time_anomaly union all select * from value_mismatch)""",
         ("serial_returner", "wardrobing", "time_anomaly", "value_mismatch"),
     ),
+    "event_counts": (
+        """select event_id as return_id, count(*) over (partition by user_id order by ts
+             range between interval 90 days preceding and interval 1 microsecond preceding) as n
+           from events where event_type = 'error'""",
+        (),
+    ),
     "cleaned": (
         """select return_id, order_item_id, customer_id, return_date,
              case lower(trim(return_reason))
@@ -473,6 +479,23 @@ ORACLES: dict[str, str] = {
     "signal_time_anomaly": _with("select * from time_anomaly", "time_anomaly"),
     "signal_value_mismatch": _with("select * from value_mismatch", "value_mismatch"),
     "all_signals": _with("select * from signals", "signals"),
+    "trailing_return_count_events": _with("select return_id, n as trailing_returns from event_counts", "event_counts"),
+    "all_signals_events": _with(
+        """select return_id, 'serial_returner' as signal_type, case when n > 10 then 'high' else 'medium' end as severity,
+             round(least(1.0, cast(n as double) / 15), 6) as score,
+             concat('{"returns_in_window":', n, ',"window_days":90}') as evidence, 'rules_v1' as model_version
+           from event_counts where n > 5
+           union all
+           select event_id, 'time_anomaly', 'low', 0.35,
+             concat('{"return_date":"', rtrim(rtrim(strftime(ts, '%Y-%m-%d %H:%M:%S.%f'), '0'), '.'), '"}'), 'rules_v1'
+           from events where event_type = 'error' and hour(ts) in (23, 0, 1, 2, 3)""",
+        "event_counts",
+    ),
+    "all_signals_since": _with(
+        """select s.* from signals s join returns r on r.return_id = s.return_id
+           where r.return_date >= timestamp '1998-02-01 00:00:00'""",
+        "signals", "returns",
+    ),
     # model
     "training_frame": _with(
         """select return_id, fraud_flagged as label, cast(refund_amount as double) as refund_amount, cast(restocking_fee as double) as restocking_fee,

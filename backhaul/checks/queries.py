@@ -367,6 +367,35 @@ def all_signals(w):
     return comparable(found, {"score": SIX})
 
 
+def _error_events(w: SampleWarehouse) -> DataFrame:
+    """A second, denser set of returns: error events, with their user as customer."""
+    return w.raw("events").where("event_type = 'error'").select(
+        F.col("event_id").alias("return_id"),
+        F.col("user_id").alias("customer_id"),
+        F.col("ts").alias("return_date"),
+    )
+
+
+@query
+def trailing_return_count_events(w):
+    return with_trailing_count(_error_events(w)).select("return_id", "trailing_returns")
+
+
+@query
+def all_signals_events(w):
+    """Rules that need prices or purchase dates find no such columns and stay silent."""
+    return comparable(rules.compute_all_signals(_error_events(w)), {"score": SIX})
+
+
+@query
+def all_signals_since(w):
+    """Signals of recent returns only, against the whole history."""
+    returns = w.table("returns")
+    recent = returns.where("return_date >= timestamp '1998-02-01 00:00:00'")
+    found = signals.all_signals(recent, *facts(w, "order_items", "orders"), history=returns)
+    return comparable(found, {"score": SIX})
+
+
 # --- model -----------------------------------------------------------------------------------
 
 

@@ -25,11 +25,13 @@ def upsert(
 ) -> int:
     """Merge a batch into a table of `old`, write the result to `new`; rows submitted.
 
-    Fails on unknown tables and on null keys before anything is written.
+    The batch is staged first, so its files are parsed once and its row order is settled.
+    Fails on unknown tables and on null keys before the table is written.
     """
     table = schemas.TABLES.get(name)
     if table is None or not table.updated:
         raise ValueError(f"No upsert rule for table '{name}'")
+    batch = written(batch, f"{name}-batch")
     submitted, null_keys = batch.agg(
         F.count("*"), F.count_if(F.col(table.key).isNull())
     ).first()
@@ -60,10 +62,20 @@ def run_etl(
     return {name: upsert(old, new, name, batch, loaded_at) for name, batch in batches.items()}
 
 
-def compute_signals(store: Warehouse, created_at: datetime | None = None) -> None:
-    """Run every rule over the warehouse's returns and append the signals to its log."""
+def compute_signals(
+    store: Warehouse, created_at: datetime | None = None, since: datetime | None = None
+) -> None:
+    """Run every rule over the warehouse's returns and append the signals to its log.
+
+    With `since`, only returns loaded from then on are examined, against the full history of
+    their customers: what an hourly run needs.
+    """
     configure(store.spark)
-    signals = all_signals(store.table("returns"), store.table("order_items"), store.table("orders"))
+    returns = store.table("returns")
+    fresh = returns
+    if since is not None:
+        fresh = returns.where(F.col("created_at") >= F.lit(since.isoformat()).cast("timestamp_ntz"))
+    signals = all_signals(fresh, store.table("order_items"), store.table("orders"), history=returns)
     store.append_signals(signal_log(signals, created_at))
 
 

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
 from backhaul.operators.trailing import trailing_counts
 
@@ -29,8 +29,14 @@ NIGHT_SCORE = 0.35
 MISMATCH_SCORE = 0.95
 MODEL_VERSION = "rules_v1"
 
-SIGNAL_SCHEMA = StructType.fromDDL(
-    "return_id BIGINT, signal_type STRING, severity STRING, score DOUBLE, evidence STRING"
+SIGNAL_SCHEMA = StructType(
+    [
+        StructField("return_id", LongType()),
+        StructField("signal_type", StringType()),
+        StructField("severity", StringType()),
+        StructField("score", DoubleType()),
+        StructField("evidence", StringType()),
+    ]
 )
 
 

@@ -29,10 +29,19 @@ def signal_input(returns: DataFrame, order_items: DataFrame, orders: DataFrame)
     )
 
 
-def all_signals(returns: DataFrame, order_items: DataFrame, orders: DataFrame) -> DataFrame:
-    """Every signal of every return. Histories are counted over the bare returns table, so the
-    joins of the input run once."""
-    return compute_all_signals(signal_input(returns, order_items, orders), history=returns)
+def all_signals(
+    returns: DataFrame, order_items: DataFrame, orders: DataFrame, history: DataFrame | None = None
+) -> DataFrame:
+    """Every signal of every given return.
+
+    Trailing counts are taken over the bare `history` (default: the given returns), so the joins
+    of the input run once. A longer history is cut to the customers at hand.
+    """
+    if history is None:
+        history = returns
+    elif history is not returns:
+        history = history.join(returns.select("customer_id").distinct(), "customer_id", "left_semi")
+    return compute_all_signals(signal_input(returns, order_items, orders), history=history)
 
 
 def signal_log(signals: DataFrame, created_at: datetime | Column | None = None) -> DataFrame:

@@ -4,7 +4,34 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql.types import StructType
+from pyspark.sql.types import (
+    BooleanType,
+    DataType,
+    DecimalType,
+    IntegerType,
+    LongType,
+    StringType,
+    StructField,
+    StructType,
+    TimestampNTZType,
+)
+
+BIGINT = LongType()
+INT = IntegerType()
+TEXT = StringType()
+BOOLEAN = BooleanType()
+TIMESTAMP = TimestampNTZType()
+TOTAL = DecimalType(12, 2)
+MONEY = DecimalType(10, 2)
+SCORE = DecimalType(4, 3)
+
+
+def required(name: str, kind: DataType) -> StructField:
+    return StructField(name, kind, nullable=False)
+
+
+def optional(name: str, kind: DataType) -> StructField:
+    return StructField(name, kind)
 
 
 @dataclass(frozen=True)
@@ -61,13 +88,15 @@ SEVERITIES = ("low", "medium", "high")
 # Columns, types, nullability, defaults and references of the six tables.
 CUSTOMERS = Table(
     name="customers",
-    schema=StructType.fromDDL(
-        """customer_id BIGINT NOT NULL,
-           email STRING,
-           segment STRING NOT NULL,
-           created_at TIMESTAMP_NTZ NOT NULL,
-           lifetime_value DECIMAL(12,2),
-           risk_score DECIMAL(4,3)"""
+    schema=StructType(
+        [
+            required("customer_id", BIGINT),
+            optional("email", TEXT),
+            required("segment", TEXT),
+            required("created_at", TIMESTAMP),
+            optional("lifetime_value", TOTAL),
+            optional("risk_score", SCORE),
+        ]
     ),
     key="customer_id",
     updated=("email", "segment", "lifetime_value", "risk_score"),
@@ -78,13 +107,15 @@ CUSTOMERS = Table(
 
 PRODUCTS = Table(
     name="products",
-    schema=StructType.fromDDL(
-        """product_id BIGINT NOT NULL,
-           sku STRING NOT NULL,
-           category STRING NOT NULL,
-           subcategory STRING,
-           unit_price DECIMAL(10,2) NOT NULL,
-           return_window_days INT"""
+    schema=StructType(
+        [
+            required("product_id", BIGINT),
+            required("sku", TEXT),
+            required("category", TEXT),
+            optional("subcategory", TEXT),
+            required("unit_price", MONEY),
+            optional("return_window_days", INT),
+        ]
     ),
     key="product_id",
     updated=("sku", "category", "subcategory", "unit_price", "return_window_days"),
@@ -95,13 +126,15 @@ PRODUCTS = Table(
 
 ORDERS = Table(
     name="orders",
-    schema=StructType.fromDDL(
-        """order_id BIGINT NOT NULL,
-           customer_id BIGINT NOT NULL,
-           order_date TIMESTAMP_NTZ NOT NULL,
-           channel STRING NOT NULL,
-           total_amount DECIMAL(12,2) NOT NULL,
-           shipping_postal_code STRING"""
+    schema=StructType(
+        [
+            required("order_id", BIGINT),
+            required("customer_id", BIGINT),
+            required("order_date", TIMESTAMP),
+            required("channel", TEXT),
+            required("total_amount", TOTAL),
+            optional("shipping_postal_code", TEXT),
+        ]
     ),
     key="order_id",
     updated=("customer_id", "order_date", "channel", "total_amount", "shipping_postal_code"),
@@ -111,13 +144,15 @@ ORDERS = Table(
 
 ORDER_ITEMS = Table(
     name="order_items",
-    schema=StructType.fromDDL(
-        """order_item_id BIGINT NOT NULL,
-           order_id BIGINT NOT NULL,
-           product_id BIGINT NOT NULL,
-           quantity INT NOT NULL,
-           unit_price DECIMAL(10,2) NOT NULL,
-           discount_amount DECIMAL(10,2)"""
+    schema=StructType(
+        [
+            required("order_item_id", BIGINT),
+            required("order_id", BIGINT),
+            required("product_id", BIGINT),
+            required("quantity", INT),
+            required("unit_price", MONEY),
+            optional("discount_amount", MONEY),
+        ]
     ),
     key="order_item_id",
     updated=("order_id", "product_id", "quantity", "unit_price", "discount_amount"),
@@ -127,23 +162,25 @@ ORDER_ITEMS = Table(
 
 RETURNS = Table(
     name="returns",
-    schema=StructType.fromDDL(
-        """return_id BIGINT NOT NULL,
-           order_item_id BIGINT NOT NULL,
-           customer_id BIGINT NOT NULL,
-           return_date TIMESTAMP_NTZ NOT NULL,
-           return_reason STRING NOT NULL,
-           return_channel STRING NOT NULL,
-           condition_received STRING,
-           disposition STRING,
-           refund_amount DECIMAL(10,2) NOT NULL,
-           restocking_fee DECIMAL(10,2),
-           processing_cost DECIMAL(10,2),
-           recovered_value DECIMAL(10,2),
-           cycle_time_hours INT,
-           fraud_flagged BOOLEAN,
-           fraud_score DECIMAL(4,3),
-           created_at TIMESTAMP_NTZ NOT NULL"""
+    schema=StructType(
+        [
+            required("return_id", BIGINT),
+            required("order_item_id", BIGINT),
+            required("customer_id", BIGINT),
+            required("return_date", TIMESTAMP),
+            required("return_reason", TEXT),
+            required("return_channel", TEXT),
+            optional("condition_received", TEXT),
+            optional("disposition", TEXT),
+            required("refund_amount", MONEY),
+            optional("restocking_fee", MONEY),
+            optional("processing_cost", MONEY),
+            optional("recovered_value", MONEY),
+            optional("cycle_time_hours", INT),
+            optional("fraud_flagged", BOOLEAN),
+            optional("fraud_score", SCORE),
+            required("created_at", TIMESTAMP),
+        ]
     ),
     key="return_id",
     updated=(
@@ -181,15 +218,17 @@ RETURNS = Table(
 
 FRAUD_SIGNALS = Table(
     name="fraud_signals",
-    schema=StructType.fromDDL(
-        """signal_id BIGINT NOT NULL,
-           return_id BIGINT NOT NULL,
-           signal_type STRING NOT NULL,
-           severity STRING NOT NULL,
-           score DECIMAL(4,3) NOT NULL,
-           evidence STRING,
-           model_version STRING,
-           created_at TIMESTAMP_NTZ NOT NULL"""
+    schema=StructType(
+        [
+            required("signal_id", BIGINT),
+            required("return_id", BIGINT),
+            required("signal_type", TEXT),
+            required("severity", TEXT),
+            required("score", SCORE),
+            optional("evidence", TEXT),
+            optional("model_version", TEXT),
+            required("created_at", TIMESTAMP),
+        ]
     ),
     key="signal_id",
     defaults={"created_at": NOW},

@@ -6,9 +6,10 @@ two steps on its customer's timeline: +1 at t and -1 at t + days. The running su
 strictly before t is the count.
 
 A customer may hold a third of all returns, so no task may hold a whole timeline. Steps at one
-instant are summed before the shuffle, timelines are cut into hours, and each hour starts from
-the total of the hours before it. One task then sees at most the distinct instants of one
-customer-hour, or one row per hour of one customer's history.
+instant are summed before the shuffle, timelines are cut into minutes, and each minute starts
+from the total of the minutes before it. The calendar then bounds both windows, whatever the
+number of returns: one sees at most the microseconds of a minute, the other the minutes of one
+customer's history, and both stream over their rows.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 from backhaul.functions import micros
 from backhaul.functions.time import DAY_MICROS
 
-HOUR_MICROS = DAY_MICROS // 24
+MINUTE_MICROS = 60_000_000
 
 
 def trailing_counts(returns: DataFrame, days: int = 90) -> DataFrame:
@@ -37,32 +38,32 @@ def trailing_counts(returns: DataFrame, days: int = 90) -> DataFrame:
                 )
             ),
         )
-        .withColumn("hour", at - F.pmod(at, F.lit(HOUR_MICROS)))
-        .groupBy("customer_id", "hour", "at")
+        .withColumn("minute", at - F.pmod(at, F.lit(MINUTE_MICROS)))
+        .groupBy("customer_id", "minute", "at")
         .agg(F.sum("enters").alias("entering"), F.sum(1 - F.col("enters")).alias("leaving"))
     )
 
     change = F.col("entering") - F.col("leaving")
-    earlier_hours = (
+    earlier_minutes = (
         Window.partitionBy("customer_id")
-        .orderBy("hour")
+        .orderBy("minute")
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     opening = (
-        steps.groupBy("customer_id", "hour")
+        steps.groupBy("customer_id", "minute")
         .agg(F.sum(change).alias("change"))
-        .withColumn("change", F.sum("change").over(earlier_hours))
+        .withColumn("change", F.sum("change").over(earlier_minutes))
         .where("change <> 0")
-        .select("customer_id", "hour", (F.col("hour") - 1).alias("at"), "change", F.lit(0).alias("entering"))
+        .select("customer_id", "minute", (F.col("minute") - 1).alias("at"), "change", F.lit(0).alias("entering"))
     )
 
     earlier_steps = (
-        Window.partitionBy("customer_id", "hour")
+        Window.partitionBy("customer_id", "minute")
         .orderBy("at")
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     return (
-        steps.select("customer_id", "hour", "at", change.alias("change"), "entering")
+        steps.select("customer_id", "minute", "at", change.alias("change"), "entering")
         .unionByName(opening)
         .withColumn("trailing_returns", F.coalesce(F.sum("change").over(earlier_steps), F.lit(0)))
         .where("entering > 0")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from backhaul.functions import days_between
+from backhaul.operators.joins import join_per_key
 from backhaul.operators.rules import compute_all_signals
 from backhaul.operators.upsert import conform
 from backhaul.schemas import FRAUD_SIGNALS
@@ -40,7 +41,8 @@ def all_signals(
     if history is None:
         history = returns
     elif history is not returns:
-        history = history.join(returns.select("customer_id").distinct(), "customer_id", "left_semi")
+        customers = returns.select("customer_id").distinct()
+        history = join_per_key(history, customers, "customer_id", "left_semi")
     return compute_all_signals(signal_input(returns, order_items, orders), history=history)
 
 

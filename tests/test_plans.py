@@ -116,9 +116,9 @@ def test_hot_customer_is_split_in_trailing_counts(spark, hot):
     with settings(spark, SKEW):
         counted = with_trailing_count(hot["returns"].select("return_id", "customer_id", "return_date"))
         rows, plan = executed(counted)
-    # No timeline reaches a per-instant window whole: it is cut into hours.
+    # No timeline reaches a per-instant window whole: it is cut into minutes.
     windows = [line for line in plan.splitlines() if "Window [" in line]
-    assert windows and all("[customer_id" in line and "hour#" in line for line in windows)
+    assert windows and all("[customer_id" in line and "minute#" in line for line in windows)
     # The hot customer's returns lie on 997 consecutive seconds.
     seconds = [i % 997 for i in range(N) if i < N // 2 or i % 500 == 1]
     at = {r.return_id: r.trailing_returns for r in rows}

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from backhaul.plans.signals import all_signals, signal_log
 from backhaul.session import configure, scratch_path
-from backhaul.sources.warehouse import Warehouse
+from backhaul.sources.warehouse import Warehouse, write_csv
 
 LOADED_AT = datetime(2002, 1, 1)
 
@@ -137,10 +137,23 @@ class SampleWarehouse(Warehouse):
         super().__init__(spark, scratch_path(spark, "warehouse"))
         self.source = source
         self.ready: dict[str, DataFrame] = {}
+        self.exported: dict[str, str] = {}
 
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.source}/{name}.parquet")
 
+    def csv(self, name: str) -> str:
+        """A table as CSV files below one folder, written the first time it is asked for."""
+        if name not in self.exported:
+            rows = self.table("returns_raw" if name == "returns" else name)
+            if name == "returns":
+                # Range partitioned, so that the files follow the ingest order.
+                rows = rows.orderBy("seq", "return_id").drop("seq")
+            path = f"{self.location('csv')}/{name}.csv"
+            write_csv(rows, path)
+            self.exported[name] = path
+        return self.exported[name]
+
     def history(self, name: str) -> DataFrame:
         return self.table(name).where(HISTORY[name])
 

@@ -110,11 +110,6 @@ CTES = {
         ("cleaned",),
     ),
     "dated": ("select * from cleaned where return_date is not null", ("cleaned",)),
-    "dated_latest": (
-        """select * from dated
-           qualify row_number() over (partition by return_id order by return_date desc, seq desc) = 1""",
-        ("dated",),
-    ),
     "customer_counts": (
         """select c.customer_id, count(r.return_id) as lifetime_returns
            from customers c left join returns r on r.customer_id = c.customer_id group by c.customer_id""",
@@ -301,7 +296,7 @@ ORACLES: dict[str, str] = {
            from returns r left join (select return_id, max(score) as top from signals group by return_id) s on s.return_id = r.return_id""",
         "returns", "signals",
     ),
-    "run_etl": _with(_upsert_returns("dated_latest"), "returns", "dated_latest"),
+    "run_etl": _with(_upsert_returns("cleaned_latest"), "returns", "cleaned_latest"),
     "fraud_signal_log": _with(
         "select return_id, signal_type, severity, round(score, 3) as score, evidence, model_version from signals", "signals"
     ),

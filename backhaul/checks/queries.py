@@ -17,7 +17,7 @@ from backhaul.operators.trailing import with_trailing_count
 from backhaul.plans import cleaning, features, model, reports, signals, views
 from backhaul.session import scratch_path, written
 from backhaul.sources.csv import SEQ
-from backhaul.sources.warehouse import Warehouse, write_csv
+from backhaul.sources.warehouse import Warehouse
 
 AS_OF = datetime(2001, 7, 15)
 
@@ -52,35 +52,34 @@ def facts(w: SampleWarehouse, *names: str) -> list[DataFrame]:
 # --- CSV sources and sinks -------------------------------------------------------------------
 
 
-def _csv_round_trip(w: SampleWarehouse, df: DataFrame, reader) -> DataFrame:
-    path = scratch_path(w.spark, "csv")
-    write_csv(df, path)
-    return comparable(reader(w.spark, path).drop(SEQ))
+def _scan(w: SampleWarehouse, name: str, reader) -> DataFrame:
+    """A table exported as CSV and read back."""
+    return comparable(reader(w.spark, w.csv(name)).drop(SEQ))
 
 
 @query
 def scan_returns(w):
-    return _csv_round_trip(w, w.table("returns_raw").drop("seq"), sources.read_returns)
+    return _scan(w, "returns", sources.read_returns)
 
 
 @query
 def scan_customers(w):
-    return _csv_round_trip(w, w.table("customers"), sources.read_customers)
+    return _scan(w, "customers", sources.read_customers)
 
 
 @query
 def scan_orders(w):
-    return _csv_round_trip(w, w.table("orders"), sources.read_orders)
+    return _scan(w, "orders", sources.read_orders)
 
 
 @query
 def scan_order_items(w):
-    return _csv_round_trip(w, w.table("order_items"), sources.read_order_items)
+    return _scan(w, "order_items", sources.read_order_items)
 
 
 @query
 def scan_products(w):
-    return _csv_round_trip(w, w.table("products"), sources.read_products)
+    return _scan(w, "products", sources.read_products)
 
 
 # --- keyed writes ----------------------------------------------------------------------------
@@ -142,16 +141,12 @@ def score_writeback(w):
 @query
 def run_etl(w):
     """Raw files over a warehouse that holds older returns; the returns table afterwards."""
-    raw = scratch_path(w.spark, "raw")
-    for name in ("customers", "products", "orders", "order_items"):
-        write_csv(w.table(name), f"{raw}/{name}.csv")
-    # Range partitioned, so that the files follow the ingest order.
-    returns = w.table("returns_raw").where(F.col("return_date").isNotNull()).orderBy("seq", "return_id")
-    write_csv(returns.drop("seq"), f"{raw}/returns.csv")
+    for name in ("customers", "products", "orders", "order_items", "returns"):
+        w.csv(name)
     old = Warehouse(w.spark, scratch_path(w.spark, "old"))
     old.write("returns", w.history("returns"))
     new = old.next(scratch_path(w.spark, "new"))
-    jobs.run_etl(raw, old, new, LOADED_AT)
+    jobs.run_etl(w.location("csv"), old, new, LOADED_AT)
     return comparable(new.table("returns"))
 
 
@@ -459,9 +454,11 @@ def logistic_regression(w):
 
 @query
 def score_returns(w):
-    """Train, save, load, score what is unscored and write back; the returns table afterwards."""
-    path = scratch_path(w.spark, "model")
-    model.save(model.fit(_training_frame(w)), path)
+    """Score what is unscored with a saved model and write back; the returns table afterwards."""
+    path = w.location("model")
+    if "model" not in w.exported:
+        model.save(model.fit(_training_frame(w)), path)
+        w.exported["model"] = path
     new = w.next(scratch_path(w.spark, "scored"))
     jobs.score_returns(w, new, path)
     return comparable(new.table("returns").select("return_id", "fraud_score", "fraud_flagged"))

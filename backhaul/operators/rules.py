@@ -1,8 +1,8 @@
 """Fraud signals: one row per (return, rule that fired).
 
 A rule is data: a predicate, a severity, a score and the numbers behind them, all columns over
-the signal input (see `backhaul.plans.signals.signal_input`). All rules are evaluated together
-in one pass over the input, without a scan or shuffle per rule.
+the signal input (see `backhaul.plans.signals.signal_input`). Rules given together are evaluated
+in one pass over their input, without a scan or shuffle per rule.
 """
 
 from __future__ import annotations
@@ -126,14 +126,17 @@ def value_mismatch() -> Rule:
 RULES = (serial_returner, wardrobing, time_anomaly, value_mismatch)
 
 
-def with_serial_history(df: DataFrame, history: DataFrame | None = None) -> DataFrame:
+def with_serial_history(
+    df: DataFrame, history: DataFrame | None = None, how: str = "left"
+) -> DataFrame:
     """Add `trailing_returns` where it exceeds the threshold, null elsewhere.
 
-    `history` is the table of returns to count over, `df` itself by default.
+    `history` is the table of returns to count over, `df` itself by default. With
+    `how="inner"` only the rows above the threshold are kept.
     """
     counts = trailing_counts(df if history is None else history, SERIAL_WINDOW_DAYS)
     serial = counts.where(F.col("trailing_returns") > SERIAL_THRESHOLD)
-    return df.join(serial, ["customer_id", "return_date"], "left")
+    return df.join(serial, ["customer_id", "return_date"], how)
 
 
 def detect(df: DataFrame, *rules: Rule) -> DataFrame:
@@ -146,7 +149,8 @@ def detect(df: DataFrame, *rules: Rule) -> DataFrame:
 
 
 def detect_serial_returners(returns: DataFrame, history: DataFrame | None = None) -> DataFrame:
-    return detect(with_serial_history(returns, history), serial_returner())
+    keys = returns.select("return_id", "customer_id", "return_date")
+    return detect(with_serial_history(keys, history, "inner"), serial_returner())
 
 
 def detect_wardrobing(returns: DataFrame) -> DataFrame:
@@ -161,11 +165,13 @@ def detect_value_mismatch(returns: DataFrame) -> DataFrame:
     return detect(returns, value_mismatch())
 
 
-def compute_all_signals(
-    returns: DataFrame, history: DataFrame | None = None, rules: Sequence[Rule] | None = None
-) -> DataFrame:
-    """Signals of every rule, tagged with the rule-set version."""
+def tagged(signals: DataFrame) -> DataFrame:
+    return signals.withColumn("model_version", F.lit(MODEL_VERSION))
+
+
+def compute_all_signals(returns: DataFrame, rules: Sequence[Rule] | None = None) -> DataFrame:
+    """Signals of every rule over an enriched frame, tagged with the rule-set version."""
     rules = [build() for build in RULES] if rules is None else rules
     if any("trailing_returns" in r.needs for r in rules):
-        returns = with_serial_history(returns, history)
-    return detect(returns, *rules).withColumn("model_version", F.lit(MODEL_VERSION))
+        returns = with_serial_history(returns)
+    return tagged(detect(returns, *rules))

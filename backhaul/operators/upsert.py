@@ -11,7 +11,7 @@ from backhaul.schemas import NOW, Table
 from backhaul.sources.csv import SEQ
 
 
-def _load_time(loaded_at: datetime | None) -> Column:
+def load_time(loaded_at: datetime | None) -> Column:
     if loaded_at is None:
         return F.current_timestamp().cast("timestamp_ntz")
     return F.lit(loaded_at.isoformat()).cast("timestamp_ntz")
@@ -31,7 +31,7 @@ def conform(batch: DataFrame, table: Table, seq: str = SEQ, loaded_at: datetime
         if f.name in batch.columns:
             value = F.col(f.name).try_cast(f.dataType)
         elif table.defaults.get(f.name) is NOW:
-            value = _load_time(loaded_at)
+            value = load_time(loaded_at)
         else:
             value = F.lit(table.defaults.get(f.name)).cast(f.dataType)
         cells.append(value.alias(f.name))

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from backhaul.functions import days_between
+from backhaul.operators import rules
 from backhaul.operators.joins import join_per_key
-from backhaul.operators.rules import compute_all_signals
-from backhaul.operators.upsert import conform
+from backhaul.operators.upsert import conform, load_time
 from backhaul.schemas import FRAUD_SIGNALS
 
 
@@ -33,29 +33,31 @@ def signal_input(returns: DataFrame, order_items: DataFrame, orders: DataFrame)
 def all_signals(
     returns: DataFrame, order_items: DataFrame, orders: DataFrame, history: DataFrame | None = None
 ) -> DataFrame:
-    """Every signal of every given return.
+    """Every signal of every given return, tagged with the rule-set version.
 
-    Trailing counts are taken over the bare `history` (default: the given returns), so the joins
-    of the input run once. A longer history is cut to the customers at hand.
+    Serial returners need no purchase and so run on three columns of the bare returns, counted
+    over `history` (default: the given returns; a longer one is cut to the customers at hand).
+    The other rules share one pass over the joined input.
     """
-    if history is None:
-        history = returns
-    elif history is not returns:
+    if history is not None and history is not returns:
         customers = returns.select("customer_id").distinct()
         history = join_per_key(history, customers, "customer_id", "left_semi")
-    return compute_all_signals(signal_input(returns, order_items, orders), history=history)
+    serial = rules.detect_serial_returners(returns, history)
+    others = rules.detect(
+        signal_input(returns, order_items, orders),
+        rules.wardrobing(),
+        rules.time_anomaly(),
+        rules.value_mismatch(),
+    )
+    return rules.tagged(serial.unionByName(others))
 
 
-def signal_log(signals: DataFrame, created_at: datetime | Column | None = None) -> DataFrame:
-    """Signals as rows of the append-only log.
+def signal_log(signals: DataFrame, created_at: datetime | None = None) -> DataFrame:
+    """Signals as rows of the append-only log, logged at `created_at` (default: now).
 
     The id is a hash of what identifies a log row, so no global counter is needed and a
     retried task writes the same id.
     """
-    if created_at is None:
-        created_at = datetime.now()
-    if isinstance(created_at, datetime):
-        created_at = F.lit(created_at.isoformat()).cast("timestamp_ntz")
-    rows = signals.withColumn("created_at", created_at)
+    rows = signals.withColumn("created_at", load_time(created_at))
     identity = F.xxhash64("return_id", "signal_type", "model_version", "created_at")
     return conform(rows.withColumn("signal_id", identity), FRAUD_SIGNALS)

@@ -102,7 +102,7 @@ def high_risk_returns(returns: DataFrame, customers: DataFrame) -> DataFrame:
 
 def order_totals(order_items: DataFrame) -> DataFrame:
     """Order total: sum of quantity times unit price."""
-    total = F.sum(F.col("quantity") * F.col("unit_price")).cast("decimal(12,2)")
+    total = F.sum(F.col("quantity") * F.col("unit_price"))
     return order_items.groupBy("order_id").agg(total.alias("total_amount"))
 
 

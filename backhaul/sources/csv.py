@@ -7,8 +7,9 @@ wins" wherever a key repeats.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, IntegralType, StringType
 
 from backhaul import schemas
 from backhaul.functions import null_tokens
@@ -25,6 +26,14 @@ RETURN_TEXT_COLUMNS = (
 )
 
 
+def _typed(text: Column, kind: DataType) -> Column:
+    """Cell as the given type, null if it does not read as one."""
+    if isinstance(kind, IntegralType):
+        # A whole-number column with gaps is often written as "72.0".
+        text = text.try_cast("decimal(20,0)")
+    return text.try_cast(kind)
+
+
 def _read(
     spark: SparkSession,
     path: str,
@@ -46,7 +55,7 @@ def _read(
     rows = reader().schema(header).option("enforceSchema", False).csv(path)
     types = {f.name: f.dataType for f in table.schema.fields if f.name not in as_text}
     cells = [
-        null_tokens(F.col(f"`{c}`")).try_cast(types.get(c, "string")).alias(c)
+        _typed(null_tokens(F.col(f"`{c}`")), types.get(c, StringType())).alias(c)
         for c in header.fieldNames()
     ]
     seq = F.struct(

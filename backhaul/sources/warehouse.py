@@ -47,6 +47,8 @@ class Warehouse:
         df.write.parquet(self.location(name))
 
     def append_signals(self, signals: DataFrame) -> None:
+        """Add rows to the log. A run shares one `created_at`, so readers of a period skip the
+        files of other runs by their statistics."""
         columns = schemas.FRAUD_SIGNALS.columns
         signals.select(*columns).write.mode("append").parquet(self.location("fraud_signals"))
 

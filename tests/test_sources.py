@@ -24,6 +24,12 @@ def test_returns_are_typed_and_amounts_stay_text(spark, tmp_path):
     assert tuple(rows[1]) == (None, 2, 3, None, None, "mail", None, "1.5")
 
 
+def test_whole_numbers_may_carry_a_fraction_of_zero(spark, tmp_path):
+    path = write(tmp_path / "items.csv", "order_item_id,quantity", "9223372036854775807,72.0", "5.0,", "99999999999999999999,3e9", "x,-2")
+    rows = [tuple(r) for r in sources.read_order_items(spark, path).drop(SEQ).collect()]
+    assert rows == [(2**63 - 1, 72), (5, None), (None, None), (None, -2)]
+
+
 def test_missing_columns_are_listed_sorted(spark, tmp_path):
     path = write(tmp_path / "returns.csv", "return_id,customer_id,refund_amount", "1,2,3")
     with pytest.raises(ValueError, match=r"\['condition_received', 'order_item_id', 'return_channel', 'return_date', 'return_reason'\]"):

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
-from backhaul.operators.trailing import trailing_counts
+from backhaul.operators.trailing import with_trailing_count
 
 # Thresholds, scores and version tag.
 SERIAL_THRESHOLD = 5
@@ -126,19 +126,6 @@ def value_mismatch() -> Rule:
 RULES = (serial_returner, wardrobing, time_anomaly, value_mismatch)
 
 
-def with_serial_history(
-    df: DataFrame, history: DataFrame | None = None, how: str = "left"
-) -> DataFrame:
-    """Add `trailing_returns` where it exceeds the threshold, null elsewhere.
-
-    `history` is the table of returns to count over, `df` itself by default. With
-    `how="inner"` only the rows above the threshold are kept.
-    """
-    counts = trailing_counts(df if history is None else history, SERIAL_WINDOW_DAYS)
-    serial = counts.where(F.col("trailing_returns") > SERIAL_THRESHOLD)
-    return df.join(serial, ["customer_id", "return_date"], how)
-
-
 def detect(df: DataFrame, *rules: Rule) -> DataFrame:
     """Signals of the given rules; a rule whose columns are missing raises none."""
     usable = [r for r in rules if set(r.needs) <= set(df.columns)]
@@ -150,7 +137,7 @@ def detect(df: DataFrame, *rules: Rule) -> DataFrame:
 
 def detect_serial_returners(returns: DataFrame, history: DataFrame | None = None) -> DataFrame:
     keys = returns.select("return_id", "customer_id", "return_date")
-    return detect(with_serial_history(keys, history, "inner"), serial_returner())
+    return detect(with_trailing_count(keys, SERIAL_WINDOW_DAYS, history), serial_returner())
 
 
 def detect_wardrobing(returns: DataFrame) -> DataFrame:
@@ -173,5 +160,5 @@ def compute_all_signals(returns: DataFrame, rules: Sequence[Rule] | None = None)
     """Signals of every rule over an enriched frame, tagged with the rule-set version."""
     rules = [build() for build in RULES] if rules is None else rules
     if any("trailing_returns" in r.needs for r in rules):
-        returns = with_serial_history(returns)
+        returns = with_trailing_count(returns, SERIAL_WINDOW_DAYS)
     return tagged(detect(returns, *rules))

@@ -1,81 +1,112 @@
 """Trailing return counts per customer.
 
 For a return at instant t the count covers the customer's returns in [t - days, t). Instead of
-a sliding frame (each row re-reads its whole frame) or a range self-join, every return becomes
-two steps on its customer's timeline: +1 at t and -1 at t + days. The running sum of steps
-strictly before t is the count.
-
-A customer may hold a third of all returns, so no task may hold a whole timeline. Steps at one
-instant are summed before the shuffle, timelines are cut into minutes, and each minute starts
-from the total of the minutes before it. The calendar then bounds both windows, whatever the
-number of returns: one sees at most the microseconds of a minute, the other the minutes of one
-customer's history, and both stream over their rows.
+a sliding frame (each row re-reads its whole frame) or a range self-join, every past return
+becomes two steps on its customer's timeline: +1 at t and -1 at t + days. The running sum of
+the steps strictly before t is the count, at the cost of one sort.
+
+Timelines of up to HOT returns take one shuffle and one window. A customer may also hold a third
+of all returns; such timelines are cut into ten-minute slices (`_by_slice`), so that no task holds one
+whole. At most one customer per HOT returns is hot, which bounds the broadcast that tells the two
+apart: a million ids for a trillion returns.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from backhaul.functions import micros
 from backhaul.functions.time import DAY_MICROS
 
-MINUTE_MICROS = 60_000_000
-
-
-def trailing_counts(returns: DataFrame, days: int = 90) -> DataFrame:
-    """`customer_id, return_date, trailing_returns`, one row per customer and instant."""
-    at = F.col("at")
-    steps = (
-        returns.where(F.col("customer_id").isNotNull() & F.col("return_date").isNotNull())
-        .select("customer_id", "return_date", micros(F.col("return_date")).alias("t"))
-        .select(
-            "customer_id",
-            F.inline(
-                F.array(
-                    F.struct(F.col("t").alias("at"), F.lit(1).alias("enters")),
-                    F.struct((F.col("t") + days * DAY_MICROS).alias("at"), F.lit(0).alias("enters")),
-                )
-            ),
-        )
-        .withColumn("minute", at - F.pmod(at, F.lit(MINUTE_MICROS)))
-        .groupBy("customer_id", "minute", "at")
-        .agg(F.sum("enters").alias("entering"), F.sum(1 - F.col("enters")).alias("leaving"))
+HOT = 1_000_000
+SLICE_MICROS = 600_000_000
+
+
+def with_trailing_count(
+    returns: DataFrame, days: int = 90, history: DataFrame | None = None, hot: int = HOT
+) -> DataFrame:
+    """Every return with its `trailing_returns`; 0 where customer or date is null.
+
+    `history` holds the returns to count, by default the given ones.
+    """
+    known = F.col("customer_id").isNotNull() & F.col("return_date").isNotNull()
+    at = micros(F.col("return_date")).alias("_at")
+    rows = returns.where(known).select("*", at)
+    asked = rows.select("customer_id", "_at")
+    past = asked if history is None else history.where(known).select("customer_id", at)
+
+    everything = past if history is None else past.unionByName(asked)
+    sizes = everything.groupBy("customer_id").agg(F.count("*").alias("n"))
+    hot_ids = F.broadcast(sizes.where(F.col("n") > hot).select("customer_id"))
+
+    def split(df: DataFrame, how: str) -> DataFrame:
+        return df.join(hot_ids, "customer_id", how)
+
+    own = history is None
+    few = _by_customer(split(rows, "left_anti"), split(past, "left_anti"), days, own)
+    many = _by_slice(split(rows, "left_semi"), split(past, "left_semi"), days, own)
+    unknown = returns.where(~known).withColumn("trailing_returns", F.lit(0).cast("bigint"))
+    columns = [*returns.columns, "trailing_returns"]
+    return few.select(columns).unionByName(many.select(columns)).unionByName(unknown.select(columns))
+
+
+def _before(*keys: str) -> Column:
+    """Sum of the steps before the current instant."""
+    earlier = Window.partitionBy(*keys).orderBy("_at").rangeBetween(Window.unboundedPreceding, -1)
+    return F.coalesce(F.sum("_step").over(earlier), F.lit(0))
+
+
+def _by_customer(rows: DataFrame, past: DataFrame, days: int, own: bool) -> DataFrame:
+    """Counts from whole timelines. `own`: the rows are the past, and so are steps themselves."""
+    leaves = (F.col("_at") + days * DAY_MICROS).alias("_at")
+    steps = past.select("customer_id", leaves, F.lit(-1).alias("_step"))
+    if not own:
+        steps = steps.unionByName(past.select("customer_id", "_at", F.lit(1).alias("_step")))
+    timeline = rows.withColumns({"_step": F.lit(1 if own else 0), "_asked": F.lit(True)}).unionByName(
+        steps, allowMissingColumns=True
     )
+    return timeline.withColumn("trailing_returns", _before("customer_id")).where("_asked")
+
+
+def _by_slice(rows: DataFrame, past: DataFrame, days: int, own: bool) -> DataFrame:
+    """Counts from timelines cut into slices, each opened with the sum of the slices before.
 
-    change = F.col("entering") - F.col("leaving")
-    earlier_minutes = (
-        Window.partitionBy("customer_id")
-        .orderBy("minute")
-        .rowsBetween(Window.unboundedPreceding, -1)
+    Steps of one instant are summed before the shuffle. The calendar then bounds both windows,
+    whatever the number of returns: one sees at most the microseconds of ten minutes, the other
+    the slices of one customer's history. The counts, one per instant, are joined back to the rows
+    on an even key; AQE splits an instant that holds very many rows.
+    """
+    def events(df: DataFrame, *kinds: tuple[Column, int, int]) -> DataFrame:
+        structs = [
+            F.struct(at.alias("_at"), F.lit(step).alias("step"), F.lit(asks).alias("asks"))
+            for at, step, asks in kinds
+        ]
+        return df.select("customer_id", F.inline(F.array(*structs)))
+
+    enters, leaves = F.col("_at"), F.col("_at") + days * DAY_MICROS
+    if own:
+        timeline = events(past, (enters, 1, 1), (leaves, -1, 0))
+    else:
+        timeline = events(past, (enters, 1, 0), (leaves, -1, 0)).unionByName(events(rows, (enters, 0, 1)))
+    slice_ = (F.col("_at") - F.pmod("_at", F.lit(SLICE_MICROS))).alias("_slice")
+    steps = timeline.groupBy("customer_id", slice_, "_at").agg(
+        F.sum("step").alias("_step"), F.max("asks").alias("_asks")
     )
-    opening = (
-        steps.groupBy("customer_id", "minute")
-        .agg(F.sum(change).alias("change"))
-        .withColumn("change", F.sum("change").over(earlier_minutes))
-        .where("change <> 0")
-        .select("customer_id", "minute", (F.col("minute") - 1).alias("at"), "change", F.lit(0).alias("entering"))
+    earlier = (
+        Window.partitionBy("customer_id").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     )
-
-    earlier_steps = (
-        Window.partitionBy("customer_id", "minute")
-        .orderBy("at")
-        .rowsBetween(Window.unboundedPreceding, -1)
+    opening = (
+        steps.groupBy("customer_id", "_slice")
+        .agg(F.sum("_step").alias("change"), F.max("_asks").alias("asks"))
+        .withColumn("_step", F.sum("change").over(earlier))
+        .where("asks > 0 and _step <> 0")
+        .select("customer_id", "_slice", (F.col("_slice") - 1).alias("_at"), "_step", F.lit(0).alias("_asks"))
     )
-    return (
-        steps.select("customer_id", "minute", "at", change.alias("change"), "entering")
-        .unionByName(opening)
-        .withColumn("trailing_returns", F.coalesce(F.sum("change").over(earlier_steps), F.lit(0)))
-        .where("entering > 0")
-        .select(
-            "customer_id",
-            F.timestamp_micros("at").cast("timestamp_ntz").alias("return_date"),
-            "trailing_returns",
-        )
+    counts = (
+        steps.unionByName(opening)
+        .withColumn("trailing_returns", _before("customer_id", "_slice"))
+        .where("_asks > 0")
+        .select("customer_id", "_at", "trailing_returns")
     )
-
-
-def with_trailing_count(returns: DataFrame, days: int = 90) -> DataFrame:
-    """Every return with its `trailing_returns`; 0 where customer or date is null."""
-    counts = trailing_counts(returns, days)
-    return returns.join(counts, ["customer_id", "return_date"], "left").na.fill(0, ["trailing_returns"])
+    return rows.join(counts, ["customer_id", "_at"], "left")

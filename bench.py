@@ -1,7 +1,7 @@
 """Times every registered query; prints one JSON line.
 
 BENCH_SF_DIR: folder of test tables. BENCH_CPUS: local cores. Every query runs to a sink that
-discards rows, once to warm up and then BENCH_RUNS times; its time is the median. `load` is the
+discards rows, once to warm up and then BENCH_RUNS (2) times; its time is the median. `load` is the
 one-off derivation of the domain tables and is not part of the total.
 """
 
@@ -20,7 +20,7 @@ from backhaul.schemas import TABLES
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1").rstrip("/")
 CPUS = int(os.environ.get("BENCH_CPUS", os.cpu_count() or 8))
-RUNS = int(os.environ.get("BENCH_RUNS", 3))
+RUNS = int(os.environ.get("BENCH_RUNS", 2))
 
 
 def session() -> SparkSession:

@@ -7,7 +7,7 @@ from random import Random
 import pytest
 from pyspark.sql import functions as F
 
-from backhaul.operators import rules, trailing_counts, with_trailing_count
+from backhaul.operators import rules, with_trailing_count
 from backhaul.plans import signals
 from conftest import day
 
@@ -26,8 +26,14 @@ def history(spark, rows):
     return spark.createDataFrame(rows, "return_id long, customer_id long, return_date timestamp_ntz")
 
 
-def counts(df):
-    return {r.return_id: r.trailing_returns for r in with_trailing_count(df).collect()}
+def counts(df, **options):
+    rows = with_trailing_count(df, **options).collect()
+    assert len(rows) == df.count()
+    return {r.return_id: r.trailing_returns for r in rows}
+
+
+# Every timeline whole, only long ones cut, every one cut.
+hot_limits = pytest.mark.parametrize("hot", [10**6, 40, 0])
 
 
 def test_seventh_daily_return_is_serial(daily):
@@ -93,40 +99,56 @@ def test_own_rules_can_be_plugged_in(spark):
     assert [(r.return_id, r.evidence) for r in rules.compute_all_signals(df, rules=[late]).collect()] == [(2, '{"x":2}')]
 
 
-def test_window_edges(spark):
+@hot_limits
+def test_window_edges(spark, hot):
     t = day("2025-06-01T10:30:00.000007")
     micro = timedelta(microseconds=1)
     df = history(spark, [(1, 1, t), (2, 1, t - timedelta(days=90)), (3, 1, t - timedelta(days=90) - micro), (4, 1, t), (5, 1, t - micro), (6, 2, t - micro)])
-    assert counts(df) == {1: 2, 4: 2, 5: 2, 2: 1, 3: 0, 6: 0}
+    assert counts(df, hot=hot) == {1: 2, 4: 2, 5: 2, 2: 1, 3: 0, 6: 0}
 
 
-def test_null_customer_or_date_counts_zero(spark):
+@hot_limits
+def test_null_customer_or_date_counts_zero(spark, hot):
     t = day("2025-06-01")
     df = history(spark, [(1, None, t), (2, None, t + timedelta(1)), (3, 1, None), (4, 1, t), (5, 1, t + timedelta(1))])
-    assert counts(df) == {1: 0, 2: 0, 3: 0, 4: 0, 5: 1}
+    assert counts(df, hot=hot) == {1: 0, 2: 0, 3: 0, 4: 0, 5: 1}
 
 
-@pytest.mark.parametrize("seed, step", [(1, timedelta(hours=7)), (2, timedelta(minutes=13)), (3, timedelta(days=3)), (4, timedelta(microseconds=1))])
-def test_counts_equal_brute_force(spark, seed, step):
+def scattered(seed, step, n=400):
     """One customer holds most rows; many share an instant; times fall before and after 1970."""
     random = Random(seed)
-    start = day("1969-12-20")
     rows = []
-    for i in range(600):
+    for i in range(n):
         customer = 1 if random.random() < 0.6 else random.randint(2, 20)
         offset = step * random.randint(0, 300) + timedelta(days=random.choice([0, 0, 30, 90]))
-        rows.append((i, customer, start + offset))
-    expected = {
-        i: sum(1 for _, c, s in rows if c == customer and t - timedelta(days=90) <= s < t) for i, customer, t in rows
-    }
-    assert counts(history(spark, rows)) == expected
+        rows.append((i, customer, day("1969-12-20") + offset))
+    return rows
+
+
+def brute_force(rows, past):
+    span = timedelta(days=90)
+    return {i: sum(1 for _, c, s in past if c == customer and t - span <= s < t) for i, customer, t in rows}
+
+
+@hot_limits
+@pytest.mark.parametrize("seed, step", [(1, timedelta(hours=7)), (2, timedelta(seconds=13)), (3, timedelta(days=3)), (4, timedelta(microseconds=1))])
+def test_counts_equal_brute_force(spark, seed, step, hot):
+    rows = scattered(seed, step)
+    assert counts(history(spark, rows), hot=hot) == brute_force(rows, rows)
+
+
+@hot_limits
+def test_counts_over_another_history(spark, hot):
+    rows, past = scattered(5, timedelta(hours=9), 150), scattered(6, timedelta(hours=9))
+    got = counts(history(spark, rows), history=history(spark, past), hot=hot)
+    assert got == brute_force(rows, past)
 
 
-def test_shorter_window(spark):
+@hot_limits
+def test_shorter_window(spark, hot):
     t = day("2025-01-10")
     df = history(spark, [(i, 1, t + timedelta(days=i)) for i in range(10)])
-    got = {r.return_date: r.trailing_returns for r in trailing_counts(df, days=3).collect()}
-    assert [got[t + timedelta(days=i)] for i in range(10)] == [0, 1, 2, 3, 3, 3, 3, 3, 3, 3]
+    assert [counts(df, days=3, hot=hot)[i] for i in range(10)] == [0, 1, 2, 3, 3, 3, 3, 3, 3, 3]
 
 
 def test_seed_signals(seed):

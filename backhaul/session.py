@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
 from functools import cache
+from pathlib import Path
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,6 +27,25 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
+@cache
+def _package_zip() -> str:
+    """This package as a zip file on the driver, for `addPyFile`."""
+    root = Path(__file__).resolve().parent
+    path = Path(tempfile.mkdtemp(prefix="backhaul-")) / "backhaul.zip"
+    with zipfile.ZipFile(path, "w") as out:
+        for file in sorted(root.rglob("*.py")):
+            out.write(file, file.relative_to(root.parent))
+    return str(path)
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Let executors import this package; needed once per context by Python code on executors."""
+    context = spark.sparkContext
+    if not any(file.endswith("/backhaul.zip") for file in context.listFiles):
+        context.addPyFile(_package_zip())
+    return spark
+
+
 @cache
 def _local_scratch() -> str:
     return tempfile.mkdtemp(prefix="backhaul-")

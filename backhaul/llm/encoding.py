@@ -1,21 +1,34 @@
-"""Token ids of whole texts, one word at a time.
+"""Token ids of whole texts by the tokenizers library, one pre-token at a time.
 
-White space separates pre-tokens of the vocabulary `word_bpe_49k.json`, so the ids of a text are
-those of its words in order, and a word's ids are looked up once per process while they are kept.
+The vocabulary `word_bpe_49k.json` cuts text at white space, and between Latin letters and ASCII
+marks; what lies between cuts is encoded by itself. So a text's ids are those of its pieces in
+order, and a process remembers the ids of pieces under a 64-bit hash. Words with anything else in
+them (digits, apostrophes, other scripts, controls) go through the whole tokenizer as one piece.
 """
 
 from __future__ import annotations
 
 import os
-import unicodedata
-from array import array
 
 import numpy as np
 
+from backhaul.llm.words import LOWER, NOT_SPACE, hash_spans, spans
+
 VOCABULARY = "word_bpe_49k.json"
 END = 2
-_KEPT = 400_000  # words a process remembers
-_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"  # ASCII marks but the apostrophe, which joins endings
+_BITS = 22  # of the table of remembered pieces
+_KEPT = 5 << (_BITS - 3)
+
+_LETTER, _MARK, _OTHER = 1, 2, 3
+_CLASS = np.full(256, _OTHER, np.uint8)
+_CLASS[~NOT_SPACE] = 0
+_CLASS[0x21:0x7F] = _MARK
+_CLASS[0x30:0x3A] = _OTHER
+_CLASS[0x27] = _OTHER  # an apostrophe may join what follows it
+_CLASS[0x41:0x5B] = _LETTER
+_CLASS[0x61:0x7B] = _LETTER
+_CLASS[0x80:0xC0] = _LETTER  # second bytes
+_CLASS[0xC3:0xC9] = _LETTER  # first bytes of U+00C0 to U+023F
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -35,6 +48,28 @@ def _byte_letters() -> list[str]:
     return [letters[b] for b in range(256)]
 
 
+def pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Bounds and class of the pieces of each row, and the first piece of each row."""
+    kind = _CLASS[data]
+    sign = (data[1:] == 0x97) | (data[1:] == 0xB7)  # the multiplication and division signs
+    kind[1:][sign & (data[:-1] == 0xC3)] = _OTHER
+    starts, ends, _ = spans(data, offsets, NOT_SPACE)
+    odd = np.concatenate([[0], np.cumsum(kind == _OTHER)])
+    whole = np.flatnonzero(odd[ends] > odd[starts])
+    size = (ends - starts)[whole]
+    at = np.repeat(starts[whole] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+    kind[at] = _OTHER
+    change = np.empty(len(kind) + 1, bool)
+    change[[0, -1]] = True
+    change[1:-1] = kind[1:] != kind[:-1]
+    change[offsets] = True
+    cuts = np.flatnonzero(change)
+    begin, end = cuts[:-1], cuts[1:]
+    keep = kind[begin] > 0 if len(begin) else np.zeros(0, bool)
+    begin, end = begin[keep], end[keep]
+    return begin, end, kind[begin], np.searchsorted(begin, offsets)
+
+
 class Encoder:
     """Encodes texts with a tokenizers file and appends the end id to each."""
 
@@ -49,59 +84,80 @@ class Encoder:
         self._clear()
 
     def _clear(self) -> None:
-        self.words: dict[bytes, int] = {}
-        self.cores: dict[bytes, tuple[int, ...]] = {}
-        self.ids = array("I", [self.end])
-        self.at = array("q", [0, 1])  # word k has the ids from at[k] to at[k + 1]; word 0 is the end
-
-    def _slow(self, word: bytes) -> tuple[int, ...]:
-        return tuple(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids)
-
-    def _core(self, core: bytes) -> tuple[int, ...]:
-        ids = self.cores.get(core)
-        if ids is None:
-            piece = "".join([self.letters[b] for b in core])
-            ids = self.cores[core] = tuple(t.id for t in self.model.tokenize(piece))
-        return ids
-
-    def _new(self, word: bytes) -> int:
-        """Ids of a word not kept yet. Plain letters with marks behind them, which are two
-        pre-tokens, go to the model straight; anything else goes through the whole tokenizer."""
-        text = word.decode()
-        core = text.rstrip(_MARKS)
-        tail = text[len(core) :]
-        if core.isalpha() and max(core) < "ɐ" and unicodedata.is_normalized("NFC", core):
-            ids = self._core("".join([c.lower() for c in core]).encode())
-            if tail:
-                ids += self._core(tail.encode())
-        else:
-            ids = self._slow(word)
-        k = self.words[word] = len(self.at) - 1
-        self.ids.extend(ids)
-        self.at.append(len(self.ids))
-        return k
-
-    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        self.keys = np.zeros(1 << _BITS, np.uint64)
+        self.codes = np.zeros(1 << _BITS, np.int32)
+        self.ids = np.full(1 << 16, self.end, np.uint32)
+        self.at = np.zeros(1 << 16, np.int64)  # piece k has the ids from at[k] to at[k + 1]
+        self.at[1] = 1  # piece 0 is the end
+        self.known = 1
+
+    def _find(self, hashes: np.ndarray) -> np.ndarray:
+        """Codes of hashes, -1 if not known: open addressing, all hashes at once."""
+        out = np.full(len(hashes), -1, np.int64)
+        live, place = np.arange(len(hashes)), (hashes >> np.uint64(64 - _BITS)).astype(np.int64)
+        while len(live):
+            key = self.keys[place]
+            hit = key == hashes[live]
+            out[live[hit]] = self.codes[place[hit]]
+            on = ~hit & (key != 0)
+            live, place = live[on], (place[on] + 1) & ((1 << _BITS) - 1)
+        return out
+
+    def _keep(self, hashes: np.ndarray, found: list[list[int]]) -> None:
+        """Remember the ids of new pieces."""
+        size = np.array([len(x) for x in found])
+        last, n = self.at[self.known], len(found)
+        stop = last + np.cumsum(size)
+        if stop[-1] > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.empty(max(int(stop[-1]), len(self.ids)), np.uint32)])
+        if self.known + n >= len(self.at):
+            self.at = np.concatenate([self.at, np.zeros(max(n, len(self.at)), np.int64)])
+        self.ids[last : stop[-1]] = [i for x in found for i in x]
+        self.at[self.known + 1 : self.known + n + 1] = stop
+        code = np.arange(self.known, self.known + n)
+        live, place = np.arange(n), (hashes >> np.uint64(64 - _BITS)).astype(np.int64)
+        while len(live):
+            free = self.keys[place] == 0
+            self.keys[place[free]] = hashes[live[free]]
+            mine = self.keys[place] == hashes[live]
+            self.codes[place[mine]] = code[live[mine]]
+            live, place = live[~mine], (place[~mine] + 1) & ((1 << _BITS) - 1)
+        self.known += n
+
+    def _ids(self, piece: bytes, kind: int) -> list[int]:
+        if kind == _OTHER:
+            return self.tokenizer.encode(piece.decode(), add_special_tokens=False).ids
+        if piece.isascii():
+            return [t.id for t in self.model.tokenize(piece.decode())]
+        letters = self.letters
+        mapped = "".join([letters[b] for b in piece.decode().lower().encode()])
+        return [t.id for t in self.model.tokenize(mapped)]
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, each with its end id, and the bounds of the texts."""
-        if len(self.words) > _KEPT:
-            self._clear()
-        codes: list[int] = []
-        bounds = [0]
-        for text in texts:
-            words = text.split()
-            found = list(map(self.words.get, words))
-            if None in found:
-                new, get = self._new, self.words.get
-                found = [k if k is not None else (get(w) or new(w)) for k, w in zip(found, words)]
-            codes += found
-            codes.append(0)
-            bounds.append(len(codes))
-        code = np.fromiter(codes, np.int64, len(codes))
-        at = np.array(self.at, np.int64)
-        size = (at[1:] - at[:-1])[code]
+        data = LOWER[data]
+        begin, end, kind, first = pieces(data, offsets)
+        hashes = hash_spans(data, begin, end)
+        hashes[hashes == 0] = 1
+        code = self._find(hashes)
+        missing = np.flatnonzero(code < 0)
+        if len(missing):
+            new, pick = np.unique(hashes[missing], return_index=True)
+            if self.known + len(new) > _KEPT and self.known > 1:
+                self._clear()
+                return self.encode(data, offsets)
+            if len(new) > _KEPT:
+                raise ValueError("too many different words in one slice of texts")
+            raw, at = data.tobytes(), missing[pick]
+            spots = zip(begin[at].tolist(), end[at].tolist(), kind[at].tolist())
+            self._keep(new, [self._ids(raw[a:b], k) for a, b, k in spots])
+            code[missing] = self._find(hashes[missing])
+        code = np.insert(code, first[1:], 0)
+        size = self.at[code + 1] - self.at[code]
         total = np.concatenate([[0], np.cumsum(size)])
-        place = np.arange(total[-1]) + np.repeat(at[code] - total[:-1], size)
-        return np.array(self.ids, np.uint32)[place], total[np.array(bounds)]
+        place = np.repeat(self.at[code] - total[:-1], size)
+        place += np.arange(total[-1])
+        return self.ids[place], total[first + np.arange(len(first))]
 
 
 _ENCODERS: dict[tuple[str, int], Encoder] = {}

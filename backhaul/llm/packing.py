@@ -44,11 +44,8 @@ def pack(docs: DataFrame, vocabulary: str | None = None, sequence: int = SEQUENC
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path, end)
         for whole in batches:
-            for batch in slices(whole):
-                data, offsets = buffers(batch.column(1))
-                raw = data.tobytes()
-                texts = [raw[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
-                ids, bounds = encode.encode(texts)
+            for batch in slices(whole, limit=1 << 20):
+                ids, bounds = encode.encode(*buffers(batch.column(1)))
                 tokens = np.diff(bounds)
                 pieces = [cut(n, sequence) for n in tokens.tolist()]
                 count = np.array([len(p) for p in pieces])

@@ -156,11 +156,7 @@ def write_store(docs: DataFrame, path: str, vocabulary: str | None = None, end:
 
         for whole in batches:
             for batch in slices(whole, limit=1 << 20):
-                data, offsets = buffers(batch.column(1))
-                raw = data.tobytes()
-                found, bounds = encode.encode(
-                    [raw[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
-                )
+                found, bounds = encode.encode(*buffers(batch.column(1)))
                 keys.append(batch.column(0))
                 ids.append(found.astype(f"<u{size}"))
                 tokens.append(np.diff(bounds))

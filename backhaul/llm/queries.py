@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from backhaul.llm import packing, token_store
+from backhaul.llm import line_rules, packing, token_store
 from backhaul.session import configure, scratch_path, ship
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,3 +36,10 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "tokens")
     token_store.write_store(docs, path)
     return token_store.digest(token_store.read_store(spark, path))
+
+
+@query
+def op9_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of every document and whether the line labels let it stay."""
+    docs = table(spark, sf_dir, "documents")
+    return line_rules.judge(docs, line_rules.train(docs, table(spark, sf_dir, "labels")))

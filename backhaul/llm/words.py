@@ -96,21 +96,36 @@ def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     return out
 
 
-def windows(words: np.ndarray, first: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of every run of `size` consecutive words of a row, and the row of each run.
+def windows(words: np.ndarray, first: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Every run of `size` consecutive words of a row: its hash, its first word and its row.
 
     Runs appear in order of their place; rows with fewer words have none.
     """
     n = len(words) - size + 1
     if n <= 0:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     key = np.zeros(n, np.uint64)
     for k in range(size):
         key = key * _ODD[0] + words[k : k + n]
     count = np.maximum(np.diff(first) - size + 1, 0)
     row = np.repeat(np.arange(len(count)), count)
-    place = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
-    return mix(key[np.repeat(first[:-1], count) + place]), row
+    at = np.repeat(first[:-1] - (np.cumsum(count) - count), count) + np.arange(len(row))
+    return mix(key[at]), at, row
+
+
+def salted(keys: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """Keys made different from row to row."""
+    return mix(keys + mix(row.astype(np.uint64)))
+
+
+def repeated(keys: np.ndarray) -> np.ndarray:
+    """Marks the keys that occur more than once."""
+    order = np.sort(keys)
+    twice = order[1:][order[1:] == order[:-1]]
+    if len(twice) == 0:
+        return np.zeros(len(keys), bool)
+    twice = np.unique(twice)
+    return twice[np.minimum(np.searchsorted(twice, keys), len(twice) - 1)] == keys
 
 
 def row_sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:

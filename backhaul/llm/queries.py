@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from backhaul.llm import line_rules, packing, token_store
+from backhaul.llm import decontamination, line_rules, packing, token_store
 from backhaul.session import configure, scratch_path, ship
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -43,3 +43,13 @@ def op9_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts of every document and whether the line labels let it stay."""
     docs = table(spark, sf_dir, "documents")
     return line_rules.judge(docs, line_rules.train(docs, table(spark, sf_dir, "labels")))
+
+
+@query
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that stand inside windows of benchmark items."""
+    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    return decontamination.contamination(docs, items)
+
+
+ORACLES["op8_decontamination"] = decontamination.ORACLE

@@ -79,15 +79,13 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, bound: int
     texts = docs.select(*_key(docs), words(F.col("text")).alias("w"))
     places = texts.select("doc_id", "_text", "w", F.posexplode_outer("w").alias("at", "word"))
     met = places.join(_small(prefix, bound), "word")
-
-    def fits(c: Column) -> Column:
-        start = F.col("at") - c["place"]
-        inside = (start >= 0) & (start + c["size"] <= F.size("w"))
-        return inside & (F.slice("w", F.greatest(start, F.lit(0)) + 1, c["size"]) == c["window"])
-
-    found = met.select("doc_id", "_text", "at", F.filter("windows", fits).alias("found")).where(F.size("found") > 0)
-    return found.select("doc_id", "_text", "at", F.explode("found").alias("f")).select(
-        "doc_id", "_text", (F.col("at") - F.col("f.place")).alias("start"), "f.size", "f.items"
+    # All of this runs in one generated stage, so a document's words are not copied per word.
+    tried = met.select("doc_id", "_text", "w", "at", F.explode("windows").alias("c"))
+    start, size = F.col("at") - F.col("c.place"), F.col("c.size")
+    inside = (start >= 0) & (start + size <= F.size("w"))
+    same = F.slice("w", F.greatest(start, F.lit(0)) + 1, size) == F.col("c.window")
+    return tried.where(inside & same).select(
+        "doc_id", "_text", start.alias("start"), size.alias("size"), F.col("c.items").alias("items")
     )
 
 

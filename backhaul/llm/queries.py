@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from backhaul.llm import decontamination, line_rules, packing, token_store
+from backhaul.llm import bag_minhash, decontamination, line_rules, packing, token_store
 from backhaul.session import configure, scratch_path, ship
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -53,3 +53,9 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op8_decontamination"] = decontamination.ORACLE
+
+
+@query
+def op2_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class of near-duplicates of every document."""
+    return bag_minhash.near_duplicates(table(spark, sf_dir, "documents"))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from backhaul.llm import bag_minhash, decontamination, line_rules, packing, token_store
+from backhaul.llm import bag_minhash, decontamination, line_rules, packing, pii, token_store
 from backhaul.session import configure, scratch_path, ship
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -59,3 +59,10 @@ ORACLES["op8_decontamination"] = decontamination.ORACLE
 def op2_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class of near-duplicates of every document."""
     return bag_minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of personal data in every document."""
+    docs = table(spark, sf_dir, "documents")
+    return pii.digest(pii.find(docs, pii.train(docs)))

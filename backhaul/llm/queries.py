@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from backhaul.llm import bag_minhash, decontamination, line_rules, packing, pii, token_store
+from backhaul.llm import bag_minhash, decontamination, line_rules, lm_scoring, packing, pii, token_store
 from backhaul.session import configure, scratch_path, ship
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -66,3 +66,9 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of personal data in every document."""
     docs = table(spark, sf_dir, "documents")
     return pii.digest(pii.find(docs, pii.train(docs)))
+
+
+@query
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Probability of every document under unigrams and under the interpolated model."""
+    return lm_scoring.score(table(spark, sf_dir, "documents"))

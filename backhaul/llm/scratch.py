@@ -22,11 +22,10 @@ def shuffles_removed(spark: SparkSession):
         spark.conf.set(CLEANUP, before)
 
 
-def stored(df: DataFrame, label: str, partition_by: str | None = None) -> DataFrame:
+def stored(df: DataFrame, label: str, codec: str = "snappy") -> DataFrame:
     """Write `df` once to shared scratch and read it back; its shuffles are removed."""
     spark = df.sparkSession
     path = scratch_path(spark, label)
     with shuffles_removed(spark):
-        writer = df.write.partitionBy(partition_by) if partition_by else df.write
-        writer.parquet(path)
+        df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)

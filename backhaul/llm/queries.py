@@ -6,7 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from backhaul.llm import bag_minhash, decontamination, line_rules, lm_scoring, packing, pii, token_store
+from backhaul.llm import (
+    bag_minhash,
+    decontamination,
+    language_id,
+    line_rules,
+    lm_scoring,
+    packing,
+    pii,
+    quality_classifier,
+    token_store,
+)
 from backhaul.session import configure, scratch_path, ship
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -72,3 +82,16 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Probability of every document under unigrams and under the interpolated model."""
     return lm_scoring.score(table(spark, sf_dir, "documents"))
+
+
+@query
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document."""
+    docs = table(spark, sf_dir, "documents")
+    return language_id.predict(docs, language_id.train(docs))
+
+
+@query
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document."""
+    return quality_classifier.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from backhaul.llm import (
     bag_minhash,
     decontamination,
+    html_blocks,
     language_id,
     line_rules,
     lm_scoring,
@@ -95,3 +96,10 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document."""
     return quality_classifier.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op4_html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    pages = table(spark, sf_dir, "pages")
+    return html_blocks.extract(pages, html_blocks.train(pages))

@@ -48,17 +48,21 @@ def _byte_letters() -> list[str]:
     return [letters[b] for b in range(256)]
 
 
-def pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Bounds and class of the pieces of each row, and the first piece of each row."""
+def pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The bytes, with capitals of plain words made small; bounds and class of the pieces of each row,
+    and the first piece of each row."""
     kind = _CLASS[data]
     sign = (data[1:] == 0x97) | (data[1:] == 0xB7)  # the multiplication and division signs
     kind[1:][sign & (data[:-1] == 0xC3)] = _OTHER
+    kind[1:][(data[1:] == 0xB0) & (data[:-1] == 0xC4)] = _OTHER  # its small form is two characters
+    kind[1:][(data[1:] == 0x7C) & (data[:-1] == 0x3C)] = _OTHER  # special tokens begin so
     starts, ends, _ = spans(data, offsets, NOT_SPACE)
     odd = np.concatenate([[0], np.cumsum(kind == _OTHER)])
     whole = np.flatnonzero(odd[ends] > odd[starts])
     size = (ends - starts)[whole]
     at = np.repeat(starts[whole] - (np.cumsum(size) - size), size) + np.arange(size.sum())
     kind[at] = _OTHER
+    data = np.where(kind == _OTHER, data, LOWER[data])
     change = np.empty(len(kind) + 1, bool)
     change[[0, -1]] = True
     change[1:-1] = kind[1:] != kind[:-1]
@@ -67,7 +71,7 @@ def pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     begin, end = cuts[:-1], cuts[1:]
     keep = kind[begin] > 0 if len(begin) else np.zeros(0, bool)
     begin, end = begin[keep], end[keep]
-    return begin, end, kind[begin], np.searchsorted(begin, offsets)
+    return data, begin, end, kind[begin], np.searchsorted(begin, offsets)
 
 
 class Encoder:
@@ -135,8 +139,8 @@ class Encoder:
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, each with its end id, and the bounds of the texts."""
-        data = LOWER[data]
-        begin, end, kind, first = pieces(data, offsets)
+        raw = data
+        data, begin, end, kind, first = pieces(raw, offsets)
         hashes = hash_spans(data, begin, end)
         hashes[hashes == 0] = 1
         code = self._find(hashes)
@@ -145,12 +149,12 @@ class Encoder:
             new, pick = np.unique(hashes[missing], return_index=True)
             if self.known + len(new) > _KEPT and self.known > 1:
                 self._clear()
-                return self.encode(data, offsets)
+                return self.encode(raw, offsets)
             if len(new) > _KEPT:
                 raise ValueError("too many different words in one slice of texts")
-            raw, at = data.tobytes(), missing[pick]
+            text, at = data.tobytes(), missing[pick]
             spots = zip(begin[at].tolist(), end[at].tolist(), kind[at].tolist())
-            self._keep(new, [self._ids(raw[a:b], k) for a, b, k in spots])
+            self._keep(new, [self._ids(text[a:b], k) for a, b, k in spots])
             code[missing] = self._find(hashes[missing])
         code = np.insert(code, first[1:], 0)
         size = self.at[code + 1] - self.at[code]

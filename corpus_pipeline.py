@@ -1,29 +1,63 @@
 """Corpus preparation: quality rules, near-dedup, decontamination, redaction, packing.
 
-Each stage reads what the stage before it wrote. All stages but the last return the columns of
-documents.
+Each stage reads what the stage before it wrote, and works on all of it. All stages but the last
+return the columns of documents.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from backhaul.llm import packing, queries
+from backhaul.llm import bag_minhash, decontamination, line_rules, packing, pii
+from backhaul.llm.queries import table
 from backhaul.llm.scratch import stored
 
 
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents that fail the base rules or consist mostly of boilerplate lines."""
+    return line_rules.keep(docs, line_rules.train(docs, table(spark, sf_dir, "labels")))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep one document of each class of near-duplicates."""
+    return bag_minhash.one_per_class(docs)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents that hold too much of the benchmark."""
+    return decontamination.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replace personal data by its kind; n_chars follows the text."""
+    redacted = pii.redact(docs, pii.train(docs))
+    if "n_chars" not in docs.columns:
+        return redacted
+    kind = docs.schema["n_chars"].dataType
+    return redacted.withColumn("n_chars", F.length("text").cast(kind))
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cut documents into sequences of power-of-two lengths."""
     return packing.digest(packing.pack(docs))
 
 
-STAGES = [("packing", pack)]
+STAGES = [
+    ("quality", quality),
+    ("near_dedup", near_dedup),
+    ("decontamination", decontaminate),
+    ("redaction", redact),
+    ("packing", pack),
+]
+
+#: SQL expresses neither the trained labeller, the signatures nor the tokenizer.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages to the documents of `sf_dir`, each written and read again."""
-    docs = queries.table(spark, sf_dir, "documents")
+    docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), name)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -1,13 +1,13 @@
 """Trailing return counts per customer.
 
 For a return at instant t the count covers the customer's returns in [t - days, t). Instead of
-a sliding frame (each row re-reads its whole frame) or a range self-join, every past return
-becomes two steps on its customer's timeline: +1 at t and -1 at t + days. The running sum of
-the steps strictly before t is the count, at the cost of one sort.
+a sliding frame (each row re-reads its whole frame) or a range self-join, it is the difference of
+two running counts, of the returns before t and of those before t - days. Both frames only grow, so
+they cost one shuffle and one sort together, however dense a customer's returns are.
 
 Timelines of up to HOT returns take one shuffle and one window. A customer may also hold a third
 of all returns; such timelines are cut into ten-minute slices (`_by_slice`), so that no task holds one
-whole. At most one customer per HOT returns is hot, which bounds the broadcast that tells the two
+whole; the counts are the same either way. At most one customer per HOT returns is hot, which bounds the broadcast that tells the two
 apart: a million ids for a trillion returns.
 """
 
@@ -23,13 +23,15 @@ HOT = 1_000_000
 SLICE_MICROS = 600_000_000
 
 
-def with_trailing_count(
-    returns: DataFrame, days: int = 90, history: DataFrame | None = None, hot: int = HOT
-) -> DataFrame:
+def with_trailing_count(returns: DataFrame, days: int = 90, history: DataFrame | None = None) -> DataFrame:
     """Every return with its `trailing_returns`; 0 where customer or date is null.
 
     `history` holds the returns to count, by default the given ones.
     """
+    return _with_trailing_count(returns, days, history, HOT)
+
+
+def _with_trailing_count(returns: DataFrame, days: int, history: DataFrame | None, hot: int) -> DataFrame:
     known = F.col("customer_id").isNotNull() & F.col("return_date").isNotNull()
     at = micros(F.col("return_date")).alias("_at")
     rows = returns.where(known).select("*", at)
@@ -58,15 +60,18 @@ def _before(*keys: str) -> Column:
 
 
 def _by_customer(rows: DataFrame, past: DataFrame, days: int, own: bool) -> DataFrame:
-    """Counts from whole timelines. `own`: the rows are the past, and so are steps themselves."""
-    leaves = (F.col("_at") + days * DAY_MICROS).alias("_at")
-    steps = past.select("customer_id", leaves, F.lit(-1).alias("_step"))
+    """Counts from whole timelines. `own`: the rows are the past themselves."""
+    timeline = rows.withColumns({"_step": F.lit(1 if own else 0), "_asked": F.lit(True)})
     if not own:
-        steps = steps.unionByName(past.select("customer_id", "_at", F.lit(1).alias("_step")))
-    timeline = rows.withColumns({"_step": F.lit(1 if own else 0), "_asked": F.lit(True)}).unionByName(
-        steps, allowMissingColumns=True
-    )
-    return timeline.withColumn("trailing_returns", _before("customer_id")).where("_asked")
+        seen = past.select("customer_id", "_at", F.lit(1).alias("_step"))
+        timeline = timeline.unionByName(seen, allowMissingColumns=True)
+    ordered = Window.partitionBy("customer_id").orderBy("_at")
+
+    def before(offset: int) -> Column:
+        frame = ordered.rangeBetween(Window.unboundedPreceding, -offset - 1)
+        return F.coalesce(F.sum("_step").over(frame), F.lit(0))
+
+    return timeline.withColumn("trailing_returns", before(0) - before(days * DAY_MICROS)).where("_asked")
 
 
 def _by_slice(rows: DataFrame, past: DataFrame, days: int, own: bool) -> DataFrame:

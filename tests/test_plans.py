@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from backhaul import schemas
 from backhaul.adapter import open_tables
 from backhaul.checks.queries import QUERIES
-from backhaul.operators import merge_upsert, quality, rules, with_trailing_count
+from backhaul.operators import merge_upsert, quality, rules
+from backhaul.operators.trailing import _with_trailing_count
 from backhaul.plans import features, reports, signals, views
 from conftest import SF_DIR, day
 
@@ -114,7 +115,7 @@ def test_hot_customer_is_split_among_high_risk(spark, hot):
 
 def test_hot_customer_is_split_in_trailing_counts(spark, hot):
     with settings(spark, SKEW):
-        counted = with_trailing_count(hot["returns"].select("return_id", "customer_id", "return_date"), hot=100)
+        counted = _with_trailing_count(hot["returns"].select("return_id", "customer_id", "return_date"), 90, None, 100)
         rows, plan = executed(counted)
     # Hot timelines are cut into slices; the list of their customers is all that is broadcast.
     assert "_slice#" in plan
@@ -131,7 +132,7 @@ def test_hot_instant_is_folded_then_split(spark, hot):
     same = F.when(F.col("return_id") < N // 2, F.lit("2025-02-01").cast("timestamp_ntz")).otherwise(F.col("return_date"))
     returns = hot["returns"].select("return_id", "customer_id", same.alias("return_date"))
     with settings(spark, SKEW):
-        rows, plan = executed(with_trailing_count(returns, hot=100))
+        rows, plan = executed(_with_trailing_count(returns, 90, None, 100))
     assert "SortMergeJoin(skew=true)" in plan
     at = {r.return_id: r.trailing_returns for r in rows}
     before = sum(1 for i in range(N // 2, N) if i % 500 == 1)

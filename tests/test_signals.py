@@ -7,7 +7,8 @@ from random import Random
 import pytest
 from pyspark.sql import functions as F
 
-from backhaul.operators import rules, with_trailing_count
+from backhaul.operators import rules
+from backhaul.operators.trailing import HOT, _with_trailing_count
 from backhaul.plans import signals
 from conftest import day
 
@@ -26,8 +27,8 @@ def history(spark, rows):
     return spark.createDataFrame(rows, "return_id long, customer_id long, return_date timestamp_ntz")
 
 
-def counts(df, **options):
-    rows = with_trailing_count(df, **options).collect()
+def counts(df, days=90, history=None, hot=HOT):
+    rows = _with_trailing_count(df, days, history, hot).collect()
     assert len(rows) == df.count()
     return {r.return_id: r.trailing_returns for r in rows}
 

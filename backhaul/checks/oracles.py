@@ -77,7 +77,7 @@ CTES = {
     "event_counts": (
         """select event_id as return_id, count(*) over (partition by user_id order by ts
              range between interval 90 days preceding and interval 1 microsecond preceding) as n
-           from events where event_type = 'error'""",
+           from events""",
         (),
     ),
     "cleaned": (
@@ -109,7 +109,16 @@ CTES = {
            qualify row_number() over (partition by return_id order by return_date desc nulls first, seq desc) = 1""",
         ("cleaned",),
     ),
-    "dated": ("select * from cleaned where return_date is not null", ("cleaned",)),
+    "storable_latest": (
+        """select * from storable
+           qualify row_number() over (partition by return_id order by return_date desc nulls first, seq desc) = 1""",
+        ("storable",),
+    ),
+    "storable": (
+        """select * from cleaned where return_id is not null and order_item_id is not null and customer_id is not null
+           and return_date is not null and return_reason is not null and return_channel is not null and refund_amount is not null""",
+        ("cleaned",),
+    ),
     "customer_counts": (
         """select c.customer_id, count(r.return_id) as lifetime_returns
            from customers c left join returns r on r.customer_id = c.customer_id group by c.customer_id""",
@@ -193,6 +202,11 @@ def _upsert_returns(batch: str) -> str:
     return f"select * replace (cast(fraud_score as double) as fraud_score) from ({merged})"
 
 
+def _astray(source: str, key: str, column: str, every: int) -> str:
+    """A table of which some rows refer to negative keys, which no parent has."""
+    return f"(select * replace (case when {key} % {every} = 0 then -{column} else {column} end as {column}) from {source})"
+
+
 def _repeated(name: str, source: str, column: str) -> str:
     return f"""select '{name}' as table_name, '{column}' as column_name, cast({column} as varchar) as value, count(*) as n_rows
         from {source} group by {column} having count(*) > 1 or {column} is null"""
@@ -280,7 +294,7 @@ ORACLES: dict[str, str] = {
         ),
         "order_items_batch",
     ),
-    "upsert_returns": _with(_upsert_returns("dated"), "returns", "dated"),
+    "upsert_returns": _with(_upsert_returns("storable"), "returns", "storable"),
     "insert_if_absent": _with(
         f"""select customer_id, email, segment, created_at, cast(lifetime_value as double) as lifetime_value, cast(risk_score as double) as risk_score from (
               {_old("customers")}
@@ -296,7 +310,27 @@ ORACLES: dict[str, str] = {
            from returns r left join (select return_id, max(score) as top from signals group by return_id) s on s.return_id = r.return_id""",
         "returns", "signals",
     ),
-    "run_etl": _with(_upsert_returns("cleaned_latest"), "returns", "cleaned_latest"),
+    "run_etl": _with(_upsert_returns("storable_latest"), "returns", "storable_latest"),
+    "run_etl_rejects": _with(
+        """select return_id, customer_id, return_date, return_reason, cast(refund_amount as double) as refund_amount from cleaned
+           where (return_id, seq) not in (select (return_id, seq) from storable)""",
+        "cleaned", "storable",
+    ),
+    "run_etl_dimensions": _with(
+        """select 'customers' as table_name, count(*) as n_rows, cast(sum(customer_id) as bigint) as keys, cast(sum(lifetime_value) as double) as amount from customers
+           union all select 'products', count(*), cast(sum(product_id) as bigint), cast(sum(unit_price) as double) from products
+           union all select 'orders', count(*), cast(sum(order_id) as bigint), cast(sum(total_amount) as double) from d_orders
+           union all select 'order_items', count(*), cast(sum(order_item_id) as bigint), cast(sum(unit_price) as double) from order_items""",
+        "customers", "products", "d_orders", "order_items",
+    ),
+    "scan_mixed_dates": _with(
+        """select order_id, coalesce(try_strptime(written, '%m/%d/%Y'), try_strptime(written, '%b %d, %Y'),
+             try_strptime(written, '%Y%m%d'), try_strptime(written, '%Y-%m-%d')) as order_date
+           from (select order_id, case order_id % 5 when 0 then strftime(order_date, '%-m/%-d/%Y')
+             when 1 then strftime(order_date, '%b %-d, %Y') when 2 then 'soon'
+             when 3 then strftime(order_date, '%Y%m%d') else strftime(order_date, '%Y-%m-%d') end as written from d_orders)""",
+        "d_orders",
+    ),
     "fraud_signal_log": _with(
         "select return_id, signal_type, severity, round(score, 3) as score, evidence, model_version from signals", "signals"
     ),
@@ -322,11 +356,11 @@ ORACLES: dict[str, str] = {
     "dq_fk": _with(
         " union all ".join(
             [
-                _orphans("orders", f"({_old('orders', 'd_orders')})", "customer_id", _old("customers"), "customer_id"),
-                _orphans("order_items", "order_items", "order_id", _old("orders", "d_orders"), "order_id"),
-                _orphans("order_items", "order_items", "product_id", _old("products"), "product_id"),
-                _orphans("returns", "returns", "order_item_id", "select * from order_items", "order_item_id"),
-                _orphans("returns", "returns", "customer_id", _old("customers"), "customer_id"),
+                _orphans("orders", _astray("d_orders", "order_id", "customer_id", 97), "customer_id", "select * from customers", "customer_id"),
+                _orphans("order_items", _astray("order_items", "order_item_id", "order_id", 89), "order_id", "select * from d_orders", "order_id"),
+                _orphans("order_items", _astray("order_items", "order_item_id", "product_id", 83), "product_id", "select * from products", "product_id"),
+                _orphans("returns", _astray("returns", "return_id", "order_item_id", 79), "order_item_id", "select * from order_items", "order_item_id"),
+                _orphans("returns", _astray("returns", "return_id", "customer_id", 73), "customer_id", "select * from customers", "customer_id"),
                 _orphans("fraud_signals", "signals", "return_id", "select * from returns", "return_id"),
             ]
         ),
@@ -483,11 +517,11 @@ ORACLES: dict[str, str] = {
            union all
            select event_id, 'time_anomaly', 'low', 0.35,
              concat('{"return_date":"', rtrim(rtrim(strftime(ts, '%Y-%m-%d %H:%M:%S.%f'), '0'), '.'), '"}'), 'rules_v1'
-           from events where event_type = 'error' and hour(ts) in (23, 0, 1, 2, 3)""",
+           from events where hour(ts) in (23, 0, 1, 2, 3)""",
         "event_counts",
     ),
     "all_signals_since": _with(
-        """select s.* from signals s join returns r on r.return_id = s.return_id
+        """select s.return_id, s.signal_type, s.severity, round(s.score, 3) as score, s.evidence, s.model_version from signals s join returns r on r.return_id = s.return_id
            where r.return_date >= timestamp '1998-02-01 00:00:00'""",
         "signals", "returns",
     ),
@@ -536,4 +570,20 @@ ORACLES: dict[str, str] = {
              round(sum(count(*)) over () / (count(*) over () * count(*)), 6) as weight from labelled group by fraud_flagged""",
         "labelled",
     ),
+    "logistic_regression": _with(
+        "select coefficient, cast(0 as double) as slope from (values "
+        + ", ".join(f"('{c}')" for c in ("refund_amount", "restocking_fee", "cycle_time_hours", "customer_lifetime_returns", "days_since_purchase", "intercept"))
+        + ") as t(coefficient) union all "
+        + " union all ".join(
+            f"select distinct concat('{c}=', coalesce({c}, '__null__')), cast(0 as double) from labelled"
+            for c in ("return_reason", "return_channel", "condition_received")
+        ),
+        "labelled",
+    ),
+    "score_returns": _with(
+        """select r.return_id, cast(r.fraud_score as double) as fraud_score,
+             case when r.fraud_score is not null then r.fraud_flagged end as fraud_flagged,
+             r.fraud_score is null as newly_scored from returns r""",
+        "returns",
+    ),
 }

@@ -101,6 +101,5 @@ def normalize_condition(text: Column, keep_canonical: bool = False) -> Column:
 def coerce_flag(flag: Column) -> Column:
     """Boolean from a boolean, number or text; null and unreadable values become false."""
     text = strip(flag.cast("string"))
-    return F.coalesce(
-        text.try_cast("boolean"), text.try_cast("double") != F.lit(0.0), F.lit(False)
-    )
+    number = F.nanvl(text.try_cast("double"), F.lit(0.0))
+    return F.coalesce(text.try_cast("boolean"), number != F.lit(0.0), F.lit(False))

@@ -3,49 +3,69 @@
 from __future__ import annotations
 
 import logging
+from collections.abc import Callable
 from datetime import datetime
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from backhaul import schemas, sources
-from backhaul.operators.upsert import merge_upsert, update_scores
+from backhaul.operators.dedupe import dedupe_returns
+from backhaul.operators.upsert import merge_upsert, storable, update_scores
 from backhaul.plans import features, model
-from backhaul.plans.cleaning import transform_returns
+from backhaul.plans.cleaning import normalize_returns
 from backhaul.plans.signals import all_signals, signal_log
-from backhaul.session import configure, written
+from backhaul.session import configure, staged
 from backhaul.sources.csv import SEQ
 from backhaul.sources.warehouse import Warehouse
 
 log = logging.getLogger(__name__)
 
 
-def upsert(
-    old: Warehouse, new: Warehouse, name: str, batch: DataFrame, loaded_at: datetime | None = None
-) -> int:
-    """Merge a batch into a table of `old`, write the result to `new`; rows submitted.
+class Load(NamedTuple):
+    """Rows of a batch that were merged into a table, and rows set aside."""
+
+    loaded: int
+    rejected: int
+
 
-    The batch is staged first, so its files are parsed once and its row order is settled.
-    Fails on unknown tables and on null keys before the table is written.
+def upsert(
+    old: Warehouse,
+    new: Warehouse,
+    name: str,
+    batch: DataFrame,
+    loaded_at: datetime | None = None,
+    latest: Callable[[DataFrame], DataFrame] | None = None,
+) -> Load:
+    """Merge a batch into a table of `old`, write the result to `new`.
+
+    The batch is staged first, so its files are parsed once and its row order is settled; staging
+    goes when the table is written. Rows that lack a required value are written to `rejects` below the
+    new version, as they came, and take no further part, so they cannot displace good rows. `latest`
+    reduces the others to one row per key.
     """
     table = schemas.TABLES.get(name)
     if table is None or not table.updated:
         raise ValueError(f"No upsert rule for table '{name}'")
-    batch = written(batch, f"{name}-batch")
-    submitted, null_keys = batch.agg(
-        F.count("*"), F.count_if(F.col(table.key).isNull())
-    ).first()
-    if null_keys:
-        raise ValueError(f"{null_keys} rows for {name} have no {table.key}")
-    new.write(name, merge_upsert(old.table(name), batch, table, SEQ, loaded_at))
-    log.info("Upserted %d rows into %s", submitted, name)
-    return submitted
+    with staged(batch, f"{name}-batch") as rows:
+        good = storable(rows, table)
+        loaded, rejected = rows.agg(F.count_if(good), F.count_if(~good)).first()
+        if rejected:
+            new.write_rejects(name, rows.where(~good))
+        fit = rows.where(good)
+        merged = merge_upsert(
+            old.table(name), latest(fit) if latest else fit, table, SEQ, loaded_at, unique=latest is not None
+        )
+        new.write(name, merged)
+    log.info("%s: %d rows of the batch merged, %d set aside", name, loaded, rejected)
+    return Load(loaded, rejected)
 
 
 def run_etl(
     raw_dir: str, old: Warehouse, new: Warehouse, loaded_at: datetime | None = None
-) -> dict[str, int]:
-    """Load the five raw files into a new warehouse version; rows submitted per table.
+) -> dict[str, Load]:
+    """Load the five raw files into a new warehouse version; rows merged and set aside per table.
 
     Dimensions go first. A failed run leaves `old` as it was. Loading resets `fraud_flagged`
     from the file and keeps `fraud_score`, so a flag set by scoring lasts until the next load
@@ -57,26 +77,32 @@ def run_etl(
         "products": sources.read_products(spark, f"{raw}/products.csv"),
         "orders": sources.read_orders(spark, f"{raw}/orders.csv"),
         "order_items": sources.read_order_items(spark, f"{raw}/order_items.csv"),
-        "returns": transform_returns(sources.read_returns(spark, f"{raw}/returns.csv")),
+        "returns": normalize_returns(sources.read_returns(spark, f"{raw}/returns.csv")),
+    }
+    latest = {"returns": dedupe_returns}
+    return {
+        name: upsert(old, new, name, batch, loaded_at, latest.get(name)) for name, batch in batches.items()
     }
-    return {name: upsert(old, new, name, batch, loaded_at) for name, batch in batches.items()}
 
 
-def compute_signals(
-    store: Warehouse, created_at: datetime | None = None, since: datetime | None = None
-) -> None:
+def compute_signals(store: Warehouse, created_at: datetime, since: datetime | None = None) -> bool:
     """Run every rule over the warehouse's returns and append the signals to its log.
 
     With `since`, only returns loaded from then on are examined, against the full history of
-    their customers: what an hourly run needs.
+    their customers: what an hourly run needs. `created_at` names the run: one that is in the log
+    already is not logged again, so a job may be repeated. Returns whether it was logged.
     """
     configure(store.spark)
+    if store.has_signals_of(created_at):
+        return False
     returns = store.table("returns")
-    fresh = returns
+    fresh, history = returns, None
     if since is not None:
+        history = returns
         fresh = returns.where(F.col("created_at") >= F.lit(since.isoformat()).cast("timestamp_ntz"))
-    signals = all_signals(fresh, store.table("order_items"), store.table("orders"), history=returns)
+    signals = all_signals(fresh, store.table("order_items"), store.table("orders"), history=history)
     store.append_signals(signal_log(signals, created_at))
+    return True
 
 
 def _feature_tables(store: Warehouse) -> list[DataFrame]:
@@ -98,9 +124,9 @@ def score_returns(old: Warehouse, new: Warehouse, model_path: str) -> int:
     """
     fitted = model.load(configure(old.spark), model_path)
     probabilities = model.score(fitted, features.scoring_frame(*_feature_tables(old)))
-    scores = written(model.stored_scores(probabilities), "scores")
-    scored = scores.count()
-    if scored:
-        new.write("returns", update_scores(old.table("returns"), scores))
-    log.info("Scored %d returns", scored)
+    with staged(model.stored_scores(probabilities), "scores") as scores:
+        scored = scores.count()
+        if scored:
+            new.write("returns", update_scores(old.table("returns"), scores))
+    log.info("New scores for %d returns", scored)
     return scored

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -40,19 +41,29 @@ def conform(batch: DataFrame, table: Table, seq: str = SEQ, loaded_at: datetime
     return batch.select(*cells)
 
 
+def storable(batch: DataFrame, table: Table) -> Column:
+    """Whether a row of the batch can be stored: the required columns it supplies hold a value that
+    fits their type. Never null."""
+    given = [c for c in table.required if c in batch.columns]
+    fits = [F.col(c).try_cast(table.schema[c].dataType).isNotNull() for c in given]
+    return reduce(lambda a, b: a & b, fits, F.lit(True))
+
+
 def merge_upsert(
     target: DataFrame,
     batch: DataFrame,
     table: Table,
     seq: str = SEQ,
     loaded_at: datetime | None = None,
+    unique: bool = False,
 ) -> DataFrame:
     """Insert new keys and update the `updated` columns of known ones, in order of `seq`.
 
     When a key repeats in the batch, updated columns take its last row and insert-only columns
     its first. Both are folded per key before the shuffle, and both join sides are unique per
     key, so repeated keys do not skew the join. Columns no batch supplies keep the target's
-    value, or get their default on new rows.
+    value, or get their default on new rows. `unique`: no key repeats in the batch, so nothing is
+    folded.
     """
     given = [c for c in table.columns if c in (table.key, *table.updated, *table.inserted)]
     rows = conform(batch.select(*[c for c in given if c in batch.columns], seq), table, seq, loaded_at)
@@ -60,7 +71,11 @@ def merge_upsert(
     folds = [F.max_by(F.struct(*table.updated), seq).alias("_last")]
     if fixed:
         folds.append(F.min_by(F.struct(*fixed), seq).alias("_first"))
-    new = rows.groupBy(table.key).agg(*folds).withColumn("_given", F.lit(True))
+    if unique:
+        ends = [F.struct(*table.updated).alias("_last"), *([F.struct(*fixed).alias("_first")] if fixed else [])]
+        new = rows.select(table.key, *ends).withColumn("_given", F.lit(True))
+    else:
+        new = rows.groupBy(table.key).agg(*folds).withColumn("_given", F.lit(True))
     old = target.select(*table.columns).withColumn("_known", F.lit(True))
     both = old.join(new, table.key, "full_outer")
     cells = {table.key: F.col(table.key)}

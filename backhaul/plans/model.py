@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.errors import AnalysisException
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexer, VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexer, StringIndexerModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -140,6 +140,36 @@ def score(model: PipelineModel, frame: DataFrame) -> DataFrame:
     )
 
 
+def coefficient_names(model: PipelineModel) -> list[str]:
+    """Names of the coefficients in order; categories as column=value."""
+    indexer = next(s for s in model.stages if isinstance(s, StringIndexerModel))
+    values = [f"{c}={v}" for c, labels in zip(CATEGORICAL_FEATURES, indexer.labelsArray) for v in labels]
+    return [*NUMERIC_FEATURES, *values]
+
+
+def slopes(model: PipelineModel, frame: DataFrame) -> DataFrame:
+    """`coefficient, slope`: derivative of the penalised weighted loss by each coefficient, over the
+    row count, rounded to 4 places. The intercept carries no penalty."""
+    fitted = model.stages[-1]
+    names = [*coefficient_names(model), "intercept"]
+    penalty = [*fitted.coefficients.toArray().tolist(), 0.0]
+    label = F.col("label").cast("boolean")
+    rows = model.transform(frame).select(
+        F.concat(vector_to_array("features"), F.array(F.lit(1.0))).alias("x"),
+        (F.element_at(vector_to_array("probability"), 2) - label.cast("double")).alias("gap"),
+        label.alias("label"),
+    )
+    weighted = rows.join(F.broadcast(class_weights(frame).select("label", "weight")), "label")
+    each = weighted.select(F.posexplode("x").alias("at", "x"), (F.col("gap") * F.col("weight")).alias("gap"))
+    sums = each.groupBy("at").agg(F.sum(F.col("gap") * F.col("x")).alias("loss"), F.count("*").alias("n"))
+    at = F.col("at") + 1
+    name = F.element_at(F.array(*map(F.lit, names)), at)
+    shrink = F.element_at(F.array(*map(F.lit, penalty)), at) / C
+    return sums.select(
+        name.alias("coefficient"), (F.round((F.col("loss") + shrink) / F.col("n"), 4) + 0.0).alias("slope")
+    )
+
+
 def stored_scores(scores: DataFrame) -> DataFrame:
     """Scores as they are stored: three decimals, and the flag of the unrounded score."""
     p = F.col("probability")

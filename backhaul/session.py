@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import zipfile
+from contextlib import contextmanager
 from functools import cache
 from pathlib import Path
 from uuid import uuid4
@@ -61,6 +62,19 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{base.rstrip('/')}/{label}-{uuid4().hex}"
 
 
+@contextmanager
+def staged(df: DataFrame, label: str):
+    """`df` written once to scratch and read back; its files go at the end."""
+    spark = df.sparkSession
+    path = scratch_path(spark, label)
+    df.write.parquet(path)
+    try:
+        yield spark.read.schema(df.schema).parquet(path)
+    finally:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """Write `df` once to scratch and read it back: cuts lineage and survives executor loss."""
     spark = df.sparkSession

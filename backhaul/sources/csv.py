@@ -9,12 +9,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DataType, IntegralType, StringType
+from pyspark.sql.types import DataType, IntegralType, StringType, TimestampNTZType
 
 from backhaul import schemas
 from backhaul.functions import null_tokens
 
 SEQ = "ingest_seq"
+#: Formats tried in turn for dates that are not ISO.
+DATE_FORMATS = ("M/d/yyyy H:mm:ss", "M/d/yyyy H:mm", "M/d/yyyy", "MMM d, yyyy", "MMMM d, yyyy", "d MMM yyyy", "yyyyMMdd")
 
 # Cleaned by `transform_returns`, which must see the original text.
 RETURN_TEXT_COLUMNS = (
@@ -26,11 +28,15 @@ RETURN_TEXT_COLUMNS = (
 )
 
 
-def _typed(text: Column, kind: DataType) -> Column:
+def _typed(text: Column, kind: DataType, formats: tuple[str, ...]) -> Column:
     """Cell as the given type, null if it does not read as one."""
     if isinstance(kind, IntegralType):
-        # A whole-number column with gaps is often written as "72.0".
-        text = text.try_cast("decimal(20,0)")
+        # A whole-number column with gaps is often written as "72.0"; any other fraction is no id.
+        number = text.try_cast("decimal(30,10)")
+        return F.when(number == F.floor(number), number).try_cast(kind)
+    if isinstance(kind, TimestampNTZType):
+        others = [F.try_to_timestamp(text, F.lit(f)).cast(kind) for f in formats]
+        return F.coalesce(text.try_cast(kind), *others)
     return text.try_cast(kind)
 
 
@@ -40,6 +46,7 @@ def _read(
     table: schemas.Table,
     as_text: tuple[str, ...] = (),
     multi_line: bool = False,
+    date_formats: tuple[str, ...] = DATE_FORMATS,
 ) -> DataFrame:
     def reader():
         return (
@@ -55,7 +62,7 @@ def _read(
     rows = reader().schema(header).option("enforceSchema", False).csv(path)
     types = {f.name: f.dataType for f in table.schema.fields if f.name not in as_text}
     cells = [
-        _typed(null_tokens(F.col(f"`{c}`")), types.get(c, StringType())).alias(c)
+        _typed(null_tokens(F.col(f"`{c}`")), types.get(c, StringType()), date_formats).alias(c)
         for c in header.fieldNames()
     ]
     seq = F.struct(

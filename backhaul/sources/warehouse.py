@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from datetime import datetime
+
+from pyspark.sql import DataFrame, DataFrameWriter, SparkSession
 from pyspark.sql import functions as F
 
 from backhaul import schemas
@@ -32,25 +33,37 @@ class Warehouse:
         """The newest version of a table, or an empty one if it was never written."""
         schema = schemas.TABLES[name].schema
         for path in self.paths:
-            try:
-                return self.spark.read.schema(schema).parquet(f"{path}/{name}")
-            except AnalysisException as error:
-                if error.getCondition() != "PATH_NOT_FOUND":
-                    raise
+            if self._complete(f"{path}/{name}"):
+                return self.spark.read.schema(schema).parquet(f"{path}/{name}").select(*schema.fieldNames())
         return self.spark.createDataFrame([], schema)
 
+    def _complete(self, folder: str) -> bool:
+        """Whether a write to the folder has ended; one that broke off leaves files but no mark."""
+        mark = self.spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/_SUCCESS")
+        return mark.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(mark)
+
     def write(self, name: str, df: DataFrame) -> None:
         """Write a whole table; refuses to replace one, since readers may be on it."""
         df = df.select(*schemas.TABLES[name].columns)
         if name in TIME_COLUMNS:
             df = by_month(df, TIME_COLUMNS[name])
-        df.write.parquet(self.location(name))
+        bloom(df.write, schemas.TABLES[name].key).parquet(self.location(name))
+
+    def write_rejects(self, name: str, rows: DataFrame) -> None:
+        """Keep rows of a batch that could not be stored, as they came."""
+        rows.write.parquet(f"{self.paths[0]}/rejects/{name}")
+
+    def has_signals_of(self, created_at: datetime) -> bool:
+        """Whether the log holds a run of this time."""
+        at = F.lit(created_at.isoformat()).cast("timestamp_ntz")
+        return not self.table("fraud_signals").where(F.col("created_at") == at).isEmpty()
 
     def append_signals(self, signals: DataFrame) -> None:
-        """Add rows to the log. A run shares one `created_at`, so readers of a period skip the
-        files of other runs by their statistics."""
-        columns = schemas.FRAUD_SIGNALS.columns
-        signals.select(*columns).write.mode("append").parquet(self.location("fraud_signals"))
+        """Add rows to the log. It has a folder per day of `created_at`; files are sorted by return
+        and carry a Bloom filter on it, so a period and a single return each read little."""
+        rows = signals.select(*schemas.FRAUD_SIGNALS.columns).withColumn("day", F.to_date("created_at"))
+        rows = rows.hint("rebalance").sortWithinPartitions("day", "return_id")
+        bloom(rows.write, "return_id").mode("append").partitionBy("day").parquet(self.location("fraud_signals"))
 
     def register(self) -> None:
         """Temp views for the tables and KPI views, so their SQL runs by name."""
@@ -67,6 +80,13 @@ class Warehouse:
         return self.spark.sql(query, args=args or None)
 
 
+def bloom(writer: DataFrameWriter, column: str) -> DataFrameWriter:
+    """Files that tell readers of single values of a column whether they can be skipped."""
+    return writer.option(f"parquet.bloom.filter.enabled#{column}", "true").option(
+        f"parquet.bloom.filter.adaptive.enabled#{column}", "true"
+    )
+
+
 def by_month(df: DataFrame, ts: str) -> DataFrame:
     """Cluster rows by month; a month too big for one partition is split by AQE."""
     months = df.withColumn("_month", month_of(F.col(ts))).hint("rebalance", F.col("_month"))

@@ -27,8 +27,7 @@ def plain(columns, rows):
 
 def test_every_oracle_has_a_query():
     assert set(ORACLES) <= set(QUERIES)
-    # Iterative fits have no SQL form; test_model.py checks them against a Newton solve.
-    assert set(QUERIES) - set(ORACLES) == {"logistic_regression", "score_returns"}
+    assert set(QUERIES) == set(ORACLES)
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
@@ -40,7 +39,3 @@ def test_query_matches_oracle(spark, duck, name):
     assert got == plain(theirs.columns, theirs.fetchall())
 
 
-def test_scored_returns_are_complete(spark):
-    out = registered()["score_returns"](spark, str(SF_DIR))
-    assert out.where("fraud_score is null or fraud_score < 0 or fraud_score > 1").count() == 0
-    assert out.count() == registered()["signal_input"](spark, str(SF_DIR)).count()

@@ -1,0 +1,386 @@
+"""Near-duplicates, decontamination, personal data, language model and the pipeline."""
+
+from __future__ import annotations
+
+import hashlib
+import math
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import duckdb
+import numpy as np
+import pyarrow as pa
+import pytest
+from cases import ODD, SF_DIR, documents
+
+import corpus_pipeline
+from backhaul.llm import bag_minhash, components, decontamination, lm_scoring, pii
+from backhaul.llm.queries import ORACLES
+from backhaul.llm.words import buffers
+
+needs_tables = pytest.mark.skipif(not SF_DIR.exists(), reason="test tables not present")
+
+
+def lower(text):
+    return re.sub("[A-Z]+", lambda m: m.group().lower(), text or "")
+
+
+def spaced(text):
+    return re.findall(r"[^\x20\x09-\x0D]+", lower(text))
+
+
+# --- near-duplicates --------------------------------------------------------------------------
+
+
+def bag(text):
+    words = spaced(text)
+    if 0 < len(words) < 5:
+        return Counter([tuple(words)])
+    return Counter(tuple(words[i : i + 5]) for i in range(len(words) - 4))
+
+
+def brute_classes(rows, similarity=0.8):
+    texts = sorted({t or "" for _, t in rows})
+    bags = [bag(t) for t in texts]
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, a in enumerate(bags):
+        for j in range(i):
+            low, high = sum((a & bags[j]).values()), sum((a | bags[j]).values())
+            if high and low >= similarity * high - 1e-12:
+                root[find(i)] = find(j)
+    members = defaultdict(list)
+    for doc_id, text in rows:
+        members[find(texts.index(text or ""))].append(doc_id)
+    out = []
+    for ids in members.values():
+        known = [i for i in ids if i is not None]
+        out += [(str(i), str(min(known)) if known else "None", len(ids)) for i in ids]
+    return sorted(out)
+
+
+def near_rows():
+    draw = np.random.default_rng(4)
+    vocabulary = [f"w{i}" for i in range(400)]
+    rows, doc_id = [], 0
+    for size in (60, 150, 400):
+        base = [str(w) for w in draw.choice(vocabulary, size)]
+        for edits in (0, 0, 1, 1, 2, 3, 5, 8, 12, 20, 40):
+            words = list(base)
+            for at in draw.integers(0, size, edits * size // 150 + (edits > 0)):
+                words[at] = f"x{draw.integers(10**6)}"
+            rows.append((doc_id, " ".join(words).upper() if edits == 3 else " ".join(words)))
+            doc_id += 1
+    rows.append((doc_id, "ab " * 500))
+    rows.append((doc_id + 1, "ab " * 450))
+    rows.append((doc_id + 2, "ab " * 200))
+    return rows
+
+
+def test_classes_are_those_of_brute_force(spark):
+    rows = [*near_rows(), *[(None if d is None else d + 1000, t) for d, t in ODD]]
+    found = bag_minhash.near_duplicates(documents(spark, rows)).collect()
+    assert sorted((str(r.doc_id), str(r.class_id), r.class_size) for r in found) == brute_classes(rows)
+
+
+def test_one_per_class(spark):
+    rows = near_rows()
+    frame = documents(spark, [*rows, *rows[:3], (None, rows[0][1])])
+    kept = bag_minhash.one_per_class(frame)
+    assert kept.columns == frame.columns
+    assert sorted(r.doc_id for r in kept.collect()) == sorted({int(c) for _, c, _ in brute_classes(rows)})
+
+
+def test_no_documents_and_no_words(spark):
+    assert bag_minhash.near_duplicates(documents(spark, [])).count() == 0
+    blank = bag_minhash.near_duplicates(documents(spark, [(1, None), (2, ""), (3, " ")])).collect()
+    assert sorted((r.doc_id, r.class_id, r.class_size) for r in blank) == [(1, 1, 2), (2, 1, 2), (3, 3, 1)]
+
+
+@pytest.mark.parametrize(("a", "b", "want"), [((1, 1, 1, 5), (1, 1, 1, 9), 8 / 12), ((3, 0, 16, 2), (3, 7, 4, 2), 9 / 28), ((1000, 1, 0, 0), (700, 0, 1, 1), 700 / 1003)])
+def test_signatures_estimate_weighted_similarity(a, b, want):
+    key = np.arange(4, dtype=np.uint64) + np.uint64(77)
+    both = []
+    for w in (a, b):
+        w = np.array(w)
+        some = w > 0
+        both.append(bag_minhash.signatures(key[some], np.zeros(some.sum(), int), w[some], 1, 4000)[0])
+    assert np.mean(both[0] == both[1]) == pytest.approx(want, abs=4 * math.sqrt(0.25 / 4000))
+
+
+def test_components(spark):
+    draw = np.random.default_rng(1)
+    edges = [(int(a), int(b)) for a, b in draw.integers(0, 120, (70, 2))] + [(200 + i, 201 + i) for i in range(40)]
+    found = dict(components.components(spark.createDataFrame(edges, "a long, b long")).collect())
+    root = {n: n for e in edges for n in e}
+    for _ in root:
+        for a, b in edges:
+            root[a] = root[b] = min(root[a], root[b])
+    assert found == {n: r for n, r in root.items() if n != r}
+
+
+# --- decontamination --------------------------------------------------------------------------
+
+
+def test_windows_of_brute_force(spark):
+    items = [(1, " ".join(f"q{i}" for i in range(20))), (2, "Short ITEM here"), (3, None), (4, "..."), (2, "second text"), (None, "no id item"), (5, " ".join(f"q{i}" for i in range(20)))]
+    long_run = " ".join(f"q{i}" for i in range(3, 18))
+    rows = [*ODD, (30, f"x, {long_run}! y"), (31, "short item here, short  item-here"), (32, " ".join(f"q{i}" for i in range(12))),
+            (33, "z " * 300 + "second Text"), (34, "no id item"), (35, " ".join(f"q{i}" for i in range(20)) * 2), (30, long_run)]
+    frame = documents(spark, rows)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(t))
+    want = []
+    for doc_id, text in rows:
+        words, hit, ids = split(text), set(), set()
+        for item_id, item in items:
+            own = split(item)
+            n = min(13, len(own))
+            for k in range(len(own) - n + 1 if n else 0):
+                for p in range(len(words) - n + 1):
+                    if words[p : p + n] == own[k : k + n]:
+                        hit.update(range(p, p + n))
+                        ids.add("" if item_id is None else str(item_id))
+        digest = hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest()
+        want.append((str(doc_id), len(words), len(hit), len(ids), digest, bool(hit) and 20 * len(hit) >= len(words)))
+    for bound in (10**6, 0):
+        rows_ = decontamination.contamination(frame, bench, bound=bound).collect()
+        assert sorted((str(r.doc_id), *r[1:]) for r in rows_) == sorted(want)
+    clean = decontamination.clean(frame, bench)
+    assert clean.columns == frame.columns
+    assert sorted(str(r.doc_id) for r in clean.collect()) == sorted(d for d, *_, bad in want if not bad)
+    none = spark.createDataFrame([], "item_id long, text string")
+    assert decontamination.contamination(frame, none).where("n_hit > 0 or contaminated").count() == 0
+    assert decontamination.contamination(documents(spark, []), bench).count() == 0
+
+
+@needs_tables
+def test_oracles(spark):
+    from backhaul.llm.queries import QUERIES
+
+    con = duckdb.connect()
+    for file in SF_DIR.glob("*.parquet"):
+        con.execute(f"create view {file.stem} as select * from '{file}'")
+    for name, sql in ORACLES.items():
+        theirs = con.sql(sql)
+        ours = QUERIES[name](spark, str(SF_DIR)).select(*theirs.columns)
+        assert sorted(map(tuple, ours.collect())) == sorted(theirs.fetchall())
+
+
+# --- personal data ----------------------------------------------------------------------------
+
+PATTERNS = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def valid(kind, text):
+    digits = [int(c) for c in text if c in "0123456789"]
+    if kind == "ip":
+        return all(int(p) <= 255 for p in text.split("."))
+    if kind == "phone":
+        return 10 <= len(digits) <= 15
+    if kind == "card":
+        total = sum(d if i % 2 == 0 else d * 2 - 9 * (d > 4) for i, d in enumerate(reversed(digits)))
+        return 14 <= len(digits) <= 19 and total % 10 == 0
+    return True
+
+
+def base_spans(text):
+    found = [(m.start(), i, m.end()) for i, (k, p) in enumerate(PATTERNS.items()) for m in re.finditer(p, text or "") if valid(k, m.group())]
+    names = list(PATTERNS)
+    return ",".join(f"{names[k]}:{a}:{b}" for a, k, b in sorted(found))
+
+
+PERSONAL = [
+    *ODD,
+    (40, "é mail a.b@c.de_x@y.zz, then a@b and a@b.c. @@ x@y..z"),
+    (41, "1.2.3.4.5 256.1.1.1 0255.0.0.1 1.2.3 99999999999.1.1.1 and 10.0.0.1"),
+    (42, "4111 1111 1111 1111, 4111-1111-1111-1111 4111111111111111 5500005555555559 4111111111111112"),
+    (43, "+1 (817) 555-4081 190.137.223.204 and +49 30 123456789; (817) 555-4081"),
+    (44, "5 " * 20_000 + "+" + "(" * 500), (45, "7" * 30_000), (46, "a" * 20_000 + "@b.cd"), (47, "x@y.zz " * 700),
+]
+
+
+def test_base_spans_are_those_of_the_patterns(spark):
+    frame = documents(spark, PERSONAL)
+    found = pii.digest(pii.find(frame, pii.Model())).collect()
+    got = sorted((str(r.doc_id), r.spans, r.base_sha256, r.n_email) for r in found)
+    spans = [(d, base_spans(t)) for d, t in PERSONAL]
+    assert got == sorted((str(d), s, hashlib.sha256(s.encode()).hexdigest(), s.count("email:")) for d, s in spans)
+
+
+def test_redaction(spark):
+    frame = documents(spark, PERSONAL)
+    out = pii.redact(frame, pii.Model())
+    assert out.columns == frame.columns
+    want = []
+    for doc_id, text in PERSONAL:
+        new, at = "", 0
+        for name in filter(None, base_spans(text).split(",")):
+            kind, a, b = name.split(":")
+            if int(a) >= at:
+                new += text[at : int(a)] + f"<{kind}>"
+            at = max(at, int(b))
+        want.append((str(doc_id), None if text is None else new + text[at:]))
+    key = lambda r: (r[0], r[1] or "")
+    assert sorted(((str(r.doc_id), r.text) for r in out.collect()), key=key) == sorted(want, key=key)
+
+
+def test_nothing_to_learn_from(spark):
+    assert pii.train(documents(spark, [])) == pii.Model()
+    assert pii.train(documents(spark, ODD)) == pii.Model()
+
+
+def test_trees_find_what_the_base_rules_miss(spark):
+    draw = np.random.default_rng(2)
+
+    def card():
+        digits = [4, *draw.integers(0, 10, 14).tolist()]
+        total = sum(d * 2 - 9 * (d > 4) if i % 2 == 0 else d for i, d in enumerate(digits))
+        return "".join(map(str, digits)) + str(-total % 10)
+
+    rows = [(i, f"word {card()} word a{i}@b.example {card()[:-1]} {i % 256}.7.8.9 300.{i}.1.1 text") for i in range(400)]
+    rows += [(1000 + i, f"two {card()} {card()} in a row") for i in range(20)]
+    frame = documents(spark, rows)
+    model = pii.train(frame)
+    found = {r.doc_id: r.spans for r in pii.digest(pii.find(frame, model)).collect()}
+    for doc_id, text in rows:
+        assert set(filter(None, base_spans(text).split(","))) <= set(found[doc_id].split(","))
+    pairs = [found[1000 + i] for i in range(20)]
+    assert np.mean([s.count("card:") == 2 for s in pairs]) > 0.8
+
+
+# --- language model ---------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize(("order", "group_bytes", "shard_keys"), [(1, 1 << 20, 1 << 20), (2, 200, 40), (3, 400, 90)])
+def test_scores_are_those_of_the_definition(spark, order, group_bytes, shard_keys):
+    draw = np.random.default_rng(5)
+    rows = [(i, " ".join(draw.choice(["a", "B", "c", "d", "e"], draw.integers(0, 30)))) for i in range(120)] + ODD[:7]
+    found = lm_scoring.score(documents(spark, rows), order, group_bytes, shard_keys).collect()
+    part = lambda d: zlib.crc32(str(d).encode()) % 7
+    tokens = [(d, [*spaced(t), "</s>"]) for d, t in rows]
+    count = [Counter() for _ in range(order + 1)]
+    fold = [Counter() for _ in range(order + 1)]
+
+    def grams(words, n):
+        padded = ["<s>"] * (n - 1) + words
+        return [tuple(padded[i : i + n]) for i in range(len(words))]
+
+    for d, words in tokens:
+        if part(d) == 2:
+            continue
+        for kept in (count, fold) if part(d) == 3 else (count,):
+            kept[0]["<s>"] += 1
+            for n in range(1, order + 1):
+                kept[n].update(grams(words, n))
+    train, types = sum(count[1].values()), len(count[1])
+    fold_train = sum(fold[1].values())
+    seen = {}
+
+    def context_count(tables, gram):
+        if gram[-2] == "<s>":
+            return tables[0]["<s>"]
+        # A context at the start of a text is padded like any other gram.
+        return tables[len(gram) - 1][gram[:-1]]
+
+    def mixed(words, shares, minus):
+        total = train - (fold_train if minus else 0)
+        take = lambda n, g: count[n][g] - (fold[n][g] if minus else 0)
+        p = np.array([(take(1, g) + 1) / (total + types + 1) for g in grams(words, 1)])
+        for n, share in enumerate(shares, 2):
+            for i, g in enumerate(grams(words, n)):
+                have = context_count(count, g) - (context_count(fold, g) if minus else 0)
+                w = share[lm_scoring.bucket(np.array([have]))[0]]
+                p[i] = w * take(n, g) / max(have, 1) + (1 - w) * p[i]
+        return p
+
+    shares = []
+    for n in range(2, order + 1):
+        ratio = defaultdict(list)
+        for d, words in tokens:
+            if part(d) != 3:
+                continue
+            below = mixed(words, shares, True)
+            for g, p in zip(grams(words, n), below):
+                have = context_count(count, g) - context_count(fold, g)
+                if have:
+                    ratio[int(lm_scoring.bucket(np.array([have]))[0])].append((count[n][g] - fold[n][g]) / have / p)
+        share = np.zeros(lm_scoring.BUCKETS)
+        for b in range(1, lm_scoring.BUCKETS):
+            if not ratio[b]:
+                share[b] = share[b - 1]
+                continue
+            r, x = np.array(ratio[b]), 0.5
+            for _ in range(40):
+                x = (x * r / (x * r + 1 - x)).mean()
+            share[b] = min(x, 0.999)
+        shares.append(share)
+    want = defaultdict(list)
+    for d, words in tokens:
+        base = sum(math.log10((count[1][g] + 1) / (train + types + 1)) for g in grams(words, 1))
+        known = sum(count[1][g] > 0 for g in grams(words, 1))
+        want[d].append((part(d) == 2, len(words), known, train, round(base, 6), np.log10(mixed(words, shares, False)).sum()))
+    assert len(found) == len(rows) and not seen
+    for r in found:
+        fits = [w for w in want[r.doc_id] if w[:5] == (r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6))]
+        # The histogram rounds gains within a sixth of a factor of two.
+        assert any(r.score == pytest.approx(w[5], rel=0.01, abs=0.02) for w in fits)
+
+
+def test_probabilities_sum_to_one():
+    texts = ["a b a b c", "b c", "a a b"]
+    g = lm_scoring.Grams(pa.array(texts), 2)
+    counts = g.counts(np.ones(3, bool))
+    share = np.linspace(0, 0.9, lm_scoring.BUCKETS)
+    words = ["a", "b", "c"]
+    total = 0.0
+    for word in words:
+        h = lm_scoring.Grams(pa.array([f"a {word}"]), 2)
+        have = np.zeros(len(h.keys), np.int64)
+        known = np.isin(h.keys, g.keys)
+        have[known] = counts[np.searchsorted(g.keys, h.keys[known])]
+        total += lm_scoring._mixture(h, have, 13, 4, [share])[1]
+    end = lm_scoring.Grams(pa.array(["a"]), 2)
+    have = np.zeros(len(end.keys), np.int64)
+    known = np.isin(end.keys, g.keys)
+    have[known] = counts[np.searchsorted(g.keys, end.keys[known])]
+    total += lm_scoring._mixture(end, have, 13, 4, [share])[1]
+    after_a = lm_scoring.bucket(np.array([4]))[0]
+    assert total == pytest.approx(1 - (1 - share[after_a]) / 18)  # the rest is for unknown words
+
+
+def test_nothing_to_score(spark):
+    assert lm_scoring.score(documents(spark, [])).count() == 0
+    assert buffers(pa.array([], pa.string()))[1].tolist() == [0]
+
+
+# --- pipeline ---------------------------------------------------------------------------------
+
+
+@needs_tables
+def test_pipeline(spark):
+    names = [n for n, _ in corpus_pipeline.STAGES]
+    assert names == ["quality", "near_dedup", "decontamination", "redaction", "packing"]
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
+    frame, sizes = docs, [docs.count()]
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        frame = stage(spark, frame, str(SF_DIR))
+        assert frame.columns == docs.columns
+        sizes.append(frame.count())
+    assert sizes == sorted(sizes, reverse=True) and sizes[2] < sizes[0] and sizes[3] == sizes[4] > 0
+    assert frame.where("n_chars != length(text)").count() == 0
+    found = pii.digest(pii.find(frame, pii.Model())).where("n_email + n_ip + n_card + n_phone > 0")
+    assert found.count() == 0
+    packed = corpus_pipeline.run(spark, str(SF_DIR))
+    assert packed.select("doc_id").distinct().count() == sizes[-1]

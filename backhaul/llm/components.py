@@ -31,10 +31,13 @@ def components(edges: DataFrame) -> DataFrame:
     step is written to scratch; the number of steps grows with the logarithm of the longest path.
     """
     now = stored(edges.where("a != b").select("a", "b").distinct(), "edges")
-    mark = None
     while True:
-        found = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if found == mark:
+        # Done when the edges are stars: no node is both an end and a centre, none has two centres.
+        centres = now.select(F.col("b").alias("a"), F.lit(1).alias("centre"))
+        ends = now.select("a", F.lit(0).alias("centre"))
+        kinds = centres.union(ends).groupBy("a").agg(F.sum("centre").alias("centres"), F.count("*").alias("n"))
+        chained = kinds.where("(centres > 0 and centres < n) or (centres = 0 and n > 1)")
+        larger = now.where("a < b").select("a")
+        if chained.select("a").union(larger).isEmpty():
             return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        mark = found
         now = stored(_small_star(_large_star(now)).distinct(), "edges")

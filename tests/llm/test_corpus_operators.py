@@ -17,7 +17,9 @@ from cases import ODD, SF_DIR, documents
 import corpus_pipeline
 from backhaul.llm import bag_minhash, components, decontamination, lm_scoring, pii
 from backhaul.llm.queries import ORACLES
+from backhaul.llm.scratch import stored
 from backhaul.llm.words import buffers
+from backhaul.session import ship
 
 needs_tables = pytest.mark.skipif(not SF_DIR.exists(), reason="test tables not present")
 
@@ -370,17 +372,18 @@ def test_nothing_to_score(spark):
 
 @needs_tables
 def test_pipeline(spark):
+    ship(spark)
     names = [n for n, _ in corpus_pipeline.STAGES]
     assert names == ["quality", "near_dedup", "decontamination", "redaction", "packing"]
     docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
     frame, sizes = docs, [docs.count()]
     for _, stage in corpus_pipeline.STAGES[:-1]:
-        frame = stage(spark, frame, str(SF_DIR))
+        frame = stored(stage(spark, frame, str(SF_DIR)), "stage")
         assert frame.columns == docs.columns
         sizes.append(frame.count())
     assert sizes == sorted(sizes, reverse=True) and sizes[2] < sizes[0] and sizes[3] == sizes[4] > 0
     assert frame.where("n_chars != length(text)").count() == 0
     found = pii.digest(pii.find(frame, pii.Model())).where("n_email + n_ip + n_card + n_phone > 0")
     assert found.count() == 0
-    packed = corpus_pipeline.run(spark, str(SF_DIR))
+    packed = corpus_pipeline.STAGES[-1][1](spark, frame, str(SF_DIR))
     assert packed.select("doc_id").distinct().count() == sizes[-1]

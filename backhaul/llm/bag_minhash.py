@@ -264,7 +264,8 @@ def classes(docs: DataFrame, signed: DataFrame, similarity: float = SIMILARITY,
     alike = F.size(F.array_intersect("marks_a", "marks_b")) >= agree
     pairs = stored(_pairs(other.join(one, "bucket").where(apart & fits & once & alike)), "pairs")
     more = _links(pairs.join(compared, ["a", "b"], "left_anti"), words, similarity, shingle)
-    return components(links.union(more))
+    # The classes found so far stand for the links that made them.
+    return components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, shingle: int = SHINGLE) -> DataFrame:

@@ -30,7 +30,10 @@ def components(edges: DataFrame) -> DataFrame:
     before shuffles and star joins may be split, so a node may have any number of neighbours. Each
     step is written to scratch; the number of steps grows with the logarithm of the longest path.
     """
-    now = stored(edges.where("a != b").select("a", "b").distinct(), "edges")
+    def step(df: DataFrame) -> DataFrame:
+        return stored(_small_star(_large_star(df)).distinct(), "edges")
+
+    now = step(edges.where("a != b").select("a", "b"))
     while True:
         # Done when the edges are stars: no node is both an end and a centre, none has two centres.
         centres = now.select(F.col("b").alias("a"), F.lit(1).alias("centre"))
@@ -40,4 +43,4 @@ def components(edges: DataFrame) -> DataFrame:
         larger = now.where("a < b").select("a")
         if chained.select("a").union(larger).isEmpty():
             return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        now = stored(_small_star(_large_star(now)).distinct(), "edges")
+        now = step(now)

@@ -137,31 +137,47 @@ class Encoder:
         mapped = "".join([letters[b] for b in piece.decode().lower().encode()])
         return [t.id for t in self.model.tokenize(mapped)]
 
-    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts in a row, each with its end id, and the bounds of the texts."""
-        raw = data
-        data, begin, end, kind, first = pieces(raw, offsets)
-        hashes = hash_spans(data, begin, end)
-        hashes[hashes == 0] = 1
+    def _codes(self, data: np.ndarray, begin: np.ndarray, end: np.ndarray, kind: np.ndarray, hashes: np.ndarray) -> np.ndarray | None:
+        """Codes of pieces, the new ones remembered; None if they do not fit into the table."""
         code = self._find(hashes)
         missing = np.flatnonzero(code < 0)
         if len(missing):
             new, pick = np.unique(hashes[missing], return_index=True)
             if self.known + len(new) > _KEPT and self.known > 1:
                 self._clear()
-                return self.encode(raw, offsets)
+                return self._codes(data, begin, end, kind, hashes)
             if len(new) > _KEPT:
-                raise ValueError("too many different words in one slice of texts")
+                return None
             text, at = data.tobytes(), missing[pick]
             spots = zip(begin[at].tolist(), end[at].tolist(), kind[at].tolist())
             self._keep(new, [self._ids(text[a:b], k) for a, b, k in spots])
             code[missing] = self._find(hashes[missing])
-        code = np.insert(code, first[1:], 0)
+        return code
+
+    def _encode(self, *given: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces in a row and how many each has. More pieces than the table holds are encoded
+        in runs, each with a table of its own."""
+        data, *each = given
+        code = self._codes(data, *each)
+        if code is None:
+            half = len(each[0]) // 2
+            left = self._encode(data, *[x[:half] for x in each])
+            right = self._encode(data, *[x[half:] for x in each])
+            return np.concatenate([left[0], right[0]]), np.concatenate([left[1], right[1]])
         size = self.at[code + 1] - self.at[code]
-        total = np.concatenate([[0], np.cumsum(size)])
-        place = np.repeat(self.at[code] - total[:-1], size)
-        place += np.arange(total[-1])
-        return self.ids[place], total[first + np.arange(len(first))]
+        before = np.cumsum(size) - size
+        place = np.repeat(self.at[code] - before, size)
+        place += np.arange(len(place))
+        return self.ids[place], size
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in a row, each with its end id, and the bounds of the texts."""
+        data, begin, end, kind, first = pieces(data, offsets)
+        hashes = hash_spans(data, begin, end)
+        hashes[hashes == 0] = 1
+        ids, size = self._encode(data, begin, end, kind, hashes)
+        last = np.concatenate([[0], np.cumsum(size)])[first]
+        return np.insert(ids, last[1:], self.end), last + np.arange(len(last))
 
 
 _ENCODERS: dict[tuple[str, int], Encoder] = {}

@@ -49,6 +49,16 @@ def test_forgetting_changes_nothing(monkeypatch):
         assert ids.tolist() == expected(text)
 
 
+def test_more_pieces_than_the_table_holds(monkeypatch):
+    from backhaul.llm import encoding
+
+    monkeypatch.setattr(encoding, "_KEPT", 12)
+    small = Encoder(vocabulary_path())
+    texts = ["", " ".join(f"n{i} word{i}, café" for i in range(200)), None, "one two", " ".join(map(str, range(90))), ""]
+    ids, bounds = small.encode(*buffers(pa.array(texts, pa.string())))
+    assert [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:])] == [expected(t) for t in texts]
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 4095, 4096, 4097, 8192 + 5, 12345])
 def test_cut(n):
     pieces = packing.cut(n)

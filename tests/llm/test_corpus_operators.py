@@ -262,6 +262,37 @@ def test_trees_find_what_the_base_rules_miss(spark):
     assert np.mean([s.count("card:") == 2 for s in pairs]) > 0.8
 
 
+def test_common_added_spans_are_found(spark):
+    draw = np.random.default_rng(4)
+
+    def number():
+        digits = [4, *draw.integers(0, 10, 14).tolist()]
+        total = sum(d * 2 - 9 * (d > 4) if i % 2 == 0 else d for i, d in enumerate(digits))
+        return "".join(map(str, digits)) + str(-total % 10)
+
+    def phone(prefix=""):
+        return f"{prefix}({draw.integers(200, 999)}) {draw.integers(200, 999)}-{draw.integers(1000, 9999)}"
+
+    def split(digits):
+        return " ".join(digits[i : i + 4] for i in range(0, len(digits), 4)) if draw.random() < 0.5 else digits
+
+    def short():
+        return "+" + "-".join(str(draw.integers(10, 1000)) for _ in range(draw.integers(2, 4)))
+
+    rows = [(i, f"word {split(number())} or {split(number()[:-1])} and {phone('+1 ')} not {short()} a{i}@b.example") for i in range(300)]
+    rows += [(1000 + i, f"two {number()} {number()} in a row") for i in range(75)]
+    rows += [(2000 + i, f"word {phone()} text") for i in range(75)]
+    rows += [(3000 + i, f"word {phone('+1 ')} {100 + i}.137.223.204 text") for i in range(75)]
+    frame = documents(spark, rows)
+    found = {r.doc_id: r.spans for r in pii.digest(pii.find(frame, pii.train(frame))).collect()}
+    assert np.mean([found[1000 + i].count("card:") == 2 for i in range(75)]) > 0.9
+    for doc_id, text in rows:
+        if doc_id >= 2000:  # the number up to its last digit, without the address behind it
+            start = text.index("+") if doc_id >= 3000 else text.index("(")
+            assert f"phone:{start}:{start + (17 if doc_id >= 3000 else 14)}" in found[doc_id].split(",")
+        if doc_id < 1000:  # numbers that fail their check stay
+            assert found[doc_id] == base_spans(text)
+
 # --- language model ---------------------------------------------------------------------------
 
 

@@ -8,7 +8,7 @@ frozen after training, so the code length of every byte in every context is a nu
 looked up, and a text's code length under a language is the sum of those numbers. The shortest code wins.
 
 The trees learn from at most `per_language` documents of each language, `sample` in all, those with the
-lowest hash of doc_id. They are pruned to the most frequent contexts so that the tables of all
+lowest hash of doc_id and text; repeated rows count once. They are pruned to the most frequent contexts so that the tables of all
 languages together keep to a bound; a pruned context is read as the longest suffix that was kept.
 """
 
@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from backhaul.llm.sampling import ROW, distinct_rows, rows_of
 from backhaul.llm.words import buffers, slices
 
 PER_LANGUAGE, SAMPLE = 400, 8000
@@ -87,16 +88,12 @@ class Counts:
 
 def train(docs: DataFrame, per_language: int = PER_LANGUAGE, sample: int = SAMPLE) -> Counts:
     """Count the grams of the sample. They come to the driver, added up: no more than its bytes."""
-    known = docs.where(F.col("lang").isNotNull() & (F.octet_length(F.col("text").cast("string")) > 0)).select(
-        F.col("doc_id").cast("long"), F.col("lang").cast("string")
-    )
-    known = known.where(remainder(F.col("doc_id")) != HELD_OUT)
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ranked = known.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= per_language)
-    chosen = ranked.orderBy("rank", "lang").limit(sample).select("doc_id", "lang").distinct()
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), F.col("text").cast("string"))
-    same = texts["doc_id"].eqNullSafe(chosen["doc_id"]) & (texts["lang"] == chosen["lang"])
-    rows = texts.join(F.broadcast(chosen), same, "left_semi").select("lang", "text")
+    known = docs.where(F.col("lang").isNotNull() & (F.octet_length(F.col("text").cast("string")) > 0))
+    known = known.where(remainder(F.col("doc_id")) != HELD_OUT).withColumn("lang", F.col("lang").cast("string"))
+    first = Window.partitionBy("lang").orderBy(F.xxhash64(ROW), "doc_id", ROW)
+    ranked = distinct_rows(known, "lang").withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= per_language)
+    chosen = ranked.orderBy("rank", "lang").limit(sample).drop("rank")
+    rows = rows_of(docs, chosen, "lang", "text")
     found = rows.mapInArrow(_counts, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     table = found.toArrow()
     lang = np.asarray(table.column("lang").to_pylist(), dtype=object)

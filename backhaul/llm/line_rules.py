@@ -3,8 +3,9 @@ document stays if enough of its words stand in content lines.
 
 The field learns from documents with a quality label: their lines carry the document's label, so
 single lines are noisy, but the chain weighs a line's own form against its neighbours. It is fitted
-on at most `sample` labelled documents, those with the lowest hash of doc_id. Everything else is
-counted over whole texts, where they are read; nothing is shuffled.
+on at most `sample` labelled documents, those with the lowest hash of doc_id and text; of the others
+only ids and hashes are shuffled for it. Everything else is counted over whole texts, where they are
+read.
 """
 
 from __future__ import annotations
@@ -19,9 +20,11 @@ from pyspark.sql import functions as F
 
 from backhaul.llm import chain
 from backhaul.llm.chain import Chain
+from backhaul.llm.sampling import distinct_rows, rows_of, sampled
 from backhaul.llm.words import (
     NOT_SPACE, buffers, hash_spans, repeated, row_sums, salted, slices, spans, windows,
 )
+from backhaul.operators.joins import join_per_key
 
 SAMPLE = 1500
 MIN_WORDS = 20
@@ -131,9 +134,8 @@ def _training_lines(docs: DataFrame, labels: DataFrame, sample: int) -> DataFram
     """Features of all lines of at most `sample` labelled documents, one row per document."""
     marked = labels.select(F.col("doc_id").cast("long"), F.col("quality").cast("int")).dropna()
     marked = marked.groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    chosen = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    rows = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "quality")
+    rows = join_per_key(distinct_rows(docs), marked, "doc_id", "inner")
+    rows = rows_of(docs, sampled(rows, sample), "doc_id", "text", "quality")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:

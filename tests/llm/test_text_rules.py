@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from cases import ODD, SF_DIR, documents
 
-from backhaul.llm import chain, language_id, line_rules, quality_classifier
+from backhaul.llm import chain, language_id, line_rules, pii, quality_classifier
 from backhaul.llm.queries import QUERIES
 
 needs_tables = pytest.mark.skipif(not SF_DIR.exists(), reason="test tables not present")
@@ -197,3 +197,24 @@ def test_pruned_tables_still_sum_to_one():
         p = np.exp2(-tables.bits.reshape(-1, tables.size))
         p[:, 0] *= 256 - tables.size + 1
         assert p.sum(1) == pytest.approx(1, abs=1e-4)
+
+
+# --- samples ----------------------------------------------------------------------------------
+
+
+def test_samples_are_bounded_by_rows(spark, monkeypatch):
+    # One id on most rows, some of them repeated, and rows without an id.
+    rows = [(1, f"mail a{i}@b.example now") for i in range(40)] + [(1, "mail a0@b.example now")] * 10
+    rows += [(i, f"mail b{i}@c.example now") for i in range(2, 8)] + [(None, "mail d@e.example now")]
+    docs = documents(spark, rows)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 8)], "doc_id long, quality int")
+    assert line_rules._training_lines(docs, labels, 5).count() == 5
+    assert line_rules._training_lines(docs, labels, 100).count() == 46
+    counts = language_id.train(docs, per_language=5)
+    assert counts.n[0].sum() <= 5 * len(max((t for _, t in rows), key=len))
+    seen = []
+    find = pii.candidates
+    monkeypatch.setattr(pii, "candidates", lambda texts, *keep: seen.append(texts.count()) or find(texts, *keep))
+    pii.train(docs, sample=5)
+    pii.train(docs, sample=100)
+    assert seen == [5, 47]

@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from backhaul.llm import (
     bag_minhash,
     decontamination,
+    fill_middle,
     html_blocks,
     language_id,
+    line_dedup,
     line_rules,
     lm_scoring,
     packing,
@@ -103,3 +105,21 @@ def op4_html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     pages = table(spark, sf_dir, "pages")
     return html_blocks.extract(pages, html_blocks.train(pages))
+
+
+@query
+def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document cut in three at unit ends and rearranged, and restored from that."""
+    return fill_middle.digest(fill_middle.transform(table(spark, sf_dir, "documents")))
+
+
+ORACLES["op11_fill_middle"] = fill_middle.ORACLE
+
+
+@query
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines that ten documents or more share."""
+    return line_dedup.digest(line_dedup.drop_shared_lines(table(spark, sf_dir, "documents")))
+
+
+ORACLES["op12_line_dedup"] = line_dedup.ORACLE

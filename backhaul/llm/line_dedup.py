@@ -62,7 +62,9 @@ def shared_lines(docs: DataFrame, min_documents: int = MIN_DOCUMENTS, min_chars:
 
 def dropped_places(docs: DataFrame, shared: DataFrame, bound: int = BROADCAST_ROWS) -> DataFrame:
     """doc, one, two (the row's id and hashes of its text) and `places` (from 0) of its shared lines."""
-    lines = docs.select(*_identity(), F.posexplode(keys(_text())).alias("place", "key"))
+    # The texts are hashed below the explosion, not once per line.
+    whole = docs.select(*_identity(), keys(_text()).alias("keys"))
+    lines = whole.select("doc", "one", "two", F.posexplode("keys").alias("place", "key"))
     shared = shared.select("a", "b")
     few = shared.limit(bound + 1).count() <= bound
     hit = lines.select("doc", "one", "two", "place", *_hashes()).join(F.broadcast(shared) if few else shared, ["a", "b"])

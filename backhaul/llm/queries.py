@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from backhaul.llm import (
     bag_minhash,
+    collocations,
     decontamination,
     fill_middle,
     html_blocks,
@@ -123,3 +124,12 @@ def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op12_line_dedup"] = line_dedup.ORACLE
+
+
+@query
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The phrases of each language whose words stand together most."""
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op13_collocations"] = collocations.ORACLE

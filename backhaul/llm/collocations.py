@@ -4,12 +4,12 @@ A phrase of the whole corpus's support must reach that support in proportion in
 So each shard, a run of documents of bounded size within a task, is mined completely at support
 lowered in proportion to its share of the language's text: words first, then longer phrases where
 both their shorter parts are frequent in the shard. The union of what shards find holds every
-frequent phrase. All of that union is then counted exactly over all documents, and what falls short
-of the support goes. Pairs of words come first; phrases of three words and more are mined only where
+frequent phrase. A shard that does not name a phrase has it less often than its lowered support, so
+some of the union is known to fall short; all the rest is counted exactly over all documents. Pairs of words come first; phrases of three words and more are mined only where
 all pairs in them are frequent over the whole corpus.
 
-Documents are read four times and never shuffled; what moves is phrases of the union and their
-counts per shard. Tasks know the union by a Bloom filter of bounded size, the one thing broadcast:
+Documents are read four times and never shuffled; what moves is phrases that shards name and counts
+of the union, one per phrase and task, so both grow faster than the input: more shards, more phrases. Tasks know the union by a Bloom filter of bounded size, the one thing broadcast:
 what it lets through in error falls out in the join with the union. When it is full, more rows move
 and the result is the same.
 
@@ -19,6 +19,7 @@ words; two phrases share a hash once in 10^19 pairs. Phrases outside shards are
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -37,10 +38,11 @@ COVERED = 100  # percent of a phrase's occurrences inside a longer phrase that d
 TOP = 2000
 NO_LANGUAGE = "und"
 SHARD_BYTES = 128 << 20  # text per shard, about; a shard takes some three bytes of memory a byte
+COUNTED_TOGETHER = 2  # shards' worth of text that one task counts, a part of it at a time
 BROADCAST_ROWS = 200_000  # languages; beyond, Spark shuffles
 FILTER_BITS = 28  # the filter's largest size, as a power of two: 32 MB
 _SEGMENTS = 6
-_CHUNK, _PART = 1 << 21, 1 << 22  # places looked at together, phrases sorted together
+_CHUNK, _PART = 1 << 20, 1 << 21  # places looked at together, phrases sorted together
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 _BREAK = np.zeros(256, bool)
@@ -74,7 +76,8 @@ class Shard:
         self.languages: list[str] = []
         self.share = np.zeros((0, 2), np.int64)  # per language: bytes here, bytes in all
         self.bytes = 0
-        self._ids, self._words, self._of = [], [], []
+        self.count = np.zeros(1, np.int64)  # occurrences of each number
+        self._ids, self._words, self._of = deque(), [], []
         self._known, self._number = np.zeros(0, np.uint64), np.zeros(0, np.uint32)
 
     def add(self, batch: pa.RecordBatch) -> None:
@@ -95,7 +98,8 @@ class Shard:
             return
         row = np.repeat(np.arange(len(place)), np.diff(first))
         salt = _salts(pa.array(self.languages))[place]
-        key, at, word = np.unique(mix(hash_spans(data, begin, end) + salt[row]), return_index=True, return_inverse=True)
+        word = mix(hash_spans(data, begin, end) + salt[row])
+        key, at, word, n = np.unique(word, return_index=True, return_inverse=True, return_counts=True)
         slot = np.searchsorted(self._known, key)
         old = np.zeros(len(key), bool)
         if len(self._known):
@@ -104,6 +108,8 @@ class Shard:
         number[old] = self._number[slot[old]]
         new = np.flatnonzero(~old)
         number[new] = len(self._known) + 1 + np.arange(len(new))
+        self.count = np.concatenate([self.count, np.zeros(len(new), np.int64)])
+        self.count[number] += n
         self._words.append(_strings(data, begin[at[new]], end[at[new]]))
         self._of.append(place[row[at[new]]])
         order = np.argsort(both := np.concatenate([self._known, key[new]]))
@@ -111,17 +117,19 @@ class Shard:
 
         piece = np.cumsum(_BREAK[data])[begin]
         starts = np.append(True, (piece[1:] != piece[:-1]) | (row[1:] != row[:-1]))
-        self._ids.append(np.insert(number[word], np.flatnonzero(starts), 0))
+        self._ids.append(np.insert(number[word], np.flatnonzero(starts), np.uint32(0)))
 
     def close(self) -> Shard:
-        self.ids = np.concatenate([*self._ids, np.zeros(1, np.uint32)]).astype(np.uint32)
+        self.ids, low = np.zeros(sum(map(len, self._ids)) + 1, np.uint32), 0
+        while self._ids:  # each part goes once it is copied
+            part = self._ids.popleft()
+            self.ids[low : low + len(part)] = part
+            low += len(part)
         self.key = np.zeros(len(self._known) + 1, np.uint64)
         self.key[self._number] = self._known
         self.word = pa.concat_arrays([pa.array([""], pa.large_string()), *self._words])
         self.language = np.concatenate([[0], *self._of]).astype(np.int64)
-        self._ids = self._words = self._of = []
-        self.count = np.bincount(self.ids, minlength=len(self.key))
-        self.count[0] = 0
+        self._words = self._of = []
         return self
 
     def support(self, support: int) -> np.ndarray:
@@ -143,9 +151,10 @@ class Shard:
     def pairs(self, good: np.ndarray, test: Callable[[np.ndarray], np.ndarray] | None = None) -> np.ndarray:
         """Marks the places where two words that are `good` (per number) follow each other; with a
         `test`, only those whose hash passes."""
-        out = np.zeros(len(self.ids), bool)
-        fits = good[self.ids]
-        out[:-1] = fits[:-1] & fits[1:]
+        fits = np.zeros(len(self.ids), bool)
+        for low in range(0, len(fits), _CHUNK):  # NumPy widens the numbers it looks up by
+            fits[low : low + _CHUNK] = good[self.ids[low : low + _CHUNK]]
+        out = _longer(fits)
         if test is not None:
             for at in _places(out):
                 out[at] = test(self.keys(at, 2))
@@ -161,36 +170,53 @@ def _places(marks: np.ndarray) -> Iterator[np.ndarray]:
 
 
 def _longer(marks: np.ndarray) -> np.ndarray:
-    """Places where a phrase starts whose first and whose last words but one are marked."""
+    """The marked places that another follows: there a phrase starts that is longer by a word, its
+    first words and its last words being marked."""
     out = np.zeros(len(marks), bool)
     out[:-1] = marks[:-1] & marks[1:]
     return out
 
 
-def _often(shard: Shard, marks: np.ndarray, size: int, least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First places of the phrases that start at marked places and occur as often as their language
-    asks for, and marks on all their places. Phrases are sorted a part of the hash space at a time."""
+def _often(shard: Shard, marks: np.ndarray, size: int, least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes, first places and counts of the phrases that start at marked places and occur as often
+    as their language asks for.
+
+    Phrases are gathered a part of them at a time, and added up before they are, so that neither many
+    different phrases nor one that is everywhere takes much memory.
+    """
     parts = max(1, -(-int(marks.sum()) // _PART))
-    firsts, out = [np.zeros(0, np.int64)], np.zeros(len(marks), bool)
+    found = [(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))]
     for part in range(parts):
-        places, keys = [], []
+        keys, firsts, counts = [], [], []
         for at in _places(marks):
-            key = shard.keys(at, size)
-            mine = (key >> np.uint64(32)) % np.uint64(parts) == part
-            places.append(at[mine])
-            keys.append(key[mine])
-        if not places:
+            if parts > 1:
+                spread = shard.ids[at] * np.uint32(0x9E3779B1) + shard.ids[at + 1] * np.uint32(0x85EBCA77)
+                at = at[(spread >> np.uint32(8)) % np.uint32(parts) == part]
+            key, first, n = np.unique(shard.keys(at, size), return_index=True, return_counts=True)
+            keys.append(key)
+            firsts.append(at[first])
+            counts.append(n)
+        if not keys:
             continue
-        at, key = np.concatenate(places), np.concatenate(keys)
+        key = np.concatenate(keys)
         order = np.argsort(key, kind="stable")
         key = key[order]
-        first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))[: len(key)]
-        count = np.diff(np.append(first, len(key)))
-        head = at[order[first]]
-        enough = count >= least[shard.language[shard.ids[head]]]
-        firsts.append(head[enough])
-        out[at[order[np.repeat(enough, count)]]] = True
-    return np.concatenate(firsts), out
+        head = np.flatnonzero(np.append(True, key[1:] != key[:-1]))[: len(key)]
+        n = np.add.reduceat(np.concatenate(counts)[order], head) if len(head) else np.zeros(0, np.int64)
+        at = np.concatenate(firsts)[order[head]]
+        enough = n >= least[shard.language[shard.ids[at]]]
+        found.append((key[head[enough]], at[enough], n[enough]))
+    return tuple(np.concatenate(column) for column in zip(*found))
+
+
+def _marked(shard: Shard, marks: np.ndarray, size: int, key: np.ndarray) -> np.ndarray:
+    """The marked places at which one of the phrases starts."""
+    out, key = np.zeros(len(marks), bool), np.sort(key)
+    for at in _places(marks):
+        if len(key):
+            own = shard.keys(at, size)
+            out[at] = key[np.minimum(np.searchsorted(key, own), len(key) - 1)] == own
+    return out
 
 
 def shards(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[Shard]:
@@ -209,8 +235,8 @@ def shards(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[Shard]:
 def _mine(
     sizes: range, support: int, limit: int, pairs: Broadcast | None
 ) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Phrases of the sizes that are frequent within a shard; and its number of words per language,
-    as a phrase of size 0."""
+    """Phrases of the sizes that are frequent within a shard, n times there, and how often those may
+    occur that are not (`below`); the number of its words per language comes as a phrase of size 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         test = None if pairs is None else Filter(pairs.value).holds
@@ -218,65 +244,67 @@ def _mine(
             least = shard.support(support)
             names = pa.array(shard.languages, pa.string())
             words = np.bincount(shard.language, shard.count, len(names)).astype(np.int64)
-            yield _rows(names, pa.array([""] * len(names)), 0, words)
+            yield _rows(names, pa.array([""] * len(names), pa.string()), 0, words, least - 1)
             marks = shard.pairs(shard.count >= least[shard.language] if len(least) else shard.count > 0, test)
             for size in range(2, sizes.stop):
                 if size > 2:
                     marks = _longer(marks)
                 if size in sizes:
-                    found, marks = _often(shard, marks, size, least)
+                    key, found, count = _often(shard, marks, size, least)
                     for low in range(0, len(found), _CHUNK // 8):
-                        at = found[low : low + _CHUNK // 8]
-                        yield _rows(
-                            names.take(pa.array(shard.language[shard.ids[at]])),
-                            shard.phrases(at, size).cast(pa.string()),
-                            size,
-                            np.zeros(len(at), np.int64),
-                        )
+                        at, n = found[low : low + _CHUNK // 8], count[low : low + _CHUNK // 8]
+                        of = shard.language[shard.ids[at]]
+                        phrase = shard.phrases(at, size).cast(pa.string())
+                        yield _rows(names.take(pa.array(of)), phrase, size, n, least[of] - 1)
+                    if size + 1 in sizes:
+                        marks = _marked(shard, marks, size, key)
 
     return run
 
 
-def _rows(lang: pa.Array, phrase: pa.Array, size: int, n: np.ndarray) -> pa.RecordBatch:
+def _rows(lang: pa.Array, phrase: pa.Array, size: int, n: np.ndarray, below: np.ndarray) -> pa.RecordBatch:
     sizes = pa.array(np.full(len(lang), size, np.int32))
-    return pa.RecordBatch.from_arrays([lang, phrase, sizes, pa.array(n)], names=["lang", "phrase", "size", "n"])
+    columns = [lang, phrase, sizes, pa.array(n), pa.array(below)]
+    return pa.RecordBatch.from_arrays(columns, names=["lang", "phrase", "size", "n", "below"])
 
 
 def _count(
     sizes: range, single: bool, limit: int, union: Broadcast, pairs: Broadcast | None
 ) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Occurrences within a shard of the phrases of the sizes, and with `single` of the words, that
-    the filter of the union lets through. `pairs` filters the pairs that longer phrases consist of."""
+    """Occurrences within a task of the phrases of the sizes, and with `single` of the words, that the
+    filter of the union lets through. `pairs` filters the pairs that longer phrases consist of."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         holds = Filter(union.value).holds
         test = None if pairs is None else Filter(pairs.value).holds
+        keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         for shard in shards(batches, limit):
-            if single:
-                key = mix(shard.key + np.uint64(1))
-                some = holds(key) & (shard.count > 0)
-                yield _tally(key[some], shard.count[some])
-            marks = shard.pairs(shard.count > 0, test)
-            for size in range(2, sizes.stop):
-                if size > 2:
-                    marks = _longer(marks)
-                if size in sizes:
-                    yield from _tallies(shard, marks, size, holds)
+            for key, n in _occurrences(shard, sizes, single, holds, test):
+                keys, slot = np.unique(np.concatenate([keys, key]), return_inverse=True)
+                counts = np.bincount(slot, np.concatenate([counts, n]), len(keys)).astype(np.int64)
+                if len(keys) > _PART:
+                    yield _tally(keys, counts)
+                    keys, counts = keys[:0], counts[:0]
+        yield _tally(keys, counts)
 
     return run
 
 
-def _tallies(shard: Shard, marks: np.ndarray, size: int, holds: Callable) -> Iterator[pa.RecordBatch]:
-    keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    for at in _places(marks):
-        key = shard.keys(at, size)
-        key, n = np.unique(key[holds(key)], return_counts=True)
-        keys, slot = np.unique(np.concatenate([keys, key]), return_inverse=True)
-        counts = np.bincount(slot, np.concatenate([counts, n]), len(keys)).astype(np.int64)
-        if len(keys) > _PART:
-            yield _tally(keys, counts)
-            keys, counts = keys[:0], counts[:0]
-    yield _tally(keys, counts)
+def _occurrences(
+    shard: Shard, sizes: range, single: bool, holds: Callable, test: Callable | None
+) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    if single:
+        key = mix(shard.key + np.uint64(1))
+        some = holds(key) & (shard.count > 0)
+        yield key[some], shard.count[some]
+    marks = shard.pairs(shard.count > 0, test)
+    for size in range(2, sizes.stop):
+        if size > 2:
+            marks = _longer(marks)
+        if size in sizes:
+            for at in _places(marks):
+                key = shard.keys(at, size)
+                yield np.unique(key[holds(key)], return_counts=True)
 
 
 def _tally(key: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
@@ -356,7 +384,15 @@ def _keyed(phrases: DataFrame) -> DataFrame:
     return phrases.select("lang", "phrase", "size").mapInArrow(run, "lang string, phrase string, size int, key long")
 
 
-_FOUND = "lang string, phrase string, size int, n long"
+_FOUND = "lang string, phrase string, size int, n long, below long"
+
+
+def _union(mined: DataFrame, support: int) -> DataFrame:
+    """The phrases that shards named, but those that cannot reach the support: with n times in shards
+    that named it, and `below` times at most in each of the others, a phrase falls short."""
+    phrases = mined.where("size > 0").groupBy("lang", "phrase", "size").agg(F.sum(F.col("n") - F.col("below")).alias("over"))
+    most = mined.where("size = 0").groupBy("lang").agg(F.sum("below").alias("most"))
+    return phrases.join(most, "lang").where(F.col("over") + F.col("most") >= support).select("lang", "phrase", "size")
 
 
 def frequent_phrases(
@@ -371,22 +407,23 @@ def frequent_phrases(
     total = sizes.agg(F.coalesce(F.sum("lang_bytes"), F.lit(0))).first()[0]
     dealt = rows.join(F.broadcast(sizes) if few else sizes, "lang").select("lang", "text", "lang_bytes")
     # Shards much smaller than meant would be mined at a support too low to turn anything down.
-    dealt = dealt.coalesce(max(1, round(total / shard_bytes)))
+    mining = dealt.coalesce(max(1, round(total / shard_bytes)))
+    counting = dealt.coalesce(max(1, round(total / (shard_bytes * COUNTED_TOGETHER))))
 
     def counted(union: DataFrame, sizes: range, single: bool, pairs: Broadcast | None) -> DataFrame:
-        count = _count(sizes, single, shard_bytes, _filter(union), pairs)
-        tallies = dealt.mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("f"))
+        count = _count(sizes, single, max(1, shard_bytes // 4), _filter(union), pairs)
+        tallies = counting.mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("f"))
         return stored(union.join(tallies, "key").where(F.col("f") >= support), "frequent")
 
-    mined = stored(dealt.mapInArrow(_mine(range(2, 3), support, shard_bytes, None), _FOUND), "mined")
+    mined = stored(mining.mapInArrow(_mine(range(2, 3), support, shard_bytes, None), _FOUND), "mined")
     words = mined.where("size = 0").groupBy("lang").agg(F.sum("n").alias("n"))
-    union = stored(_keyed(mined.where("size > 0").select("lang", "phrase", "size").distinct()), "union")
+    union = stored(_keyed(_union(mined, support)), "union")
     two = counted(union, range(2, 3), False, None)
 
     pairs = _filter(two)
-    long = dealt.mapInArrow(_mine(range(3, max_words + 1), support, shard_bytes, pairs), _FOUND).where("size > 0")
+    long = stored(mining.mapInArrow(_mine(range(3, max_words + 1), support, shard_bytes, pairs), _FOUND), "mined")
     single = two.select("lang", F.explode(F.split("phrase", " ")).alias("phrase"), F.lit(1).alias("size"))
-    union = stored(_keyed(long.select("lang", "phrase", "size").union(single).distinct()), "union")
+    union = stored(_keyed(_union(long, support).union(single.distinct())), "union")
     others = counted(union, range(3, max_words + 1), True, pairs)
     return two.union(others).select("lang", "phrase", "size", "f"), words
 

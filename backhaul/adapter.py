@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from backhaul.plans.signals import all_signals, signal_log
 from backhaul.session import configure, scratch_path
-from backhaul.sources.warehouse import Warehouse, write_csv
+from backhaul.sources.warehouse import Warehouse, append_lines, write_csv
 
 LOADED_AT = datetime(2002, 1, 1)
 
@@ -82,6 +82,14 @@ with c as (select *, 1 as seq from {returns} union all select *, 2 as seq from {
  case when return_id % 41 = 0 then null else fraud_flagged end as fraud_flagged, seq from c
 """
 
+# Lines that a dirty source would deliver among the returns: a comma too many, or the end missing.
+RETURNS_FLAWED = """
+select concat(cast(return_id as varchar(20)), ',', cast(order_item_id as varchar(20)), ',', cast(customer_id as varchar(20)),
+ ',1998-05-05,broken, it fell,mail,used,restock,10.00,0,0,0,5,true') as line from {returns} where return_id % 97 = 0
+union all
+select concat(cast(return_id as varchar(20)), ',', cast(order_item_id as varchar(20)), ',"') as line from {returns} where return_id % 97 = 1
+"""
+
 
 # Batches for the keyed loads: every row of a table with changed values, and a later second row
 # for part of the keys. The tables they are merged into hold the part named in HISTORY.
@@ -151,6 +159,9 @@ class SampleWarehouse(Warehouse):
                 rows = rows.orderBy("seq", "return_id").drop("seq")
             path = f"{self.location('csv')}/{name}.csv"
             write_csv(rows, path)
+            if name == "returns":
+                header = ",".join(rows.columns)
+                append_lines(self.spark.sql(RETURNS_FLAWED, returns=self.table("returns")), header, path)
             self.exported[name] = path
         return self.exported[name]
 

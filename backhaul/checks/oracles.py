@@ -16,6 +16,7 @@ CTES = {
         ("order_items", "d_orders"),
     ),
     "returns_raw": (adapter.RETURNS_RAW.format(returns="returns"), ("returns",)),
+    "returns_flawed": (adapter.RETURNS_FLAWED.format(returns="returns"), ("returns",)),
     "customers_batch": (adapter.CUSTOMERS_BATCH.format(customers="customers"), ("customers",)),
     "products_batch": (adapter.PRODUCTS_BATCH.format(products="products"), ("products",)),
     "orders_batch": (adapter.ORDERS_BATCH.format(orders="d_orders"), ("d_orders",)),
@@ -261,6 +262,7 @@ ORACLES: dict[str, str] = {
         """select * replace (cast(unit_price as double) as unit_price, cast(return_window_days as bigint) as return_window_days) from products""",
         "products",
     ),
+    "scan_malformed": _with("select line as malformed_row, cast(0 as bigint) as n_cells from returns_flawed", "returns_flawed"),
     # keyed writes
     "upsert_customers": _with(
         _upsert(
@@ -312,9 +314,11 @@ ORACLES: dict[str, str] = {
     ),
     "run_etl": _with(_upsert_returns("storable_latest"), "returns", "storable_latest"),
     "run_etl_rejects": _with(
-        """select return_id, customer_id, return_date, return_reason, cast(refund_amount as double) as refund_amount from cleaned
-           where (return_id, seq) not in (select (return_id, seq) from storable)""",
-        "cleaned", "storable",
+        """select return_id, customer_id, return_date, return_reason, cast(refund_amount as double) as refund_amount,
+             cast(null as varchar) as malformed_row from cleaned
+           where (return_id, seq) not in (select (return_id, seq) from storable)
+           union all select null, null, null, 'other', 0.0, line from returns_flawed""",
+        "cleaned", "storable", "returns_flawed",
     ),
     "run_etl_dimensions": _with(
         """select 'customers' as table_name, count(*) as n_rows, cast(sum(customer_id) as bigint) as keys, cast(sum(lifetime_value) as double) as amount from customers

@@ -1,8 +1,10 @@
 """Raw CSV drops.
 
-Every reader returns the columns its file has, typed by the table definition, plus
-`ingest_seq`: a struct that orders rows as they lie in the files, which decides "later row
-wins" wherever a key repeats.
+Every reader returns the columns its file has, typed by the table definition, plus two more.
+`ingest_seq` is a struct that orders rows as they lie in the files, which decides "later row wins"
+wherever a key repeats. `malformed_row` is null for a row with as many fields as its header. A row
+with more or fewer, whose values cannot be told apart from those of the columns beside them, has
+nulls in all columns of the file and its raw text there, so it has no key and no load takes it.
 """
 
 from __future__ import annotations
@@ -15,6 +17,9 @@ from backhaul import schemas
 from backhaul.functions import null_tokens
 
 SEQ = "ingest_seq"
+MALFORMED = "malformed_row"
+#: What a reader adds to the columns of a file.
+ADDED = (SEQ, MALFORMED)
 #: Formats tried in turn for dates that are not ISO.
 DATE_FORMATS = ("M/d/yyyy H:mm:ss", "M/d/yyyy H:mm", "M/d/yyyy", "MMM d, yyyy", "MMMM d, yyyy", "d MMM yyyy", "yyyyMMdd")
 
@@ -59,18 +64,40 @@ def _read(
     # The first file's header names the columns; enforceSchema=False then makes any file of a
     # folder whose header differs fail instead of being read misaligned.
     header = reader().csv(path).schema
-    rows = reader().schema(header).option("enforceSchema", False).csv(path)
+    if taken := sorted(set(ADDED) & {c.lower() for c in header.fieldNames()}):
+        raise ValueError(f"{path} has columns whose names are reserved: {taken}")
+    # Cells are read as text, which any text is, so the parser finds fault with the number of fields
+    # only. It must not skip those of unused columns, or it could not count them.
+    rows = (
+        reader()
+        .schema(header.add(MALFORMED, StringType()))
+        .option("enforceSchema", False)
+        .option("mode", "PERMISSIVE")
+        .option("columnNameOfCorruptRecord", MALFORMED)
+        .option("columnPruning", False)
+        .csv(path)
+    )
     types = {f.name: f.dataType for f in table.schema.fields if f.name not in as_text}
+    whole = F.col(MALFORMED).isNull()
     cells = [
-        _typed(null_tokens(F.col(f"`{c}`")), types.get(c, StringType()), date_formats).alias(c)
+        F.when(whole, _typed(null_tokens(F.col(f"`{c}`")), types.get(c, StringType()), date_formats)).alias(c)
         for c in header.fieldNames()
+        if c != MALFORMED
     ]
     seq = F.struct(
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("row"),
     )
-    return rows.select(*cells, seq.alias(SEQ))
+    # Spark refuses to read the faulty text alone, so it comes with the first column.
+    first = F.coalesce(F.col(f"`{header.fieldNames()[0]}`"), F.lit(""))
+    torn = F.when(F.length(F.concat(MALFORMED, first)) >= 0, F.col(MALFORMED))
+    return rows.select(*cells, seq.alias(SEQ), torn.alias(MALFORMED))
+
+
+def malformed_rows(rows: DataFrame) -> DataFrame:
+    """Place and raw text of the malformed rows of what a reader returned."""
+    return rows.where(F.col(MALFORMED).isNotNull()).select(SEQ, MALFORMED)
 
 
 def read_returns(spark: SparkSession, path: str, **options) -> DataFrame:

@@ -93,6 +93,13 @@ def by_month(df: DataFrame, ts: str) -> DataFrame:
     return months.drop("_month").sortWithinPartitions(ts)
 
 
+def append_lines(lines: DataFrame, header: str, path: str) -> None:
+    """Add files of raw lines, given as the one column `line`, to a folder of CSV files."""
+    first = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1) == 0  # of its partition
+    both = F.when(first, F.array(F.lit(header), F.col("line"))).otherwise(F.array("line"))
+    lines.select(both.alias("lines")).select(F.explode("lines")).write.mode("append").text(path)
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     """Export a table as CSV with a header, readable by the readers in this package."""
     (

@@ -97,6 +97,22 @@ def test_rows_that_cannot_be_stored_are_set_aside(spark, tmp_path):
     assert sorted(r.ingest_seq for r in aside.collect()) == [1, 2, 3]
 
 
+def test_torn_rows_go_to_rejects_with_their_text(spark, tmp_path):
+    """A stray comma would shift values into the columns beside theirs, keys and flags included."""
+    header = "return_id,order_item_id,customer_id,return_date,return_reason,return_channel,condition_received,refund_amount,fraud_flagged"
+    torn = ["1,1,1,2025-01-01,broken, it fell,mail,used,10.00,true", "2,1,1,2025-01-01,broken", "3"]
+    good = "4,1,1,2025-01-01,broken,mail,used,10.00,false"
+    (tmp_path / "returns.csv").write_text("\n".join([header, torn[0], good, *torn[1:]]))
+    old = Warehouse(spark, f"{tmp_path}/a")
+    new = old.next(f"{tmp_path}/b")
+    batch = jobs.normalize_returns(sources.read_returns(spark, f"{tmp_path}/returns.csv"))
+    assert jobs.upsert(old, new, "returns", batch, LOADED, jobs.dedupe_returns) == (1, 3)
+    assert [(r.return_id, r.return_channel, r.fraud_flagged) for r in new.table("returns").collect()] == [(4, "mail", False)]
+    aside = spark.read.parquet(f"{tmp_path}/b/rejects/returns").collect()
+    assert sorted(r.malformed_row for r in aside) == sorted(torn)
+    assert {r.return_id for r in aside} == {None}
+
+
 def test_an_undated_row_does_not_displace_a_good_one(spark, seed, raw, tmp_path):
     returns = seed.table("returns").drop("fraud_score", "created_at")
     text = returns.withColumn("return_date", F.col("return_date").cast("string"))

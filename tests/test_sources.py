@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from backhaul import sources
 from backhaul.functions.text import NA_TOKENS
-from backhaul.sources.csv import SEQ
+from backhaul.sources.csv import ADDED, MALFORMED, SEQ, malformed_rows
 from backhaul.sources.warehouse import Warehouse, write_csv
 from conftest import day
 
@@ -19,14 +19,14 @@ def write(path, *lines):
 
 def test_returns_are_typed_and_amounts_stay_text(spark, tmp_path):
     path = write(tmp_path / "returns.csv", HEADER, "1,2,3,2025-01-05,Broken,mail,New,oops", "x,2,3,bad,,mail,NA,1.5")
-    rows = sources.read_returns(spark, path).orderBy(SEQ).drop(SEQ).collect()
+    rows = sources.read_returns(spark, path).orderBy(SEQ).drop(*ADDED).collect()
     assert tuple(rows[0]) == (1, 2, 3, day("2025-01-05"), "Broken", "mail", "New", "oops")
     assert tuple(rows[1]) == (None, 2, 3, None, None, "mail", None, "1.5")
 
 
 def test_whole_numbers_may_carry_a_fraction_of_zero(spark, tmp_path):
     path = write(tmp_path / "items.csv", "order_item_id,quantity", "9223372036854775807,72.0", "5.0,", "99999999999999999999,3e9", "x,-2")
-    rows = [tuple(r) for r in sources.read_order_items(spark, path).drop(SEQ).collect()]
+    rows = [tuple(r) for r in sources.read_order_items(spark, path).drop(*ADDED).collect()]
     assert rows == [(2**63 - 1, 72), (5, None), (None, None), (None, -2)]
 
 
@@ -38,7 +38,7 @@ def test_missing_columns_are_listed_sorted(spark, tmp_path):
 
 def test_column_order_is_free_and_extra_columns_stay(spark, tmp_path):
     path = write(tmp_path / "products.csv", "unit_price,note,sku,product_id", "36.36,hello,A-1,7")
-    row = sources.read_products(spark, path).drop(SEQ).first()
+    row = sources.read_products(spark, path).drop(*ADDED).first()
     assert row.asDict() == {"unit_price": row.unit_price, "note": "hello", "sku": "A-1", "product_id": 7}
     assert str(row.unit_price) == "36.36"
 
@@ -69,11 +69,32 @@ def test_sequence_follows_the_file(spark, tmp_path):
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
 
+def test_rows_of_another_length_than_the_header_have_no_cells(spark, tmp_path):
+    lines = ["1,a,b", '2,"x,y",c', "3,a", "4,a,b,c", "", '5,"open,b', "6,,", "7", '8,"a ""q"" b",z', "9,a,b,"]
+    path = write(tmp_path / "customers.csv", "customer_id,email,segment", *lines)
+    df = sources.read_customers(spark, path)
+    whole = df.where(F.col(MALFORMED).isNull()).drop(*ADDED).collect()
+    assert [tuple(r) for r in whole] == [(1, "a", "b"), (2, "x,y", "c"), (6, None, None), (8, 'a "q" b', "z")]
+    torn = df.where(F.col(MALFORMED).isNotNull()).orderBy(SEQ).drop(SEQ).collect()
+    assert [tuple(r) for r in torn] == [(None, None, None, x) for x in ("3,a", "4,a,b,c", '5,"open,b', "7", "9,a,b,")]
+    # However few columns are asked for, all are counted.
+    assert [r.customer_id for r in df.select("customer_id").collect()] == [1, 2, None, None, None, 6, None, 8, None]
+    assert [r[MALFORMED] for r in malformed_rows(df).orderBy(SEQ).collect()][0] == "3,a"
+    many = sources.read_customers(spark, path, multi_line=True).where(F.col(MALFORMED).isNotNull())
+    assert [r[MALFORMED] for r in many.collect()] == ["3,a", "4,a,b,c", "9,a,b,"]
+
+
+def test_reserved_column_names_are_refused(spark, tmp_path):
+    path = write(tmp_path / "customers.csv", "customer_id,Malformed_Row", "1,a")
+    with pytest.raises(ValueError, match="malformed_row"):
+        sources.read_customers(spark, path)
+
+
 def test_csv_round_trip_keeps_text(spark, tmp_path):
     rows = [(1, ' padded "quoted", text '), (2, None), (3, "two\nlines"), (4, "back\\slash")]
     write_csv(spark.createDataFrame(rows, "customer_id long, email string"), str(tmp_path / "out"))
     back = sources.read_customers(spark, str(tmp_path / "out"), multi_line=True)
-    assert sorted(tuple(r) for r in back.drop(SEQ).collect()) == rows
+    assert sorted(tuple(r) for r in back.drop(*ADDED).collect()) == rows
 
 
 def test_warehouse_versions(spark, seed, tmp_path):

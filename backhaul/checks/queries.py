@@ -97,7 +97,8 @@ def scan_malformed(w):
 
 def _upsert(w: SampleWarehouse, name: str) -> DataFrame:
     batch = w.table(f"{name}_batch")
-    return comparable(upsert.merge_upsert(w.history(name), batch, schemas.TABLES[name], "seq"))
+    few = upsert.is_few(batch)
+    return comparable(upsert.merge_upsert(w.history(name), batch, schemas.TABLES[name], "seq", few=few))
 
 
 @query
@@ -125,7 +126,9 @@ def upsert_returns(w):
     """The rows of the batch that can be stored, merged; see `run_etl_rejects` for the others."""
     batch = cleaning.normalize_returns(w.table("returns_raw"))
     good = batch.where(upsert.storable(batch, schemas.RETURNS))
-    merged = upsert.merge_upsert(w.history("returns"), good, schemas.RETURNS, "seq", LOADED_AT)
+    merged = upsert.merge_upsert(
+        w.history("returns"), good, schemas.RETURNS, "seq", LOADED_AT, few=upsert.is_few(good)
+    )
     return comparable(merged)
 
 

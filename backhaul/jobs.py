@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from backhaul import schemas, sources
 from backhaul.operators.dedupe import dedupe_returns
-from backhaul.operators.upsert import merge_upsert, storable, update_scores
+from backhaul.operators.upsert import FEW_ROWS, merge_upsert, storable, update_scores
 from backhaul.plans import features, model
 from backhaul.plans.cleaning import normalize_returns
 from backhaul.plans.signals import all_signals, signal_log
@@ -56,8 +56,9 @@ def upsert(
         if rejected:
             new.write_rejects(name, rows.where(~good))
         fit = rows.where(good)
+        rows_of_key = latest(fit) if latest else fit
         merged = merge_upsert(
-            old.table(name), latest(fit) if latest else fit, table, SEQ, loaded_at, unique=latest is not None
+            old.table(name), rows_of_key, table, SEQ, loaded_at, unique=latest is not None, few=loaded <= FEW_ROWS
         )
         new.write(name, merged)
     log.info("%s: %d rows of the batch merged, %d set aside", name, loaded, rejected)

@@ -12,6 +12,10 @@ from backhaul.schemas import NOW, Table
 from backhaul.sources.csv import SEQ
 
 
+#: Batches up to this many rows are broadcast; a row has a few hundred bytes at most.
+FEW_ROWS = 100_000
+
+
 def load_time(loaded_at: datetime | None) -> Column:
     if loaded_at is None:
         return F.current_timestamp().cast("timestamp_ntz")
@@ -49,6 +53,11 @@ def storable(batch: DataFrame, table: Table) -> Column:
     return reduce(lambda a, b: a & b, fits, F.lit(True))
 
 
+def is_few(batch: DataFrame) -> bool:
+    """Whether a batch has so few rows that it can go to where the target is."""
+    return batch.limit(FEW_ROWS + 1).count() <= FEW_ROWS
+
+
 def merge_upsert(
     target: DataFrame,
     batch: DataFrame,
@@ -56,6 +65,7 @@ def merge_upsert(
     seq: str = SEQ,
     loaded_at: datetime | None = None,
     unique: bool = False,
+    few: bool = False,
 ) -> DataFrame:
     """Insert new keys and update the `updated` columns of known ones, in order of `seq`.
 
@@ -64,6 +74,11 @@ def merge_upsert(
     key, so repeated keys do not skew the join. Columns no batch supplies keep the target's
     value, or get their default on new rows. `unique`: no key repeats in the batch, so nothing is
     folded.
+
+    Target and batch meet in a full outer join, which shuffles both. With `few`, for a batch of at
+    most `FEW_ROWS` rows, the target stays where it is: its rows take their new values from the
+    batch, broadcast; its key column, read once more, tells which keys of the batch it lacks, and
+    those rows are added. The result is the same.
     """
     given = [c for c in table.columns if c in (table.key, *table.updated, *table.inserted)]
     rows = conform(batch.select(*[c for c in given if c in batch.columns], seq), table, seq, loaded_at)
@@ -77,13 +92,20 @@ def merge_upsert(
     else:
         new = rows.groupBy(table.key).agg(*folds).withColumn("_given", F.lit(True))
     old = target.select(*table.columns).withColumn("_known", F.lit(True))
-    both = old.join(new, table.key, "full_outer")
     cells = {table.key: F.col(table.key)}
     for c in table.updated:
         cells[c] = F.when(F.col("_given"), F.col(f"_last.{c}")).otherwise(F.col(c))
     for c in fixed:
         cells[c] = F.when(F.col("_known"), F.col(c)).otherwise(F.col(f"_first.{c}"))
-    return both.select(*[cells[c].alias(c) for c in table.columns])
+    row = [cells[c].alias(c) for c in table.columns]
+    if not few:
+        return old.join(new, table.key, "full_outer").select(*row)
+    new = F.broadcast(new)
+    known = F.broadcast(target.select(table.key).join(new.select(table.key), table.key, "left_semi").distinct())
+    added = new.join(known, table.key, "left_anti")
+    blank = [F.lit(None).cast(f.dataType).alias(f.name) for f in old.schema.fields if f.name != table.key]
+    inserted = added.select("*", *blank).select(*row)
+    return old.join(new, table.key, "left").select(*row).unionByName(inserted)
 
 
 def insert_if_absent(

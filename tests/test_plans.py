@@ -154,6 +154,31 @@ def test_upsert_folds_repeated_keys_before_the_shuffle(spark, hot):
     assert final < plan.index("Exchange hashpartitioning(customer_id", final) < plan.index("partial_max_by")
 
 
+def test_a_small_batch_leaves_the_target_where_it_is(spark, hot, tmp_path):
+    """No exchange above the target's scans but those of the few keys that it shares with the batch."""
+    target = hot["returns"]
+    batch = target.where("return_id >= 5990").withColumn("return_id", F.col("return_id") + 5).withColumn("seq", F.lit(0))
+    batch.write.parquet(str(tmp_path / "batch"))
+    batch = spark.read.parquet(str(tmp_path / "batch"))
+    few = merge_upsert(target, batch, schemas.RETURNS, "seq", few=True)
+    with settings(spark, {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1"}):
+        rows, plan = executed(few)
+    assert len(rows) == N + 5
+    final = plan.split("Initial Plan")[0]
+    assert "SortMergeJoin" not in final and "ShuffledHashJoin" not in final
+    assert final.count("BroadcastHashJoin") == 3
+    # The wide scan of the target reaches the result through its join without an exchange.
+    tree = final.splitlines()
+    scan = next(i for i, line in enumerate(tree) if "FileScan" in line and "refund_amount" in line and "batch" not in line)
+    depth = [len(line) - len(line.lstrip(" :+-*(0123456789)")) for line in tree]
+    above, level = [], depth[scan]
+    for i in range(scan, -1, -1):
+        if depth[i] < level:
+            above.append(tree[i])
+            level = depth[i]
+    assert not [line for line in above if "Exchange" in line]
+
+
 def test_references_fold_before_the_join(hot):
     plan = planned(quality.foreign_key_violations({n: hot[n] for n in ("returns", "customers", "order_items")}))
     assert plan.count("partial_count(1)") == 2 and "LeftAnti" in plan

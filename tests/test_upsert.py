@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from backhaul import schemas
-from backhaul.operators import insert_if_absent, merge_upsert, update_scores
+from backhaul.operators import insert_if_absent, merge_upsert, update_scores, upsert
 from backhaul.operators.upsert import conform
 from conftest import day
 
@@ -17,6 +17,10 @@ def merge(seed, name, batch):
     merged = merge_upsert(seed.table(name), batch, schemas.TABLES[name], "seq", LOADED)
     assert merged.columns == schemas.TABLES[name].columns
     assert [f.dataType for f in merged.schema.fields] == [f.dataType for f in schemas.TABLES[name].schema.fields]
+    # A small batch may be sent to the target instead: same rows, same types.
+    split = merge_upsert(seed.table(name), batch, schemas.TABLES[name], "seq", LOADED, few=True)
+    assert [(f.name, f.dataType) for f in split.schema] == [(f.name, f.dataType) for f in merged.schema]
+    assert sorted(map(str, split.collect())) == sorted(map(str, merged.collect()))
     return {r[0]: r for r in merged.collect()}
 
 
@@ -104,6 +108,21 @@ def test_loading_twice_equals_loading_once(spark, seed, name):
     assert once.count() == 4
 
 
+def test_null_keys_and_empty_sides_merge_alike(spark, seed):
+    rows = [(None, "n", "new", "2025-01-01", 1.0, 0.1, 0), (None, "m", "vip", "2025-01-02", 2.0, 0.2, 1), (7, "s", None, None, None, None, 2)]
+    batch, table = spark.createDataFrame(rows, CUSTOMER), schemas.CUSTOMERS
+    odd = seed.table("customers").withColumn("customer_id", F.when(F.col("customer_id") > 1, F.col("customer_id")))
+    for target in (odd, odd.limit(0)):
+        for given in (batch, batch.limit(0)):
+            one, two = (merge_upsert(target, given, table, "seq", LOADED, few=few) for few in (False, True))
+            assert sorted(map(str, one.collect())) == sorted(map(str, two.collect()))
+
+
+def test_few_rows_are_measured(spark, monkeypatch):
+    monkeypatch.setattr(upsert, "FEW_ROWS", 5)
+    assert upsert.is_few(spark.range(5)) and not upsert.is_few(spark.range(6)) and upsert.is_few(spark.range(0))
+
+
 def test_insert_if_absent_keeps_the_first_row_and_known_keys(spark, seed):
     batch = spark.createDataFrame(
         [(1, "x", "new", "2030-01-01", 1.0, 0.1, 0), (8, "first", "new", "2025-01-01", 1.0, 0.1, 1), (8, "second", "vip", "2025-01-02", 2.0, 0.2, 2)],

@@ -36,6 +36,13 @@ CTES = {
            left join d_orders o on o.order_id = i.order_id""",
         ("returns", "order_items", "d_orders"),
     ),
+    "daily": (
+        """select day, sum(returns) as returns, sum(items) as items from (
+             select cast(return_date as date) as day, 1 as returns, 0 as items from returns
+             union all select cast(o.order_date as date), 0, 1 from order_items i join d_orders o on o.order_id = i.order_id)
+           where day is not null group by day""",
+        ("returns", "order_items", "d_orders"),
+    ),
     "prior_returns": (
         """select return_id, count(*) over (partition by customer_id order by return_date
              range between interval 90 days preceding and interval 1 microsecond preceding) as n
@@ -467,6 +474,24 @@ ORACLES: dict[str, str] = {
                       from order_items i join d_orders o on o.order_id = i.order_id group by 1) using (month)""",
         "returns", "order_items", "d_orders",
     ),
+    "kpi_return_rate_rolling": _with(
+        """select s.day, cast(s.window_days as bigint) as window_days,
+             cast(coalesce(sum(d.returns), 0) as bigint) as returns, cast(coalesce(sum(d.items), 0) as bigint) as items,
+             round(cast(coalesce(sum(d.returns), 0) as double) / nullif(coalesce(sum(d.items), 0), 0), 6) as return_rate
+           from (select cast(unnest(generate_series(low, high, interval 1 day)) as date) as day, window_days
+                 from (select min(day)::timestamp as low, max(day)::timestamp as high from daily), (values (30), (90)) v(window_days)) s
+           left join daily d on d.day <= s.day and d.day > s.day - cast(s.window_days as integer) group by all""",
+        "daily",
+    ),
+    "kpi_return_rate_between": _with(
+        """select first_day, returns, items, round(cast(returns as double) / nullif(items, 0), 6) as return_rate
+           from (select first_day,
+                   (select count(*) from returns where return_date >= low and return_date < high) as returns,
+                   (select count(*) from order_items i join d_orders o on o.order_id = i.order_id where order_date >= low and order_date < high) as items
+                 from (values ('1996-04-01', timestamp '1996-04-01 00:00:00', timestamp '1996-07-01 00:00:00'),
+                              ('2030-01-01', timestamp '2030-01-01 00:00:00', timestamp '2030-02-01 00:00:00')) v(first_day, low, high))""",
+        "returns", "order_items", "d_orders",
+    ),
     "kpi_headline": _with(
         """select round(cast(count(*) filter (where fraud_flagged) as double) / count(*), 6) as fraud_rate,
              round(cast(sum(recovered_value) as double) / cast(sum(refund_amount) as double), 6) as recovery_rate,
@@ -494,6 +519,30 @@ ORACLES: dict[str, str] = {
            where r.return_id = (select return_id from signals group by return_id order by count(*) desc, return_id desc limit 1)""",
         "returns", "signals",
     ),
+    "q_disposition_optimization_order": _with(
+        """select category, disposition, cast(net_value as double) as net_value,
+             row_number() over (order by category nulls last, net_value desc nulls first, disposition) as position
+           from (select category, disposition, sum(recovered_value) - sum(processing_cost) as net_value from categorised
+                 where disposition is not null and return_date >= timestamp '2001-01-01 00:00:00' group by all)""",
+        "categorised",
+    ),
+    "q_return_reasons_order": _with(
+        """select *, row_number() over (order by month desc nulls first, return_count desc nulls first, category, return_reason) as position
+           from (select date_trunc('month', return_date)::timestamp as month, category, return_reason, count(*) as return_count
+                 from categorised where return_date >= timestamp '2000-07-01 00:00:00' group by all)""",
+        "categorised",
+    ),
+    "q_fraud_investigation_order": _with(
+        """select r.return_id, signal_type, row_number() over (order by r.return_id, signal_type nulls last) as position
+           from returns r left join signals s on s.return_id = r.return_id
+           where customer_id = (select customer_id from returns order by return_id desc limit 1)""",
+        "returns", "signals",
+    ),
+    "returns_by_refund": _with(
+        """select return_id, cast(refund_amount as double) as refund_amount,
+             row_number() over (order by refund_amount desc nulls last, return_id) as position from returns""",
+        "returns",
+    ),
     "sql_by_name": _with(
         """select c.segment, count(*) as n_returns, cast(sum(s.refunds) as double) as refunds
            from returns r join customers c on c.customer_id = r.customer_id

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import datetime, timedelta
+from datetime import date, datetime, timedelta
 from functools import reduce
 
 from pyspark.ml.functions import vector_to_array
@@ -14,6 +14,7 @@ from pyspark.sql.types import DecimalType, IntegerType
 from backhaul import functions, jobs, schemas, sources
 from backhaul.adapter import LOADED_AT, SampleWarehouse, open_tables
 from backhaul.operators import dedupe, quality, rules, upsert
+from backhaul.operators.position import with_position
 from backhaul.operators.trailing import with_trailing_count
 from backhaul.plans import cleaning, features, model, reports, signals, views
 from backhaul.session import scratch_path, written
@@ -348,6 +349,24 @@ def kpi_return_rate(w):
     return comparable(rates, {"return_rate": SIX})
 
 
+@query
+def kpi_return_rate_rolling(w):
+    """Trailing 30 and 90 days, for every day of the calendar between the first event and the last."""
+    rates = views.kpi_return_rate_rolling(*facts(w, "returns", "order_items", "orders"))
+    return comparable(rates, {"return_rate": SIX})
+
+
+@query
+def kpi_return_rate_between(w):
+    """One quarter and one window in which nothing happened."""
+    tables = facts(w, "returns", "order_items", "orders")
+    windows = [(date(1996, 4, 1), date(1996, 7, 1)), (date(2030, 1, 1), date(2030, 2, 1))]
+    parts = [
+        views.kpi_return_rate_between(*tables, *ends).withColumn("first_day", F.lit(str(ends[0]))) for ends in windows
+    ]
+    return comparable(reduce(DataFrame.unionByName, parts), {"return_rate": SIX})
+
+
 @query
 def kpi_headline(w):
     digits = {"fraud_rate": SIX, "recovery_rate": SIX, "cycle_time_hours": SIX}
@@ -375,6 +394,38 @@ def q_fraud_investigation(w):
     return comparable(reports.fraud_investigation(w.table("returns"), log, worst))
 
 
+@query
+def q_disposition_optimization_order(w):
+    """The rows of the report with their place in it; dispositions break ties."""
+    report = reports.disposition_optimization(*facts(w, "returns", "order_items", "products"), AS_OF)
+    keys = (F.col("category").asc_nulls_last(), F.col("net_value").desc_nulls_first(), "disposition")
+    return comparable(with_position(report, *keys).select("category", "disposition", "net_value", "position"))
+
+
+@query
+def q_return_reasons_order(w):
+    """The same; categories and reasons break ties."""
+    report = reports.return_reasons_breakdown(*facts(w, "returns", "order_items", "products"), AS_OF)
+    keys = (F.col("month").desc_nulls_first(), F.col("return_count").desc_nulls_first(), "category", "return_reason")
+    return with_position(report, *keys).select("month", "category", "return_reason", "return_count", "position")
+
+
+@query
+def q_fraud_investigation_order(w):
+    """Signals of all returns of the highest id's customer, as the investigation report orders them."""
+    returns, log = w.table("returns"), w.table("fraud_signals")
+    last = returns.agg(F.max(F.struct("return_id", "customer_id")).alias("last")).select("last.customer_id")
+    signals_of = returns.join(last, "customer_id", "left_semi").join(log, "return_id", "left").select("return_id", "signal_type")
+    return with_position(signals_of, "return_id", F.col("signal_type").asc_nulls_last())
+
+
+@query
+def returns_by_refund(w):
+    """Every return with its place by refund, the highest first."""
+    refunds = w.table("returns").select("return_id", "refund_amount")
+    return comparable(with_position(refunds, F.col("refund_amount").desc_nulls_last(), "return_id"))
+
+
 @query
 def sql_by_name(w):
     """SQL text over the registered table and view names, with a bound parameter."""

@@ -15,7 +15,7 @@ from backhaul.operators.dedupe import dedupe_returns
 from backhaul.operators.upsert import FEW_ROWS, merge_upsert, storable, update_scores
 from backhaul.plans import features, model
 from backhaul.plans.cleaning import normalize_returns
-from backhaul.plans.signals import all_signals, signal_log
+from backhaul.plans.signals import all_signals, history_of, signal_log
 from backhaul.session import configure, staged
 from backhaul.sources.csv import SEQ
 from backhaul.sources.warehouse import Warehouse
@@ -91,8 +91,8 @@ def run_etl(
 def compute_signals(store: Warehouse, created_at: datetime, since: datetime | None = None) -> bool:
     """Run every rule over the warehouse's returns and append the signals to its log.
 
-    With `since`, only returns loaded from then on are examined, against the full history of
-    their customers: what an hourly run needs. `created_at` names the run: one that is in the log
+    With `since`, only returns loaded from then on are examined, against what their trailing counts
+    can see of the history: what an hourly run needs. `created_at` names the run: one that is in the log
     already is not logged again, so a job may be repeated. Returns whether it was logged.
     """
     configure(store.spark)
@@ -101,8 +101,8 @@ def compute_signals(store: Warehouse, created_at: datetime, since: datetime | No
     returns = store.table("returns")
     fresh, history = returns, None
     if since is not None:
-        history = returns
         fresh = returns.where(F.col("created_at") >= F.lit(since.isoformat()).cast("timestamp_ntz"))
+        history = history_of(fresh, returns)
     signals = all_signals(fresh, store.table("order_items"), store.table("orders"), history=history)
     store.append_signals(signal_log(signals, created_at))
     return True

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from datetime import date
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from backhaul.functions import month_of
 
 HIGH_RISK_SCORE = "0.7"
+ROLLING_DAYS = (30, 90)
 
 
 def flagged_count() -> Column:
@@ -129,6 +133,63 @@ def kpi_return_rate(returns: DataFrame, order_items: DataFrame, orders: DataFram
     )
 
 
+def _items_by_day(order_items: DataFrame, orders: DataFrame) -> DataFrame:
+    """day and items sold on it; an order's items are counted before they meet it."""
+    per_order = order_items.groupBy("order_id").agg(F.count("*").alias("items"))
+    dated = per_order.join(orders.select("order_id", F.to_date("order_date").alias("day")), "order_id")
+    return dated.groupBy("day").agg(F.sum("items").alias("items"))
+
+
+def kpi_return_rate_between(
+    returns: DataFrame, order_items: DataFrame, orders: DataFrame, start: date, end: date
+) -> DataFrame:
+    """Returns per item sold from `start` up to the day before `end`: one row of returns, items and
+    return_rate. Both bounds reach the scans; a window in which nothing was sold has a null rate."""
+
+    def inside(column: str) -> Column:
+        low, high = (F.lit(d.isoformat()).cast("timestamp_ntz") for d in (start, end))
+        return (F.col(column) >= low) & (F.col(column) < high)
+
+    returned = returns.where(inside("return_date")).agg(F.count("*").alias("returns"), F.lit(0).cast("long").alias("items"))
+    sold = order_items.join(orders.where(inside("order_date")).select("order_id"), "order_id")
+    sold = sold.agg(F.lit(0).cast("long").alias("returns"), F.count("*").alias("items"))
+    both = returned.union(sold).agg(F.sum("returns").alias("returns"), F.sum("items").alias("items"))
+    return both.withColumn("return_rate", F.try_divide(F.col("returns"), F.col("items")))
+
+
+def kpi_return_rate_rolling(
+    returns: DataFrame, order_items: DataFrame, orders: DataFrame, days: Sequence[int] = ROLLING_DAYS
+) -> DataFrame:
+    """Returns per item sold over trailing windows: day, window_days, returns, items, return_rate.
+
+    There is a row for every window length and every day from the first event to the last, days
+    without events included; a window is the day and the `days - 1` before it. Returns count on
+    their `return_date`, items on their order's `order_date`; undated ones do not count. A window in
+    which nothing was sold has a null rate. Without events there are no rows.
+
+    Both streams are folded to one row a day before anything else moves. A day's counts are then dealt
+    to the windows that hold it, and windows are added up by day, so no task sorts the calendar.
+    """
+    if not days or min(days) < 1:
+        raise ValueError("a window has one day at least")
+    zero = F.lit(0).cast("long")
+    returned = returns.groupBy(F.to_date("return_date").alias("day")).agg(F.count("*").alias("returns"))
+    sold = _items_by_day(order_items, orders)
+    events = returned.withColumn("items", zero).unionByName(sold.withColumn("returns", zero)).where("day is not null")
+    daily = events.groupBy("day").agg(F.sum("returns").alias("returns"), F.sum("items").alias("items"))
+
+    lengths = F.explode(F.array(*[F.lit(int(n)) for n in days]))
+    ends = daily.agg(F.min("day").alias("first"), F.max("day").alias("last"))
+    calendar = ends.where("first is not null").select(F.explode(F.sequence("first", "last")).alias("day"))
+    spine = calendar.select("day", lengths.alias("window_days"), zero.alias("returns"), zero.alias("items"), F.lit(True).alias("listed"))
+    held = daily.select("day", lengths.alias("window_days"), "returns", "items")
+    until = F.sequence(F.col("day"), F.date_add("day", F.col("window_days") - 1))
+    dealt = held.select(F.explode(until).alias("day"), "window_days", "returns", "items", F.lit(False).alias("listed"))
+    sums = [F.sum("returns").alias("returns"), F.sum("items").alias("items"), F.max("listed").alias("listed")]
+    rolling = spine.unionByName(dealt).groupBy("day", "window_days").agg(*sums).where("listed").drop("listed")
+    return rolling.withColumn("return_rate", F.try_divide(F.col("returns"), F.col("items")))
+
+
 def kpi_headline(returns: DataFrame) -> DataFrame:
     """Fraud rate, recovery rate, net return cost and cycle time over all returns, one row.
 

@@ -181,3 +181,37 @@ def test_log_rows(spark, daily):
     assert ids == {r.signal_id for r in again.collect()}
     assert not ids & {r.signal_id for r in later.collect()}
     assert [f.dataType.simpleString() for f in log.schema.fields][4] == "decimal(4,3)"
+
+
+def test_history_is_bounded_by_the_fresh_returns(spark, tmp_path):
+    """An hourly run opens the files of the window, and counts as if it had all."""
+    from backhaul.plans.signals import history_of
+
+    start = day("2020-01-01")
+    rows = [(i, i % 40, start + timedelta(days=i % 1800, hours=i % 7)) for i in range(20_000)]
+    everything = history(spark, rows)
+    path = str(tmp_path / "returns")
+    everything.repartitionByRange(20, "return_date").sortWithinPartitions("return_date").write.parquet(path)
+    stored = spark.read.parquet(path)
+    fresh = stored.where(F.col("return_date") >= F.lit("2024-12-01").cast("timestamp_ntz"))
+    seen = history_of(fresh, stored)
+    plan = seen._jdf.queryExecution().executedPlan().toString()
+    first = min(r.return_date for r in fresh.collect()) - timedelta(days=90)
+    assert f"GreaterThanOrEqual(return_date,{first.isoformat()[:16]}" in plan
+    assert seen.count() < 1500
+    at_all, at_seen = counts(fresh, history=stored), counts(fresh, history=seen)
+    assert at_all == at_seen and max(at_all.values()) > 3
+
+    def rows_scanned(df):
+        df.collect()
+        leaves = df._jdf.queryExecution().executedPlan().collectLeaves()
+        return sum(leaves.apply(i).metrics().apply("numOutputRows").value() for i in range(leaves.size()))
+
+    with_aqe = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        assert rows_scanned(seen.select("return_id")) < rows_scanned(stored.select("return_id")) / 3
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", with_aqe)
+    assert history_of(fresh.limit(0), stored).count() == 0
+    assert history_of(fresh.withColumn("return_date", F.lit(None).cast("timestamp_ntz")), stored).count() == 0

@@ -5,6 +5,7 @@ from __future__ import annotations
 from decimal import Decimal
 
 import pytest
+from pyspark.sql import functions as F
 
 from backhaul.plans import reports, views
 from conftest import day
@@ -12,6 +13,39 @@ from conftest import day
 D = Decimal
 
 
+def test_rolling_return_rate_counts_quiet_days(spark, seed):
+    tables = [seed.table(n) for n in ("returns", "order_items", "orders")]
+    out = {(str(r.day), r.window_days): r for r in views.kpi_return_rate_rolling(*tables, days=(1, 7)).collect()}
+    # From the first order, 1 October, to the last return, 23 December.
+    assert len(out) == 2 * 84
+    assert tuple(out["2025-10-01", 1])[2:] == (0, 1, 0.0)
+    assert tuple(out["2025-10-05", 1])[2:] == (1, 0, None)
+    assert tuple(out["2025-10-07", 7])[2:] == (1, 1, 1.0)
+    assert tuple(out["2025-10-08", 7])[2:] == (1, 0, None)
+    assert tuple(out["2025-11-20", 7])[2:] == (0, 0, None)
+    assert tuple(out["2025-12-23", 7])[2:] == (2, 2, 1.0)
+    days = sorted(d for d, n in out if n == 7)
+    assert days[0] == "2025-10-01" and days[-1] == "2025-12-23" and len(set(days)) == 84
+
+
+def test_rolling_return_rate_of_nothing(spark, seed):
+    returns, items, orders = [seed.table(n) for n in ("returns", "order_items", "orders")]
+    undated = returns.withColumn("return_date", F.lit(None).cast("timestamp_ntz"))
+    assert views.kpi_return_rate_rolling(returns.limit(0), items.limit(0), orders).count() == 0
+    assert views.kpi_return_rate_rolling(undated, items.limit(0), orders).count() == 0
+    with pytest.raises(ValueError, match="one day"):
+        views.kpi_return_rate_rolling(returns, items, orders, days=(30, 0))
+
+
+def test_return_rate_over_a_chosen_window(seed):
+    tables = [seed.table(n) for n in ("returns", "order_items", "orders")]
+    between = lambda low, high: tuple(views.kpi_return_rate_between(*tables, day(low).date(), day(high).date()).first())
+    assert between("2025-10-01", "2025-11-01") == (2, 2, 1.0)
+    assert between("2025-10-25", "2025-12-21") == (1, 1, 1.0)
+    assert between("2025-10-05", "2025-10-06") == (1, 0, None)
+    assert between("2020-01-01", "2020-01-02") == (0, 0, None)
+
+
 def rows(df):
     return sorted(tuple(r) for r in df.collect())
 

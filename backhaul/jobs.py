@@ -15,7 +15,7 @@ from backhaul.operators.dedupe import dedupe_returns
 from backhaul.operators.upsert import FEW_ROWS, merge_upsert, storable, update_scores
 from backhaul.plans import features, model
 from backhaul.plans.cleaning import normalize_returns
-from backhaul.plans.signals import all_signals, history_of, signal_log
+from backhaul.plans.signals import all_signals, history_bounds, signal_log
 from backhaul.session import configure, staged
 from backhaul.sources.csv import SEQ
 from backhaul.sources.warehouse import Warehouse
@@ -101,8 +101,9 @@ def compute_signals(store: Warehouse, created_at: datetime, since: datetime | No
     returns = store.table("returns")
     fresh, history = returns, None
     if since is not None:
-        fresh = returns.where(F.col("created_at") >= F.lit(since.isoformat()).cast("timestamp_ntz"))
-        history = history_of(fresh, returns)
+        fresh = store.between("returns", "created_at", since)
+        bounds = history_bounds(fresh)
+        history = store.between("returns", "return_date", *bounds) if bounds else returns.limit(0)
     signals = all_signals(fresh, store.table("order_items"), store.table("orders"), history=history)
     store.append_signals(signal_log(signals, created_at))
     return True

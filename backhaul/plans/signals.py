@@ -30,15 +30,11 @@ def signal_input(returns: DataFrame, order_items: DataFrame, orders: DataFrame)
     )
 
 
-def history_of(fresh: DataFrame, returns: DataFrame, window_days: int = rules.SERIAL_WINDOW_DAYS) -> DataFrame:
-    """The part of all returns that trailing counts of the fresh ones can see: from `window_days`
-    before the earliest fresh return to the latest. The bounds are read from the fresh returns and
-    reach the scan as constants, so files of other months are not opened."""
+def history_bounds(fresh: DataFrame, window_days: int = rules.SERIAL_WINDOW_DAYS) -> tuple[datetime, datetime] | None:
+    """The times between which returns lie that trailing counts of the fresh ones can see: from
+    `window_days` before the earliest fresh return to the latest. None if no fresh return is dated."""
     days = fresh.agg(F.min("return_date").alias("first"), F.max("return_date").alias("last")).first()
-    if days["first"] is None:
-        return returns.where(F.lit(False))
-    low, high = (F.lit(t.isoformat()).cast("timestamp_ntz") for t in (days["first"] - timedelta(days=window_days), days["last"]))
-    return returns.where((F.col("return_date") >= low) & (F.col("return_date") <= high))
+    return None if days["first"] is None else (days["first"] - timedelta(days=window_days), days["last"])
 
 
 def all_signals(

@@ -10,9 +10,15 @@ from pyspark.sql import functions as F
 from backhaul import schemas
 from backhaul.functions import month_of
 
-# Columns that reports filter by time: files cover few months and are sorted inside, so
-# Parquet statistics skip the rest.
+# Columns that reports filter by time: files cover few months and are sorted inside.
 TIME_COLUMNS = {"returns": "return_date", "orders": "order_date"}
+# Spark does not compare zone-less timestamps with Parquet's statistics, but dates it does. So the day
+# of these columns is stored beside them, for `between` to skip files and row groups by.
+DAY_COLUMNS = {"returns": ("return_date", "created_at"), "orders": ("order_date",)}
+
+
+def day_column(ts: str) -> str:
+    return f"{ts}_day"
 
 
 class Warehouse:
@@ -37,6 +43,24 @@ class Warehouse:
                 return self.spark.read.schema(schema).parquet(f"{path}/{name}").select(*schema.fieldNames())
         return self.spark.createDataFrame([], schema)
 
+    def between(self, name: str, ts: str, low: datetime, high: datetime | None = None) -> DataFrame:
+        """The rows of a table whose `ts` is from `low` to `high`, both included; later ones, too, if
+        there is no `high`. Only row groups with such days are read."""
+        rows, day = self.table(name), None
+        for path in self.paths:
+            if self._complete(f"{path}/{name}"):
+                stored = self.spark.read.parquet(f"{path}/{name}")
+                if day_column(ts) in stored.columns:  # not so in tables that others wrote
+                    rows, day = stored, F.col(day_column(ts))
+                break
+        ends = [(F.lit(t.isoformat()).cast("timestamp_ntz"), F.lit(t.date())) for t in (low, high) if t is not None]
+        rows = rows.where(F.col(ts) >= ends[0][0])
+        rows = rows if day is None else rows.where(day >= ends[0][1])
+        if high is not None:
+            rows = rows.where(F.col(ts) <= ends[1][0])
+            rows = rows if day is None else rows.where(day <= ends[1][1])
+        return rows.select(*schemas.TABLES[name].columns)
+
     def _complete(self, folder: str) -> bool:
         """Whether a write to the folder has ended; one that broke off leaves files but no mark."""
         mark = self.spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/_SUCCESS")
@@ -47,6 +71,7 @@ class Warehouse:
         df = df.select(*schemas.TABLES[name].columns)
         if name in TIME_COLUMNS:
             df = by_month(df, TIME_COLUMNS[name])
+            df = df.withColumns({day_column(c): F.to_date(c) for c in DAY_COLUMNS[name]})
         bloom(df.write, schemas.TABLES[name].key).parquet(self.location(name))
 
     def write_rejects(self, name: str, rows: DataFrame) -> None:

@@ -7,9 +7,11 @@ from random import Random
 import pytest
 from pyspark.sql import functions as F
 
+from backhaul import schemas
 from backhaul.operators import rules
 from backhaul.operators.trailing import HOT, _with_trailing_count
 from backhaul.plans import signals
+from backhaul.sources.warehouse import Warehouse, day_column
 from conftest import day
 
 FIXTURE = "return_id long, customer_id long, return_date timestamp_ntz, return_reason string, return_channel string, refund_amount double, unit_price double"
@@ -183,35 +185,56 @@ def test_log_rows(spark, daily):
     assert [f.dataType.simpleString() for f in log.schema.fields][4] == "decimal(4,3)"
 
 
-def test_history_is_bounded_by_the_fresh_returns(spark, tmp_path):
-    """An hourly run opens the files of the window, and counts as if it had all."""
-    from backhaul.plans.signals import history_of
-
+def test_hourly_signals_open_only_the_history_in_sight(spark, seed, tmp_path):
+    """Row groups of other days are skipped, and counts are those over the whole history."""
     start = day("2020-01-01")
     rows = [(i, i % 40, start + timedelta(days=i % 1800, hours=i % 7)) for i in range(20_000)]
-    everything = history(spark, rows)
-    path = str(tmp_path / "returns")
-    everything.repartitionByRange(20, "return_date").sortWithinPartitions("return_date").write.parquet(path)
-    stored = spark.read.parquet(path)
-    fresh = stored.where(F.col("return_date") >= F.lit("2024-12-01").cast("timestamp_ntz"))
-    seen = history_of(fresh, stored)
-    plan = seen._jdf.queryExecution().executedPlan().toString()
-    first = min(r.return_date for r in fresh.collect()) - timedelta(days=90)
-    assert f"GreaterThanOrEqual(return_date,{first.isoformat()[:16]}" in plan
-    assert seen.count() < 1500
-    at_all, at_seen = counts(fresh, history=stored), counts(fresh, history=seen)
+    made = history(spark, rows).repartitionByRange(20, "return_date")
+    fill = {f.name: F.lit(None).cast(f.dataType) for f in schemas.RETURNS.schema if f.name not in made.columns}
+    returns = made.withColumns({**fill, "created_at": F.col("return_date")}).select(*schemas.RETURNS.columns)
+    store = Warehouse(spark, str(tmp_path / "wh"))
+    with_days = returns.withColumns({day_column(c): F.to_date(c) for c in ("return_date", "created_at")})
+    with_days.sortWithinPartitions("return_date").write.parquet(store.location("returns"))
+
+    fresh = store.between("returns", "created_at", day("2024-11-01"))
+    bounds = signals.history_bounds(fresh)
+    seen = store.between("returns", "return_date", *bounds)
+    assert bounds == (day("2024-11-01") - timedelta(days=90), max(r[2] for r in rows))
+    at_all, at_seen = (counts(fresh, history=h) for h in (store.table("returns"), seen))
     assert at_all == at_seen and max(at_all.values()) > 3
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
+    plan = store.between("returns", "return_date", *bounds)._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+    assert f"GreaterThanOrEqual(return_date_day,{bounds[0].date()})" in plan
 
     def rows_scanned(df):
         df.collect()
         leaves = df._jdf.queryExecution().executedPlan().collectLeaves()
         return sum(leaves.apply(i).metrics().apply("numOutputRows").value() for i in range(leaves.size()))
 
-    with_aqe = spark.conf.get("spark.sql.adaptive.enabled")
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
-        assert rows_scanned(seen.select("return_id")) < rows_scanned(stored.select("return_id")) / 3
+        scanned = {}
+        for name, df in (("fresh", fresh), ("seen", seen), ("all", store.table("returns"))):
+            df = df.select("return_id")
+            scanned[name] = rows_scanned(df)
     finally:
-        spark.conf.set("spark.sql.adaptive.enabled", with_aqe)
-    assert history_of(fresh.limit(0), stored).count() == 0
-    assert history_of(fresh.withColumn("return_date", F.lit(None).cast("timestamp_ntz")), stored).count() == 0
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert scanned["all"] == 20_000 and scanned["seen"] < 4000 and scanned["fresh"] < 3000
+
+    undated = fresh.withColumn("return_date", F.lit(None).cast("timestamp_ntz"))
+    assert signals.history_bounds(undated) is None and signals.history_bounds(fresh.limit(0)) is None
+    # Tables without days are filtered all the same.
+    other = Warehouse(spark, str(tmp_path / "other"))
+    returns.write.parquet(other.location("returns"))
+    assert other.between("returns", "return_date", *bounds).count() == seen.count() > 0
+    assert Warehouse(spark, str(tmp_path / "none")).between("returns", "return_date", start).count() == 0
+
+
+def test_written_tables_keep_their_days_to_themselves(spark, seed, tmp_path):
+    store = Warehouse(spark, str(tmp_path / "wh"))
+    store.write("returns", seed.table("returns"))
+    assert store.table("returns").columns == schemas.RETURNS.columns
+    late = store.between("returns", "return_date", day("2025-12-22"), day("2025-12-22"))
+    assert [r.return_id for r in late.collect()] == [9003] and late.columns == schemas.RETURNS.columns
+    assert "return_date_day" in spark.read.parquet(store.location("returns")).columns

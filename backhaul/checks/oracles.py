@@ -249,6 +249,72 @@ LOG = "(select row_number() over () as signal_id, *, now() as created_at from si
 RAW_COLUMNS = """return_id, order_item_id, customer_id, return_date, return_reason, return_channel, condition_received,
     disposition, refund_amount, restocking_fee, processing_cost, recovered_value"""
 
+# Findings of one kind over all tables.
+KEYS = " union all ".join(
+    [
+        _repeated("customers", "customers", "customer_id"),
+        _repeated("products", "products", "product_id"),
+        _repeated("orders", "d_orders", "order_id"),
+        _repeated("order_items", "order_items", "order_item_id"),
+        _repeated("returns", "returns_raw", "return_id"),
+        _repeated("fraud_signals", LOG, "signal_id"),
+    ]
+)
+REFERENCES = " union all ".join(
+    [
+        _orphans("orders", _astray("d_orders", "order_id", "customer_id", 97), "customer_id", "select * from customers", "customer_id"),
+        _orphans("order_items", _astray("order_items", "order_item_id", "order_id", 89), "order_id", "select * from d_orders", "order_id"),
+        _orphans("order_items", _astray("order_items", "order_item_id", "product_id", 83), "product_id", "select * from products", "product_id"),
+        _orphans("returns", _astray("returns", "return_id", "order_item_id", 79), "order_item_id", "select * from order_items", "order_item_id"),
+        _orphans("returns", _astray("returns", "return_id", "customer_id", 73), "customer_id", "select * from customers", "customer_id"),
+        _orphans("fraud_signals", "signals", "return_id", "select * from returns", "return_id"),
+    ]
+)
+REQUIRED = " union all ".join(
+    [
+        _nulls("customers", "customers", "customer_id", "segment", "created_at"),
+        _nulls("products", "products", "product_id", "sku", "category", "unit_price"),
+        _nulls("orders", "d_orders", "order_id", "customer_id", "order_date", "channel", "total_amount"),
+        _nulls("order_items", "order_items", "order_item_id", "order_id", "product_id", "quantity", "unit_price"),
+        _nulls(
+            "returns", "returns_raw", "return_id", "order_item_id", "customer_id", "return_date",
+            "return_reason", "return_channel", "refund_amount",
+        ),
+        _nulls("fraud_signals", LOG, "signal_id", "return_id", "signal_type", "severity", "score", "created_at"),
+    ]
+)
+DOMAINS = " union all ".join(
+    [
+        _outside("customers", "customers", "segment", "new", "casual", "loyal", "vip"),
+        _outside("products", "products", "category", "apparel", "electronics", "home", "beauty"),
+        _outside("orders", "d_orders", "channel", "web", "mobile", "bopis", "store"),
+        _outside(
+            "returns", "returns_raw", "return_reason", "defective", "wrong_size", "not_as_described",
+            "changed_mind", "late_delivery", "duplicate", "other",
+        ),
+        _outside("returns", "returns_raw", "return_channel", "mail", "in_store", "pickup"),
+        _outside(
+            "returns", "returns_raw", "condition_received", "new_unopened", "opened_unused", "used",
+            "damaged", "missing_parts",
+        ),
+        _outside("returns", "returns_raw", "disposition", "restock", "refurbish", "liquidate", "donate", "destroy"),
+        _outside(
+            "fraud_signals", "signals", "signal_type", "serial_returner", "wardrobing", "bopis_not_returned",
+            "time_anomaly", "value_mismatch", "condition_mismatch",
+        ),
+        _outside("fraud_signals", "signals", "severity", "low", "medium", "high"),
+    ]
+)
+RAW_REFERENCES = " union all ".join(
+    [
+        _orphans("orders", _astray("d_orders", "order_id", "customer_id", 97), "customer_id", "select * from customers", "customer_id"),
+        _orphans("order_items", _astray("order_items", "order_item_id", "order_id", 89), "order_id", "select * from d_orders", "order_id"),
+        _orphans("order_items", _astray("order_items", "order_item_id", "product_id", 83), "product_id", "select * from products", "product_id"),
+        _orphans("returns", _astray("returns_raw", "return_id", "order_item_id", 79), "order_item_id", "select * from order_items", "order_item_id"),
+        _orphans("returns", _astray("returns_raw", "return_id", "customer_id", 73), "customer_id", "select * from customers", "customer_id"),
+    ]
+)
+
 ORACLES: dict[str, str] = {
     # CSV sources and sinks
     "scan_returns": _with(
@@ -347,16 +413,7 @@ ORACLES: dict[str, str] = {
     ),
     # integrity
     "dq_pk": _with(
-        " union all ".join(
-            [
-                _repeated("customers", "customers", "customer_id"),
-                _repeated("products", "products", "product_id"),
-                _repeated("orders", "d_orders", "order_id"),
-                _repeated("order_items", "order_items", "order_item_id"),
-                _repeated("returns", "returns_raw", "return_id"),
-                _repeated("fraud_signals", LOG, "signal_id"),
-            ]
-        ),
+        KEYS,
         "customers", "products", "d_orders", "order_items", "returns_raw", "signals",
     ),
     "dq_unique_sku": _with(
@@ -365,59 +422,24 @@ ORACLES: dict[str, str] = {
         "products",
     ),
     "dq_fk": _with(
-        " union all ".join(
-            [
-                _orphans("orders", _astray("d_orders", "order_id", "customer_id", 97), "customer_id", "select * from customers", "customer_id"),
-                _orphans("order_items", _astray("order_items", "order_item_id", "order_id", 89), "order_id", "select * from d_orders", "order_id"),
-                _orphans("order_items", _astray("order_items", "order_item_id", "product_id", 83), "product_id", "select * from products", "product_id"),
-                _orphans("returns", _astray("returns", "return_id", "order_item_id", 79), "order_item_id", "select * from order_items", "order_item_id"),
-                _orphans("returns", _astray("returns", "return_id", "customer_id", 73), "customer_id", "select * from customers", "customer_id"),
-                _orphans("fraud_signals", "signals", "return_id", "select * from returns", "return_id"),
-            ]
-        ),
+        REFERENCES,
         "customers", "products", "d_orders", "order_items", "returns", "signals",
     ),
     "dq_not_null": _with(
-        " union all ".join(
-            [
-                _nulls("customers", "customers", "customer_id", "segment", "created_at"),
-                _nulls("products", "products", "product_id", "sku", "category", "unit_price"),
-                _nulls("orders", "d_orders", "order_id", "customer_id", "order_date", "channel", "total_amount"),
-                _nulls("order_items", "order_items", "order_item_id", "order_id", "product_id", "quantity", "unit_price"),
-                _nulls(
-                    "returns", "returns_raw", "return_id", "order_item_id", "customer_id", "return_date",
-                    "return_reason", "return_channel", "refund_amount",
-                ),
-                _nulls("fraud_signals", LOG, "signal_id", "return_id", "signal_type", "severity", "score", "created_at"),
-            ]
-        ),
+        REQUIRED,
         "customers", "products", "d_orders", "order_items", "returns_raw", "signals",
     ),
     "dq_domain": _with(
-        " union all ".join(
-            [
-                _outside("customers", "customers", "segment", "new", "casual", "loyal", "vip"),
-                _outside("products", "products", "category", "apparel", "electronics", "home", "beauty"),
-                _outside("orders", "d_orders", "channel", "web", "mobile", "bopis", "store"),
-                _outside(
-                    "returns", "returns_raw", "return_reason", "defective", "wrong_size", "not_as_described",
-                    "changed_mind", "late_delivery", "duplicate", "other",
-                ),
-                _outside("returns", "returns_raw", "return_channel", "mail", "in_store", "pickup"),
-                _outside(
-                    "returns", "returns_raw", "condition_received", "new_unopened", "opened_unused", "used",
-                    "damaged", "missing_parts",
-                ),
-                _outside("returns", "returns_raw", "disposition", "restock", "refurbish", "liquidate", "donate", "destroy"),
-                _outside(
-                    "fraud_signals", "signals", "signal_type", "serial_returner", "wardrobing", "bopis_not_returned",
-                    "time_anomaly", "value_mismatch", "condition_mismatch",
-                ),
-                _outside("fraud_signals", "signals", "severity", "low", "medium", "high"),
-            ]
-        ),
+        DOMAINS,
         "customers", "products", "d_orders", "returns_raw", "signals",
     ),
+    "dq_all": _with(
+        f"""select 'primary_key' as rule, * from ({KEYS})
+            union all select 'foreign_key', * from ({RAW_REFERENCES})
+            union all select 'not_null', table_name, column_name, null, n_nulls from ({REQUIRED}) where n_nulls > 0
+            union all select 'domain', * from ({DOMAINS})""",
+        "customers", "products", "d_orders", "order_items", "returns_raw", "signals",
+    ),
     # cleaning
     "normalize_reason": _with("select return_id, cast(seq as bigint) as seq, return_reason from cleaned", "cleaned"),
     "normalize_condition": _with("select return_id, cast(seq as bigint) as seq, condition_received from cleaned", "cleaned"),

@@ -2,7 +2,8 @@
 
 Each report is one frame over any subset of tables, given as a mapping from table name to
 frame. Keys are folded per value before any join, so a key that fills a third of a table
-reaches the shuffle as a few rows.
+reaches the shuffle as a few rows. `integrity_report` checks all rules at once and reads each
+table once; the other reports check one kind of rule.
 """
 
 from __future__ import annotations
@@ -10,13 +11,16 @@ from __future__ import annotations
 from collections.abc import Mapping
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from backhaul.schemas import TABLES
+from backhaul.schemas import TABLES, Table
+from backhaul.session import written
 
 Frames = Mapping[str, DataFrame]
 
+KEY, UNIQUE, REFERENCE, REQUIRED, DOMAIN = "primary_key", "unique", "foreign_key", "not_null", "domain"
+
 
 def _stack(parts: list[DataFrame]) -> DataFrame:
     if not parts:
@@ -108,3 +112,49 @@ def domain_violations(frames: Frames) -> DataFrame:
             .agg(F.count("*").alias("n_rows"))
         )
     return _stack(parts)
+
+
+def _marks(table: Table, df: DataFrame) -> DataFrame:
+    """rule, column_name and value of everything in a row that a rule looks at or finds at fault."""
+
+    def mark(rule: str, column: str, when: Column, value: Column) -> Column:
+        return F.when(when, F.struct(F.lit(rule).alias("rule"), F.lit(column).alias("column_name"), value.alias("value")))
+
+    def text(column: str) -> Column:
+        return F.col(column).cast("string")
+
+    known = [c for c in table.columns if c in df.columns]
+    marks = [mark(KEY, table.key, F.lit(True), text(table.key))] if table.key in known else []
+    marks += [mark(UNIQUE, c, F.col(c).isNotNull(), text(c)) for c in table.unique if c in known]
+    marks += [mark(REFERENCE, c, F.col(c).isNotNull(), text(c)) for c in table.references if c in known]
+    marks += [mark(REQUIRED, c, F.col(c).isNull(), F.lit(None).cast("string")) for c in table.required if c in known]
+    marks += [mark(DOMAIN, c, ~F.col(c).isin(*d), text(c)) for c, d in table.domains.items() if c in known]
+    return df.select(F.inline(F.array_compact(F.array(*marks))))
+
+
+def integrity_report(frames: Frames) -> DataFrame:
+    """Every violation of every rule of the given tables: `rule, table_name, column_name, value,
+    n_rows`; rows without findings are not listed.
+
+    Each table is read once: its rows give what all rules look at, counted per rule and value before
+    and after one shuffle, and written down. Repeated keys, nulls and values outside domains are read
+    off these counts. References are compared with the keys that the same counts hold of the parent,
+    so a parent is not read again; references to tables that are not given are not checked.
+    """
+    if not frames:
+        raise ValueError("no table given")
+    counts = [
+        _marks(TABLES[name], df).groupBy(F.lit(name).alias("table_name"), "rule", "column_name", "value").agg(F.count("*").alias("n_rows"))
+        for name, df in frames.items()
+    ]
+    seen = written(reduce(DataFrame.unionByName, counts), "integrity")
+    rule, null, several = F.col("rule"), F.col("value").isNull(), F.col("n_rows") > 1
+    broken = rule.isin(REQUIRED, DOMAIN) | ((rule == KEY) & (null | several)) | ((rule == UNIQUE) & several)
+    parents = [(n, c, p) for n in frames for c, p in TABLES[n].references.items() if p in frames]
+    parent = F.lit(None).cast("string")
+    for name, column, to in parents:
+        parent = F.when((F.col("table_name") == name) & (F.col("column_name") == column), to).otherwise(parent)
+    used = seen.where(rule == REFERENCE).withColumn("parent", parent).where("parent is not null")
+    keys = seen.where((rule == KEY) & ~null).select(F.col("table_name").alias("parent"), "value")
+    columns = ("rule", "table_name", "column_name", "value", "n_rows")
+    return seen.where(broken).select(*columns).union(used.join(keys, ["parent", "value"], "left_anti").select(*columns))

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import Row
 
 from backhaul.operators import quality
 
@@ -48,6 +49,33 @@ def test_values_outside_domains_ignore_null(spark):
     ]
 
 
+def test_one_report_holds_all_findings(spark, seed):
+    clean = {n: seed.table(n) for n in ("customers", "products", "orders", "order_items", "returns", "fraud_signals")}
+    assert found(quality.integrity_report(clean)) == []
+    frames = {
+        "customers": spark.createDataFrame([(1, "vip"), (1, "odd"), (None, None), (None, None)], "customer_id long, segment string"),
+        "products": spark.createDataFrame([(1, "a"), (2, "a"), (3, None)], "product_id long, sku string"),
+        "orders": spark.createDataFrame([(1, 1, "web"), (2, 7, "web"), (3, 7, None), (4, None, "fax")], "order_id long, customer_id long, channel string"),
+        "returns": spark.createDataFrame([(1, 99)], "return_id long, order_item_id long"),
+    }
+    assert sorted(map(str, quality.integrity_report(frames).collect())) == sorted(
+        str(Row(rule=a, table_name=b, column_name=c, value=d, n_rows=n))
+        for a, b, c, d, n in [
+            ("primary_key", "customers", "customer_id", "1", 2), ("primary_key", "customers", "customer_id", None, 2),
+            ("domain", "customers", "segment", "odd", 1), ("not_null", "customers", "customer_id", None, 2),
+            ("not_null", "customers", "segment", None, 2), ("unique", "products", "sku", "a", 2),
+            ("not_null", "products", "sku", None, 1), ("foreign_key", "orders", "customer_id", "7", 2),
+            ("not_null", "orders", "customer_id", None, 1), ("not_null", "orders", "channel", None, 1),
+            ("domain", "orders", "channel", "fax", 1),
+        ]
+    )
+    # Every table was read once, when its findings were counted.
+    plan = quality.integrity_report(clean)._jdf.queryExecution().executedPlan().toString()
+    assert "integrity" in plan and "Scan ExistingRDD" not in plan
+
+
 def test_nothing_to_check_fails(spark):
+    with pytest.raises(ValueError, match="no table"):
+        quality.integrity_report({})
     with pytest.raises(ValueError):
         quality.unique_violations({"orders": spark.range(1)})

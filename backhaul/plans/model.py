@@ -20,6 +20,8 @@ MAX_ITER = 1000
 
 # A null category is a category of its own when training has seen it.
 NULL_CATEGORY = "__null__"
+# Categories a column may have. Their names pass the driver and become slots of the feature vector.
+MAX_CATEGORIES = 1000
 
 
 def numeric_moments(frame: DataFrame) -> DataFrame:
@@ -48,15 +50,28 @@ def standardizer(frame: DataFrame) -> SQLTransformer:
     return SQLTransformer(statement=f"SELECT *, {', '.join(numerics + categories)} FROM __THIS__")
 
 
+def check_vocabularies(frame: DataFrame, most: int = MAX_CATEGORIES) -> None:
+    """Refuse a `frame` (with `_cat` columns) in which a category column has more than `most` of them:
+    so many are no categories but text that wants cleaning first. The indexer would bring them all
+    to the driver; this looks at counts only."""
+    names = [f"{c}_cat" for c in CATEGORICAL_FEATURES]
+    pairs = F.array(*[F.struct(F.lit(c).alias("name"), F.col(f"{c}_cat").alias("label")) for c in CATEGORICAL_FEATURES])
+    counts = frame.select(*names).select(F.inline(pairs)).distinct().groupBy("name").agg(F.count("*").alias("n"))
+    over = ", ".join(f"{r.name} ({r.n})" for r in sorted(counts.where(F.col("n") > most).collect()))
+    if over:
+        raise ValueError(f"more than {most} categories in {over}")
+
+
 def encoder_stages(frame: DataFrame) -> list:
     """Fitted stages that one-hot encode the categories of `frame` (with `_cat` columns).
 
-    Categories are in alphabetical order; one that `frame` lacks encodes as all zeros: the
+    Categories are in alphabetical order, up to `MAX_CATEGORIES` of them a column; one that `frame` lacks encodes as all zeros: the
     indexer sends it to an extra last index, which the encoder drops.
     """
     inputs = [f"{c}_cat" for c in CATEGORICAL_FEATURES]
     indexed = [f"{c}_index" for c in CATEGORICAL_FEATURES]
     hot = [f"{c}_hot" for c in CATEGORICAL_FEATURES]
+    check_vocabularies(frame)
     indexer = StringIndexer(
         inputCols=inputs, outputCols=indexed, handleInvalid="keep", stringOrderType="alphabetAsc"
     ).fit(frame)

@@ -5,6 +5,7 @@ from random import Random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from backhaul.plans import features, model
 
@@ -146,3 +147,21 @@ def test_lifetime_count_spans_all_returns(spark, seed):
     )
     out = features.scoring_frame(scored, *rest).collect()
     assert [(r.return_id, r.customer_lifetime_returns) for r in out] == [(9001, 4)]
+
+
+def test_vocabularies_are_bounded(spark, frame):
+    prepared = model.standardizer(frame).transform(frame)
+    model.check_vocabularies(prepared)
+    model.check_vocabularies(prepared, most=3)
+    with pytest.raises(ValueError, match=r"more than 2 categories in condition_received \(3\), return_reason \(3\)"):
+        model.check_vocabularies(prepared, most=2)
+
+
+def test_a_million_channels_are_refused(spark):
+    """An uncleaned column must not come to the driver whole."""
+    many = spark.range(1_000_000).select(
+        F.concat(F.lit("c"), F.col("id")).alias("return_channel_cat"),
+        *[F.lit("x").alias(f"{c}_cat") for c in features.CATEGORICAL_FEATURES if c != "return_channel"],
+    )
+    with pytest.raises(ValueError, match=r"return_channel \(1000000\)"):
+        model.encoder_stages(many)

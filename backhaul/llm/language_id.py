@@ -34,6 +34,7 @@ ORDER = 3
 UNKNOWN = "und"
 _PAD = 0x0A
 _BLOCK = 1 << 20
+_PARTS, _COUNTING_TASKS = 32, 4
 _ASCII_LETTER = np.zeros(256, bool)
 _ASCII_LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
 _LETTER = re.compile(r"[^\W\d_]")
@@ -56,7 +57,9 @@ def _before(data: np.ndarray, offsets: np.ndarray, pad: int) -> list[np.ndarray]
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """lang, gram (three context bytes and the byte that follows) and n."""
+    """lang, gram (three context bytes and the byte that follows) and n, added up over the task."""
+    place: dict[str, int] = {}
+    keys, n = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # languages in the upper half of a key
     for whole in batches:
         for batch in slices(whole):
             data, offsets = buffers(batch.column(1))
@@ -64,17 +67,19 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             one, two, three = (x.astype(np.uint64) for x in _before(data, offsets, _PAD))
             gram = three << np.uint64(24) | two << np.uint64(16) | one << np.uint64(8) | data.astype(np.uint64)
-            names, lang = np.unique(batch.column(0).to_numpy(zero_copy_only=False).astype(str), return_inverse=True)
-            both = np.sort(np.repeat(lang, np.diff(offsets)).astype(np.uint64) << np.uint64(32) | gram)
-            at = np.flatnonzero(np.append(True, both[1:] != both[:-1]))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(names[(both[at] >> np.uint64(32)).astype(np.int64)].tolist(), pa.string()),
-                    pa.array((both[at] & np.uint64(0xFFFFFFFF)).astype(np.int64)),
-                    pa.array(np.diff(np.append(at, len(both)))),
-                ],
-                names=["lang", "gram", "n"],
-            )
+            lang = np.array([place.setdefault(x, len(place)) for x in batch.column(0).to_pylist()], np.uint64)
+            new, count = np.unique(np.repeat(lang, np.diff(offsets)) << np.uint64(32) | gram, return_counts=True)
+            keys, slot = np.unique(np.concatenate([keys, new]), return_inverse=True)
+            n = np.bincount(slot, np.concatenate([n, count]), len(keys)).astype(np.int64)
+    names = pa.array(list(place), pa.string())
+    yield pa.RecordBatch.from_arrays(
+        [
+            names.take(pa.array((keys >> np.uint64(32)).astype(np.int64))),
+            pa.array((keys & np.uint64(0xFFFFFFFF)).astype(np.int64)),
+            pa.array(n),
+        ],
+        names=["lang", "gram", "n"],
+    )
 
 
 @dataclass(frozen=True)
@@ -90,10 +95,15 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE, sample: int = SAMPL
     """Count the grams of the sample. They come to the driver, added up: no more than its bytes."""
     known = docs.where(F.col("lang").isNotNull() & (F.octet_length(F.col("text").cast("string")) > 0))
     known = known.where(remainder(F.col("doc_id")) != HELD_OUT).withColumn("lang", F.col("lang").cast("string"))
-    first = Window.partitionBy("lang").orderBy(F.xxhash64(ROW), "doc_id", ROW)
-    ranked = distinct_rows(known, "lang").withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= per_language)
+    # First within parts of a language, so that none is sorted by one task whole.
+    order = (F.xxhash64(ROW), "doc_id", ROW)
+    part = distinct_rows(known, "lang").withColumn("part", F.pmod(F.xxhash64(ROW, "doc_id"), F.lit(_PARTS)))
+    in_part = F.row_number().over(Window.partitionBy("lang", "part").orderBy(*order))
+    best = part.withColumn("rank", in_part).where(F.col("rank") <= per_language).drop("part")
+    ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("rank") <= per_language)
     chosen = ranked.orderBy("rank", "lang").limit(sample).drop("rank")
-    rows = rows_of(docs, chosen, "lang", "text")
+    # The sample is small; counted by a few tasks, its grams are the same rows however it lay.
+    rows = rows_of(docs, chosen, "lang", "text").coalesce(_COUNTING_TASKS)
     found = rows.mapInArrow(_counts, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     table = found.toArrow()
     lang = np.asarray(table.column("lang").to_pylist(), dtype=object)

@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +34,9 @@ from backhaul.llm.words import LOWER, NOT_SPACE, buffers, hash_spans, mix, row_s
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 25, 5  # 99.995 % of pairs at similarity 0.8 meet in a band
-FINE = 500  # positions of the longer signature
+FINE = 2048  # positions of the longer signature, of which one bit each is kept
 SLACK = 3.0
+_ROWS_SIGNED = 1024  # texts given a longer signature together, 16 KB each
 _FIRST, _SPOT, _PLACE = 0x51ED270B, 0x2545F491, 0x7F4A7C15  # salts of gaps, positions, places
 
 
@@ -115,10 +117,12 @@ def band_keys(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return key.view(np.int64)
 
 
-def position_marks(signature: np.ndarray) -> np.ndarray:
-    """The signature's values as 32-bit numbers that differ from position to position."""
+def position_bits(signature: np.ndarray) -> np.ndarray:
+    """One bit of each of the signature's values, 64 to a number. Bits of different values agree half
+    of the time."""
     place = mix(np.arange(signature.shape[1], dtype=np.uint64))
-    return (mix(signature.view(np.uint64) ^ place) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+    bits = (mix(signature.view(np.uint64) ^ place) >> np.uint64(63)).astype(np.uint8)
+    return np.packbits(bits, axis=1).view(np.int64)
 
 
 def text_key(text: Column) -> Column:
@@ -197,18 +201,31 @@ def _shared(member: DataFrame) -> DataFrame:
 
 
 def _fine(texts: DataFrame, positions: int, shingle: int) -> DataFrame:
-    """key and marks: a longer signature, for texts of buckets that hold several classes."""
+    """key and marks: the bits of a longer signature, for texts of buckets that hold several classes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole):
-                n = batch.num_rows
-                signature = signatures(*weights(*shingles(*buffers(batch.column(1)), shingle)), n, positions)
-                each = pa.array(np.arange(n + 1) * positions, pa.int32())
-                marks = pa.ListArray.from_arrays(each, pa.array(position_marks(signature).ravel(), pa.int32()))
-                yield pa.RecordBatch.from_arrays([batch.column(0), marks], names=["key", "marks"])
+            for part in slices(whole):
+                for low in range(0, part.num_rows, _ROWS_SIGNED):
+                    batch = part.slice(low, _ROWS_SIGNED)
+                    n = batch.num_rows
+                    signature = signatures(*weights(*shingles(*buffers(batch.column(1)), shingle)), n, positions)
+                    each = pa.array(np.arange(n + 1) * (positions // 64), pa.int32())
+                    marks = pa.ListArray.from_arrays(each, pa.array(position_bits(signature).ravel(), pa.int64()))
+                    yield pa.RecordBatch.from_arrays([batch.column(0), marks], names=["key", "marks"])
+
+    return texts.select("key", "text").mapInArrow(run, "key binary, marks array<long>")
+
 
-    return texts.select("key", "text").mapInArrow(run, "key binary, marks array<int>")
+def _may_reach(similarity: float, positions: int) -> Column:
+    """Whether the bits of a pair agree as often as those of a pair at `similarity`, less four standard
+    deviations. Bits agree at equal values, and else half of the time."""
+    apart = (1 - similarity) / 2
+    most = positions * apart + 4 * math.sqrt(positions * apart * (1 - apart))
+    differ = [
+        F.bit_count(F.col("marks_a")[i].bitwiseXOR(F.col("marks_b")[i])) for i in range(positions // 64)
+    ]
+    return reduce(lambda a, b: a + b, differ) <= math.ceil(most)
 
 
 def _pairs(met: DataFrame) -> DataFrame:
@@ -253,7 +270,6 @@ def classes(docs: DataFrame, signed: DataFrame, similarity: float = SIMILARITY,
     if left.isEmpty():
         return roots
     fine = stored(_fine(words.join(left.select("key").distinct(), "key", "left_semi"), FINE, shingle), "fine-signatures")
-    agree = int(FINE * similarity - 4 * math.sqrt(FINE * similarity * (1 - similarity)))
     marked = left.join(fine.join(texts.select("key", "bands"), "key"), "key")
     one = _side(marked.where("outside"), "a", "root", "marks", "bands")
     other = _side(marked, "b", "root", "marks", "bands", "outside")
@@ -261,8 +277,8 @@ def classes(docs: DataFrame, signed: DataFrame, similarity: float = SIMILARITY,
     # A pair may meet in many buckets; it counts in the first one. If a text is not there any more,
     # it was the hub and has been compared.
     once = F.element_at(F.array_intersect("bands_a", "bands_b"), 1) == F.col("bucket")
-    alike = F.size(F.array_intersect("marks_a", "marks_b")) >= agree
-    pairs = stored(_pairs(other.join(one, "bucket").where(apart & fits & once & alike)), "pairs")
+    alike = _may_reach(similarity, FINE)
+    pairs = stored(_pairs(other.join(one, "bucket").where(apart & fits & alike & once)), "pairs")
     more = _links(pairs.join(compared, ["a", "b"], "left_anti"), words, similarity, shingle)
     # The classes found so far stand for the links that made them.
     return components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
@@ -295,10 +311,10 @@ def one_per_class(docs: DataFrame, similarity: float = SIMILARITY, bands: int =
     texts under that id the one with the lowest digest. Rows alike in id and text count once."""
     members = _members(docs, similarity, bands, rows, shingle)
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("least")
-    kept = members.groupBy("class").agg(least).select(
-        F.col("least.doc_id").alias("_bmh_id"), F.col("least.key").alias("_bmh_key")
-    )
-    whole = docs.withColumns({"_bmh_id": F.col("doc_id").cast("long"), "_bmh_key": text_key(F.col("text"))})
-    once = whole.dropDuplicates(["_bmh_id", "_bmh_key"])
-    same = once["_bmh_id"].eqNullSafe(kept["_bmh_id"]) & (once["_bmh_key"] == kept["_bmh_key"])
-    return once.join(kept, same, "left_semi").select(*[once[c] for c in docs.columns])
+    kept = members.groupBy("class").agg(least).select("least.doc_id", "least.key")
+    # The documents' columns stay together in one, so that theirs may have any names.
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    whole = whole.withColumns({"id": F.col("row.doc_id").cast("long"), "text_key": text_key(F.col("row.text"))})
+    once = whole.dropDuplicates(["id", "text_key"])
+    same = F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("text_key") == F.col("key"))
+    return once.join(kept, same, "left_semi").select("row.*")

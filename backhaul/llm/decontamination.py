@@ -134,10 +134,12 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     covered = F.array_distinct(
         F.flatten(F.transform("spans", lambda s: F.sequence(s["start"], s["start"] + s["size"] - 1)))
     )
-    hit = spans.select(F.col("doc_id").alias("_doc"), F.col("_text").alias("_hash"), F.size(covered).alias("_hit"))
-    same = docs["doc_id"].eqNullSafe(F.col("_doc")) & F.xxhash64(docs["text"].cast("string")).eqNullSafe(F.col("_hash"))
-    bad = SHARE * F.col("_hit") >= F.size(words(docs["text"]))
-    return docs.join(hit, same & bad, "left_anti")
+    hit = spans.select(F.col("doc_id").alias("hit_id"), F.col("_text").alias("hit_text"), F.size(covered).alias("n_hit"))
+    # The documents' columns stay together in one, so that theirs may have any names.
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    of_text = F.xxhash64(F.col("row.text").cast("string")).eqNullSafe(F.col("hit_text"))
+    bad = SHARE * F.col("n_hit") >= F.size(words(F.col("row.text")))
+    return rows.join(hit, F.col("row.doc_id").eqNullSafe(F.col("hit_id")) & of_text & bad, "left_anti").select("row.*")
 
 
 _DUCK_WORDS = f"""regexp_extract_all(translate(coalesce(text, ''), '{_CAPITALS}', '{_CAPITALS.lower()}'),

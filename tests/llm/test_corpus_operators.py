@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from cases import ODD, SF_DIR, documents
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from backhaul.llm import bag_minhash, components, decontamination, lm_scoring, pii
@@ -99,6 +100,43 @@ def test_one_per_class(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted({int(c) for _, c, _ in brute_classes(rows)})
 
 
+CLASHES = ("_bmh_id", "_bmh_key", "_doc", "_hash", "_hit", "_text", "id", "row", "key", "hit_id", "hit_text", "n_hit", "text_key", "a.b")
+
+
+def test_documents_may_have_any_columns(spark):
+    """Columns named like ours, in any way, come back as they were."""
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, text), (2, text + " x"), (3, "quite another text " * 9), (3, "quite another text " * 9), (None, None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    frame = frame.select("*", *[F.lit(f"mine {c}").alias(c) for c in CLASHES])
+    items = spark.createDataFrame([(1, "quite another text")], "item_id long, text string")
+    one_each, clean = bag_minhash.one_per_class(frame), decontamination.clean(frame, items)
+    assert one_each.columns == clean.columns == frame.columns
+    assert sorted(str(r.doc_id) for r in one_each.collect()) == ["1", "3", "None"]
+    assert sorted(str(r.doc_id) for r in clean.collect()) == ["1", "2", "None"]
+    for row in [*one_each.collect(), *clean.collect()]:
+        assert list(row)[2:] == [f"mine {c}" for c in one_each.columns[2:]]
+
+
+def test_bits_tell_pairs_apart(spark):
+    """Pairs at the limit pass, pairs well below do not."""
+    draw = np.random.default_rng(9)
+    for want, low, high in ((0.8, 0.99, 1.01), (0.6, -0.01, 0.01)):
+        passed = []
+        for _ in range(25):
+            common, own = round(300 * want), round(300 * (1 - want) / 2)
+            key = draw.integers(0, 2**63, common + 2 * own).astype(np.uint64)
+            sides = [np.concatenate([key[:common], key[common : common + own]]), np.concatenate([key[:common], key[common + own :]])]
+            bits = [
+                bag_minhash.position_bits(bag_minhash.signatures(s, np.zeros(len(s), int), np.ones(len(s), int), 1, bag_minhash.FINE))[0].tolist()
+                for s in sides
+            ]
+            passed.append((*bits,))
+        frame = spark.createDataFrame(passed, "marks_a array<long>, marks_b array<long>")
+        share = frame.where(bag_minhash._may_reach(0.8, bag_minhash.FINE)).count() / 25
+        assert low < share < high
+
+
 def test_no_documents_and_no_words(spark):
     assert bag_minhash.near_duplicates(documents(spark, [])).count() == 0
     blank = bag_minhash.near_duplicates(documents(spark, [(1, None), (2, ""), (3, " ")])).collect()

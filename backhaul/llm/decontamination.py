@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 WINDOW = 13
-#: Benchmark words and windows up to this many rows are broadcast; beyond, Spark joins by shuffle.
+#: Up to this many words or windows of the benchmark are broadcast; beyond, Spark joins by shuffle.
 BROADCAST_ROWS = 200_000
 SHARE = 20  # a document is contaminated from one hit word in so many
 
@@ -49,20 +49,20 @@ def _small(df: DataFrame, bound: int) -> DataFrame:
 
 
 def rare_words(docs: DataFrame, windows: DataFrame, bound: int = BROADCAST_ROWS) -> DataFrame:
-    """For each window its rarest word over all documents: one row per word, with the windows it
-    stands for and its place in each."""
+    """For each window its rarest word over all documents: one row per window, with its words, their
+    number, the items that have it, the word and the word's place in it. Windows with a word that no
+    document has are left out."""
     vocabulary = windows.select(F.explode("window").alias("word")).distinct()
     seen = docs.select(F.explode_outer(words(F.col("text"))).alias("word"))
     counts = seen.join(_small(vocabulary, bound), "word").groupBy("word").count()
     spots = windows.select("window", "items", F.posexplode("window").alias("place", "word"))
     best = Window.partitionBy("window").orderBy("count", "word", "place")
-    prefix = (
+    return (
         spots.join(vocabulary.join(counts, "word", "left").na.fill(0, ["count"]), "word")
         .withColumn("rank", F.row_number().over(best))
         .where("rank = 1 and count > 0")
+        .select("word", "window", F.size("window").alias("size"), "place", "items")
     )
-    one = F.struct("window", F.size("window").alias("size"), "place", "items")
-    return prefix.groupBy("word").agg(F.collect_list(one).alias("windows"))
 
 
 def _key(df: DataFrame) -> list[Column]:
@@ -78,15 +78,19 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, bound: int
     prefix = stored(rare_words(docs, windows, bound), "rare-words")
     texts = docs.select(*_key(docs), words(F.col("text")).alias("w"))
     places = texts.select("doc_id", "_text", "w", F.posexplode_outer("w").alias("at", "word"))
-    met = places.join(_small(prefix, bound), "word")
-    # All of this runs in one generated stage, so a document's words are not copied per word.
-    tried = met.select("doc_id", "_text", "w", "at", F.explode("windows").alias("c"))
-    start, size = F.col("at") - F.col("c.place"), F.col("c.size")
-    inside = (start >= 0) & (start + size <= F.size("w"))
-    same = F.slice("w", F.greatest(start, F.lit(0)) + 1, size) == F.col("c.window")
-    return tried.where(inside & same).select(
-        "doc_id", "_text", start.alias("start"), size.alias("size"), F.col("c.items").alias("items")
-    )
+    low = F.greatest(F.col("at") - (window - 1), F.lit(0))
+    if prefix.limit(bound + 1).count() <= bound:
+        # Windows come to the documents. All runs in one generated stage, and a document's words are
+        # not copied per word.
+        met = places.withColumns({"near": F.col("w"), "low": F.lit(0), "n": F.size("w")}).join(F.broadcast(prefix), "word")
+    else:
+        # Words go to the windows, each with those around it that a window may hold.
+        near = places.select("doc_id", "_text", "at", "word", F.slice("w", low + 1, 2 * window - 1).alias("near"), low.alias("low"), F.size("w").alias("n"))
+        met = near.join(prefix, "word")
+    start = F.col("at") - F.col("place")
+    inside = (start >= 0) & (start + F.col("size") <= F.col("n"))
+    same = F.slice("near", F.greatest(start - F.col("low"), F.lit(0)) + 1, F.col("size")) == F.col("window")
+    return met.where(inside & same).select("doc_id", "_text", start.alias("start"), "size", "items")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, bound: int = BROADCAST_ROWS) -> DataFrame:

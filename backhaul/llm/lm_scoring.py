@@ -94,11 +94,20 @@ def _unpack(raw: bytes) -> np.ndarray:
 
 
 def _pack_counts(values: np.ndarray) -> bytes:
-    return values.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+    """Byte planes, as many as the largest count needs; their number comes first."""
+    planes = max(1, -(-int(values.max(initial=0)).bit_length() // 8))
+    whole = values.astype("<u8").view(np.uint8).reshape(-1, 8)
+    return bytes([planes]) + whole[:, :planes].T.tobytes()
 
 
 def _unpack_counts(raw: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view("<u4").ravel()
+    if len(raw) == 0:
+        return np.zeros(0, np.int64)
+    data = np.frombuffer(raw, np.uint8)
+    planes = data[1:].reshape(data[0], -1)
+    whole = np.zeros((planes.shape[1], 8), np.uint8)
+    whole[:, : len(planes)] = planes.T
+    return whole.view("<i8").ravel()
 
 
 def _remainder(doc_id: Column) -> Column:
@@ -167,7 +176,7 @@ def _answers(fold_groups: int):
         shard = table.column("shard")[0].as_py()
         groups = np.asarray(table.column("group"))
         asked = [_unpack(k.as_buffer()) for k in table.column("keys")]
-        own = np.concatenate([_unpack_counts(c.as_buffer()) for c in table.column("counts")]).astype(np.int64)
+        own = np.concatenate([_unpack_counts(c.as_buffer()) for c in table.column("counts")])
         bounds = np.concatenate([[0], np.cumsum([len(k) for k in asked])])
         every = np.concatenate(asked)
         rank = np.argsort(every)
@@ -217,7 +226,7 @@ def _mixture(g: Grams, counts: np.ndarray, train: int, types: int, weights: list
 def _in_order(replies: pa.Table, column: str) -> np.ndarray:
     """The answers of all shards put together, which is the order of the group's keys."""
     rows = sorted(zip(replies.column("shard").to_pylist(), replies.column(column)), key=lambda r: r[0])
-    return np.concatenate([_unpack_counts(raw.as_buffer()) for _, raw in rows]).astype(np.int64)
+    return np.concatenate([_unpack_counts(raw.as_buffer()) for _, raw in rows])
 
 
 def _histogram(order: int, train: int, types: int, weights: list[np.ndarray]):

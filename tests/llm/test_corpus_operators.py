@@ -13,6 +13,8 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from cases import ODD, SF_DIR, documents
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -456,3 +458,13 @@ def test_pipeline(spark):
     assert found.count() == 0
     packed = corpus_pipeline.STAGES[-1][1](spark, frame, str(SF_DIR))
     assert packed.select("doc_id").distinct().count() == sizes[-1]
+
+
+@given(st.lists(st.integers(0, 2**63 - 1), max_size=40))
+@settings(max_examples=200, deadline=None)
+def test_counts_of_any_size_come_back(values):
+    packed = lm_scoring._pack_counts(np.array(values, np.int64))
+    assert lm_scoring._unpack_counts(packed).tolist() == values
+    assert len(packed) == 1 + len(values) * max(1, -(-max(values, default=0).bit_length() // 8))
+    assert lm_scoring._unpack_counts(b"").tolist() == []
+    assert lm_scoring._unpack_counts(lm_scoring._pack_counts(np.array([5_000_000_000]))).tolist() == [5_000_000_000]

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from datetime import datetime
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from backhaul import schemas, sources
@@ -40,19 +40,19 @@ def upsert(
 ) -> Load:
     """Merge a batch into a table of `old`, write the result to `new`.
 
-    The batch is staged first, so its files are parsed once and its row order is settled; its rows are
-    counted by the write that stages them, and staging goes when the table is written. Rows that lack a required value are written to `rejects` below the
+    The batch is staged first, so its files are parsed once and its row order is settled; staging
+    goes when the table is written. Rows that lack a required value are written to `rejects` below the
     new version, as they came, and take no further part, so they cannot displace good rows. `latest`
     reduces the others to one row per key.
     """
     table = schemas.TABLES.get(name)
     if table is None or not table.updated:
         raise ValueError(f"No upsert rule for table '{name}'")
-    good = storable(batch, table)
-    seen = Observation()
-    counted = batch.observe(seen, F.count_if(good).alias("loaded"), F.count_if(~good).alias("rejected"))
-    with staged(counted, f"{name}-batch") as rows:
-        loaded, rejected = seen.get["loaded"], seen.get["rejected"]
+    # Counted after staging: a session that has observed a write cannot fit models any more (4.1.2:
+    # its observations cannot be sent to tasks).
+    with staged(batch, f"{name}-batch") as rows:
+        good = storable(rows, table)
+        loaded, rejected = rows.agg(F.count_if(good), F.count_if(~good)).first()
         if rejected:
             new.write_rejects(name, rows.where(~good))
         fit = rows.where(good)

@@ -65,8 +65,8 @@ def check_vocabularies(frame: DataFrame, most: int = MAX_CATEGORIES) -> None:
 def encoder_stages(frame: DataFrame) -> list:
     """Fitted stages that one-hot encode the categories of `frame` (with `_cat` columns).
 
-    Categories are in alphabetical order, up to `MAX_CATEGORIES` of them a column; one that `frame` lacks encodes as all zeros: the
-    indexer sends it to an extra last index, which the encoder drops.
+    Categories are in alphabetical order, up to `MAX_CATEGORIES` of them a column; one that `frame`
+    lacks encodes as all zeros: the indexer sends it to an extra last index, which the encoder drops.
     """
     inputs = [f"{c}_cat" for c in CATEGORICAL_FEATURES]
     indexed = [f"{c}_index" for c in CATEGORICAL_FEATURES]

@@ -408,6 +408,17 @@ ORACLES: dict[str, str] = {
              when 3 then strftime(order_date, '%Y%m%d') else strftime(order_date, '%Y-%m-%d') end as written from d_orders)""",
         "d_orders",
     ),
+    "scan_day_first_dates": _with(
+        "select order_id, date_trunc('minute', order_date) as order_date from d_orders", "d_orders"
+    ),
+    "scan_date_orders": _with(
+        """select 'order_date' as column_name,
+             count(*) filter (where day(order_date) > 12 and order_id % 3 = 0) as n_month_first,
+             count(*) filter (where day(order_date) > 12 and order_id % 3 <> 0) as n_day_first,
+             count(*) filter (where day(order_date) <= 12) as n_either
+           from d_orders where order_date is not null having count(*) > 0""",
+        "d_orders",
+    ),
     "fraud_signal_log": _with(
         "select return_id, signal_type, severity, round(score, 3) as score, evidence, model_version from signals", "signals"
     ),

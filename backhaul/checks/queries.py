@@ -213,6 +213,31 @@ def scan_mixed_dates(w):
     return sources.read_orders(w.spark, path).select("order_id", "order_date")
 
 
+def _slashed_dates(w: SampleWarehouse, mixed: bool) -> str:
+    """Orders with slashed dates as CSV, spread over its files; every third row month first if mixed."""
+    at = F.col("order_date")
+    text = F.date_format(at, "d/M/yyyy H:mm")
+    if mixed:
+        text = F.when(F.col("order_id") % 3 == 0, F.date_format(at, "M/d/yyyy H:mm")).otherwise(text)
+    path = scratch_path(w.spark, "slashed-dates")
+    write_csv(w.table("orders").withColumn("order_date", text).repartition("order_id"), path)
+    return path
+
+
+@query
+def scan_day_first_dates(w):
+    """Orders from files that write the day before the month, which only some of the dates show."""
+    return sources.read_orders(w.spark, _slashed_dates(w, mixed=False)).select("order_id", "order_date")
+
+
+@query
+def scan_date_orders(w):
+    """Dates of files that mix both orders: how many read one way only, how many either way."""
+    found = sources.date_orders(w.spark, _slashed_dates(w, mixed=True), schemas.ORDERS)
+    sums = [F.sum(c).alias(c) for c in ("n_month_first", "n_day_first", "n_either")]
+    return found.groupBy("column_name").agg(*sums)
+
+
 @query
 def fraud_signal_log(w):
     return comparable(w.table("fraud_signals").drop("signal_id", "created_at"))

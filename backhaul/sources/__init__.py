@@ -1,4 +1,5 @@
 from backhaul.sources.csv import (
+    date_orders,
     read_customers,
     read_order_items,
     read_orders,
@@ -9,6 +10,7 @@ from backhaul.sources.warehouse import Warehouse, write_csv
 
 __all__ = [
     "Warehouse",
+    "date_orders",
     "read_customers",
     "read_order_items",
     "read_orders",

@@ -3,12 +3,16 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from backhaul import sources
+from backhaul import schemas, sources
 from backhaul.functions.text import NA_TOKENS
 from backhaul.sources.csv import ADDED, MALFORMED, SEQ, malformed_rows
 from backhaul.sources.warehouse import Warehouse, write_csv
 from conftest import day
 
+
+def day_of(date, hour=0, minute=0):
+    return day(date).replace(hour=hour, minute=minute)
+
 HEADER = "return_id,order_item_id,customer_id,return_date,return_reason,return_channel,condition_received,refund_amount"
 
 
@@ -84,6 +88,49 @@ def test_rows_of_another_length_than_the_header_have_no_cells(spark, tmp_path):
     assert [r[MALFORMED] for r in many.collect()] == ["3,a", "4,a,b,c", "9,a,b,"]
 
 
+def dates(frame):
+    return [r.order_date for r in frame.orderBy(SEQ).collect()]
+
+
+def test_a_file_settles_the_order_of_day_and_month(spark, tmp_path, caplog):
+    head = "order_id,order_date,customer_id"
+    folder = tmp_path / "orders"
+    folder.mkdir()
+    write(folder / "a.csv", head, "1,3/4/2025,1", "2,25/4/2025 7:05,1", "3,2025-01-02,1", '4,"Jan 5, 2025",1', "5,soon,1", "6,,1")
+    write(folder / "b.csv", head, "1,3/4/2025,1", "2,4/25/2025,1", "3,10/11/2025,1")
+    write(folder / "c.csv", head, "1,3/4/2025,1", "2,31/31/2025,1")
+    # A row with a field too many has no say, nor has a text column.
+    write(folder / "d.csv", head, "1,3/4/2025,1", "2,25/4/2025,1,1", "3,3/5/2025,25/4/2025")
+    write(folder / "e.csv", head, "1,3/4/2025,1", "2,25/4/2025,1", "3,4/25/2025,1")
+    month, day = day_of("2025-03-04"), day_of("2025-04-03")
+    assert dates(sources.read_orders(spark, str(folder))) == [
+        day, day_of("2025-04-25", 7, 5), day_of("2025-01-02"), day_of("2025-01-05"), None, None,
+        month, day_of("2025-04-25"), day_of("2025-10-11"), month, None,
+        month, None, day_of("2025-03-05"), month, None, day_of("2025-04-25"),
+    ]
+    assert "e.csv" in caplog.text and "a.csv" not in caplog.text
+    found = {r.file[-5:]: tuple(r)[1:] for r in sources.date_orders(spark, str(folder), schemas.ORDERS).collect()}
+    assert found == {
+        "a.csv": ("order_date", 0, 1, 1, "day"),
+        "b.csv": ("order_date", 1, 0, 2, "month"),
+        "c.csv": ("order_date", 0, 0, 1, "month"),
+        "d.csv": ("order_date", 0, 0, 2, "month"),
+        "e.csv": ("order_date", 1, 1, 1, "mixed"),
+    }
+    many = sources.read_orders(spark, str(folder / "a.csv"), multi_line=True)
+    assert dates(many)[:2] == [day, day_of("2025-04-25", 7, 5)]
+
+
+def test_the_order_of_dates_may_be_told(spark, tmp_path):
+    path = write(tmp_path / "orders.csv", "order_id,order_date", "1,3/4/2025", "2,25/4/2025")
+    assert dates(sources.read_orders(spark, path, date_order="month")) == [day_of("2025-03-04"), None]
+    assert dates(sources.read_orders(spark, path, date_order="day")) == [day_of("2025-04-03"), day_of("2025-04-25")]
+    only = sources.read_orders(spark, path, date_formats=("M/d/yyyy",), date_order="month")
+    assert dates(only) == [day_of("2025-03-04"), None]
+    with pytest.raises(ValueError, match="week"):
+        sources.read_orders(spark, path, date_order="week")
+
+
 def test_reserved_column_names_are_refused(spark, tmp_path):
     path = write(tmp_path / "customers.csv", "customer_id,Malformed_Row", "1,a")
     with pytest.raises(ValueError, match="malformed_row"):

@@ -6,18 +6,22 @@ is link text. Two LSTMs, one from either end of the page, carry what they read a
 is judged in the light of the whole page; a logistic layer on both decides whether it is main text.
 
 The labeller is trained on a bounded sample of the given pages. Its labels come from structure where
-structure is plain (an article element without menus, comments and the like), and from rearranged
-copies of the sample in which the same blocks stand in other containers, since pages name theirs
-differently.
+structure is plain (a container that is or is called an article, without menus, comments and the like),
+and from rearranged copies of the sample in which the same blocks stand in other containers, since pages
+name theirs differently.
+
+Pages are scanned forward only: whatever is left open (tags, quotes, comments, elements), a page takes
+time in proportion to its length.
 """
 
 from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+import zlib
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
-from functools import cache
+from functools import cache, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,21 +32,26 @@ from backhaul.llm.words import LOWER, NOT_SPACE, buffers, hash_spans, slices, sp
 
 SAMPLE = 240  # pages to learn from
 HIDDEN, PATH, WORDS, NUMBERS = 16, 96, 32, 4
+LONGEST_PAGE = 1 << 18  # bytes of a page to learn from
 STEPS, BATCH, LONGEST = 260, 16, 80  # of training
-_KEPT_PATHS = 50_000
 
-_MARKUP = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S
-)
+# A whole tag whose quotes hold no angle brackets; others are followed by hand. No part gives back.
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/<>]*+)((?:[^<>\"']|\"[^\"<>]*+\"|'[^'<>]*+')*+)>")
+_NAME = re.compile(r"<(/?)([a-zA-Z][^\s/<>]*+)")
+_STOP = re.compile(r"[<>\"']")
 _NAMED = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _WORD = re.compile(r"[a-z0-9]+")
+_ZEROS = re.compile(r"&#0{4,}+(?=[0-9])")
+_FAR = re.compile(r"&#[0-9]{8,}+;?")
 _SPACES = re.compile(r"\s+")
 # HTML elements by kind.
-_RAW = {"script", "style", "noscript", "template", "textarea", "iframe", "svg", "math", "title", "object"}
+_RAW = {"script", "style", "template", "textarea", "iframe", "svg", "title", "annotation", "annotation-xml"}
 _INLINE = {
     "a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font",
     "i", "ins", "kbd", "label", "mark", "q", "ruby", "rb", "rp", "rt", "s", "samp", "small", "span",
-    "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr",
+    "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "noscript", "object", "math", "semantics",
+    "mi", "mn", "mo", "ms", "mtext", "mrow", "mfrac", "msup", "msub", "msubsup", "msqrt", "mroot", "mfenced",
+    "mover", "munder", "munderover", "mspace", "mstyle", "mtable", "mtr", "mtd",
 }
 _EMPTY = {
     "area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track",
@@ -55,85 +64,159 @@ _ENDS_P = {
 }
 
 
+# Words of containers that hold main text, and of those that hold something else.
+MAIN = ["article", "main", "content", "post", "entry", "story", "body-text"]
+OTHER = {
+    "menu": ["nav", "menu", "navbar", "breadcrumb", "toolbar"],
+    "header": ["header", "masthead", "topbar", "banner"],
+    "footer": ["footer", "copyright", "legal"],
+    "sidebar": ["aside", "sidebar", "related", "widget", "recommended"],
+    "notice": ["cookie", "notice", "consent", "alert", "popup", "newsletter"],
+    "advert": ["ad", "ads", "advert", "advertisement", "sponsored", "promo"],
+    "form": ["form", "search", "subscribe", "login", "signup"],
+    "comments": ["comments", "comment", "discussion", "replies", "respond"],
+    "social": ["share", "social", "tags", "meta"],
+}
+_NOT_MAIN = {w for words in OTHER.values() for w in words} - {"meta", "header", "legal"}
+_SURE, _LIKELY = {"article", "main"}, {"content", "post", "entry", "story"}
+
+
+# --- blocks ---------------------------------------------------------------------------------
+
+# A path is a set of marks, as bits: the slots of its hashed words, and which of the lists have one.
+_SURE_BIT, _LIKELY_BIT, _OTHER_BIT = (1 << PATH + i for i in range(3))
+
+
+def marks(words: Iterable[str]) -> int:
+    """Marks of the words of a path."""
+    out = 0
+    for w in words:
+        out |= 1 << zlib.crc32(w.encode()) % PATH
+        if w in _SURE:
+            out |= _SURE_BIT
+        elif w in _LIKELY:
+            out |= _LIKELY_BIT
+        elif w in _NOT_MAIN:
+            out |= _OTHER_BIT
+    return out
+
+
+def _container_marks(tag: str, names: str) -> int:
+    return marks((tag, *_WORD.findall(names.lower())))
+
+
+_known_container = lru_cache(1 << 16)(_container_marks)
+
+
 @cache
 def _raw_end(tag: str) -> re.Pattern:
-    return re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I)
+    return re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^<>]*+>?", re.I)
 
 
-class Paths:
-    """Containers seen by this process, by number; each has its words, itself and those around it."""
+def _tag_end(page: str, at: int, spent: set[str]) -> tuple[int, int]:
+    """End of the attributes and of the tag that holds place `at`: a tag bracket outside quoted values.
 
-    def __init__(self):
-        self.clear()
+    A tag that is still open where the next one begins ends there. `spent` are the quotes that do not
+    occur any more; an open value of these is none.
+    """
+    while m := _STOP.search(page, at):
+        at = m.end()
+        if (c := m.group()) == ">":
+            return m.start(), at
+        if c == "<":
+            return m.start(), m.start()
+        value = m.start() - 1
+        while page[value].isspace():
+            value -= 1
+        if page[value] == "=" and c not in spent:
+            end = page.find(c, at)
+            if end < 0:
+                spent.add(c)
+            else:
+                at = end + 1
+    return len(page), len(page)
 
-    def clear(self) -> None:
-        self.number: dict[tuple[int, str, str], int] = {}
-        self.words: list[tuple[str, ...]] = [()]
 
-    def child(self, parent: int, tag: str, names: str) -> int:
-        key = (parent, tag, names)
-        found = self.number.get(key)
-        if found is None:
-            own = (tag, *_WORD.findall(names.lower()))
-            found = self.number[key] = len(self.words)
-            # Deep nesting repeats what is known: a word counts once.
-            self.words.append(tuple(dict.fromkeys(self.words[parent] + own)))
-        return found
+def _plain_text(text: str) -> str:
+    if "&" in text:
+        # Longer numbers stand for no character, and Python reads them in no time that is bounded.
+        text = _FAR.sub("\ufffd", _ZEROS.sub("&#", text))
+        text = html.unescape(text)
+    return _SPACES.sub(" ", text).strip()
 
 
-def blocks(page: str, paths: Paths) -> list[tuple[int, str, float]]:
-    """Path, text and share of link text of every block of a page, in page order."""
+def blocks(page: str) -> list[tuple[int, str, float]]:
+    """Path marks, text and share of link text of every block of a page, in page order."""
     out: list[tuple[int, str, float]] = []
     stack: list[tuple[str, int]] = []
+    opened: dict[str, int] = {}
     text: list[str] = []
+    spent: set[str] = set()
     path, at, linked, in_link = 0, 0, 0, False
+    last = page.rfind(">")
 
     def flush() -> None:
         nonlocal linked
         if text:
-            whole = "".join(text)
-            if "&" in whole:
-                whole = html.unescape(whole)
-            whole = _SPACES.sub(" ", whole).strip()
+            whole = _plain_text("".join(text))
             if whole:
                 out.append((path, whole, min(linked / len(whole), 1.0)))
         text.clear()
         linked = 0
 
-    for m in _MARKUP.finditer(page):
-        if m.start() < at:
-            continue
-        if m.start() > at:
-            piece = page[at : m.start()]
-            text.append(piece)
+    def take(start: int, end: int) -> None:
+        nonlocal linked
+        if end > start:
+            text.append(page[start:end])
             if in_link:
-                linked += len(piece)
-        at = m.end()
-        if m.group(2) is None:
+                linked += end - start
+
+    def close() -> None:
+        nonlocal path
+        tag, path = stack.pop()
+        opened[tag] -= 1
+
+    look = 0  # where the next tag may begin; what lies between `at` and there is text
+    while (begin := page.find("<", look)) >= 0:
+        whole = _TAG.match(page, begin) or _NAME.match(page, begin)
+        if whole is None:
+            if page.startswith("<!--", begin):
+                end = page.find("-->", begin + 2)
+                end = len(page) if end < 0 else end + 3
+            elif page[begin + 1 : begin + 2] in ("!", "?", "/") and begin + 1 < last:
+                end = page.find(">", begin) + 1
+            else:
+                look = begin + 1
+                continue
+            take(at, begin)
+            at = look = end
             continue
-        tag = m.group(2).lower()
-        if m.group(1):
+        take(at, begin)
+        tag = whole.group(2).lower()
+        if whole.re is _TAG:
+            named, at = whole.group(3), whole.end()
+        else:
+            end, at = _tag_end(page, whole.end(), spent)
+            named = page[whole.end() : end]
+        look = at
+        if whole.group(1):
             if tag == "a":
                 in_link = False
             if tag in _INLINE or tag in _EMPTY:
                 continue
-            for depth in range(len(stack) - 1, -1, -1):
-                if stack[depth][0] == tag:
-                    flush()
-                    path = stack[depth][1]
-                    del stack[depth:]
-                    break
-            else:
-                flush()
-            continue
-        if tag == "br":
+            flush()
+            if opened.get(tag):
+                while stack[-1][0] != tag:
+                    close()
+                close()
+        elif tag == "br":
             text.append(" ")
         elif tag == "a":
             in_link = True
         elif tag in _RAW:
-            end = _raw_end(tag).search(page, at)
-            if not m.group(3).rstrip().endswith("/"):
-                at = end.end() if end else len(page)
+            if not named.rstrip().endswith("/"):
+                found = _raw_end(tag).search(page, at)
+                at = look = found.end() if found else len(page)
         elif tag in _EMPTY:
             if tag == "hr":
                 flush()
@@ -141,32 +224,38 @@ def blocks(page: str, paths: Paths) -> list[tuple[int, str, float]]:
             flush()
             closes = _CLOSES.get(tag, {"p"} if tag in _ENDS_P else ())
             if stack and stack[-1][0] in closes:
-                path = stack.pop()[1]
+                close()
             stack.append((tag, path))
-            named = m.group(3)
+            opened[tag] = opened.get(tag, 0) + 1
             names = " ".join(["".join(g) for g in _NAMED.findall(named)]) if "=" in named else ""
-            path = paths.child(path, tag, names)
-    if at < len(page):
-        text.append(page[at:])
+            short = len(tag) + len(names) <= 200
+            path |= _known_container(tag, names) if short else _container_marks(tag, names)
+    take(at, len(page))
     flush()
     return out
 
 
-# --- features -------------------------------------------------------------------------------
+def plain_labels(paths: list[int], guess: bool = False) -> list[bool]:
+    """Which blocks of a page are main text by its structure: those in a container that is or is called
+    article or main or, on pages without, one with another such name, and in none of the others. With
+    `guess`, on pages with neither, all that are in none of the others."""
+    good = [not p & _OTHER_BIT for p in paths]
+    for bit in (_SURE_BIT, _LIKELY_BIT):
+        found = [g and bool(p & bit) for g, p in zip(good, paths)]
+        if any(found):
+            return found
+    return good if guess else [False] * len(paths)
 
 
-@cache
-def _place(word: str) -> int:
-    raw = np.frombuffer(word.encode() or b" ", np.uint8)
-    return int(hash_spans(raw, np.array([0]), np.array([len(raw)]))[0] % np.uint64(PATH))
+# --- features -------------------------------------------------------------------------------
 
 
-def features(words: list[tuple[str, ...]], texts: list[str], links: np.ndarray) -> np.ndarray:
-    """Inputs of the labeller for blocks with the given path words, texts and link shares."""
+def features(paths: list[int], texts: list[str], links: np.ndarray) -> np.ndarray:
+    """Inputs of the labeller for blocks with the given path marks, texts and link shares."""
     n = len(texts)
     x = np.zeros((n, PATH + WORDS + NUMBERS), np.float32)
-    rows = np.repeat(np.arange(n), [len(w) for w in words])
-    x[rows, [_place(w) for ws in words for w in ws]] = 1
+    slots = b"".join([(p & (1 << PATH) - 1).to_bytes(PATH // 8, "little") for p in paths])
+    x[:, :PATH] = np.unpackbits(np.frombuffer(slots, np.uint8).reshape(n, PATH // 8), axis=1, bitorder="little")
     data, offsets = buffers(pa.array(texts, pa.large_string()))
     begin, end, first = spans(LOWER[data], offsets, NOT_SPACE)
     row = np.repeat(np.arange(n), np.diff(first))
@@ -273,27 +362,7 @@ class Labeller:
 
 # --- training -------------------------------------------------------------------------------
 
-# Words of containers that hold main text, and of those that hold something else.
-MAIN = ["article", "main", "content", "post", "entry", "story", "body-text"]
-OTHER = {
-    "menu": ["nav", "menu", "navbar", "breadcrumb", "toolbar"],
-    "header": ["header", "masthead", "topbar", "banner"],
-    "footer": ["footer", "copyright", "legal"],
-    "sidebar": ["aside", "sidebar", "related", "widget", "recommended"],
-    "notice": ["cookie", "notice", "consent", "alert", "popup", "newsletter"],
-    "advert": ["ad", "ads", "advert", "advertisement", "sponsored", "promo"],
-    "form": ["form", "search", "subscribe", "login", "signup"],
-    "comments": ["comments", "comment", "discussion", "replies", "respond"],
-    "social": ["share", "social", "tags", "meta"],
-}
 _ELEMENTS = {"article", "main", "nav", "header", "footer", "aside", "form"}
-_NOT_MAIN = {w for words in OTHER.values() for w in words} - {"meta", "header", "legal"}
-
-
-def plain_label(words: tuple[str, ...]) -> bool:
-    """Whether a block on this path is main text, where structure says so."""
-    return ("article" in words or "main" in words) and not _NOT_MAIN & set(words)
-
 
 def _container(name: str, draw: np.random.Generator) -> tuple[str, ...]:
     if name in _ELEMENTS and draw.random() < 0.6:
@@ -301,16 +370,17 @@ def _container(name: str, draw: np.random.Generator) -> tuple[str, ...]:
     return (str(draw.choice(["div", "section"])), *name.split("-"))
 
 
-def rearranged(page: list[tuple[tuple[str, ...], str, float]], spare: list[str], draw: np.random.Generator):
-    """A copy of a page's main blocks in other containers, among other text: paths, texts, link
+def rearranged(page: list[tuple[int, str, float]], spare: list[str], draw: np.random.Generator):
+    """A copy of a page's main blocks in other containers, among other text: path marks, texts, link
     shares and labels."""
     body = ("html", "body")
     inner = _container(str(draw.choice(MAIN)), draw)
     leaves = ["p", "p", "p", "h2", "li", "blockquote", "pre"]
     main = []
-    for k, (words, text, link) in enumerate(b for b in page if plain_label(b[0])):
+    good = plain_labels([p for p, _, _ in page])
+    for k, (_, text, link) in enumerate(b for b, g in zip(page, good) if g):
         leaf = "h1" if k == 0 and draw.random() < 0.7 else str(draw.choice(leaves)) if draw.random() < 0.3 else "p"
-        main.append(((*body, *inner, leaf), text, link, 1))
+        main.append((marks((*body, *inner, leaf)), text, link, 1))
     before, after, inside = [], [], []
     for kind, names in OTHER.items():
         if draw.random() < 0.45:
@@ -328,7 +398,7 @@ def rearranged(page: list[tuple[tuple[str, ...], str, float]], spare: list[str],
         spot = draw.random()
         where = inside if spot < 0.25 else before if kind in ("menu", "header", "notice") or spot < 0.45 else after
         around = (*body, *inner) if where is inside else body
-        where.append([(tuple(dict.fromkeys((*around, *own, leaf))), text, link, 0) for own, leaf, text, link in group])
+        where.append([(marks((*around, *own, leaf)), text, link, 0) for own, leaf, text, link in group])
     for group in inside:
         at = int(draw.integers(0, len(main) + 1))
         main[at:at] = group
@@ -337,15 +407,15 @@ def rearranged(page: list[tuple[tuple[str, ...], str, float]], spare: list[str],
 
 
 def train(pages: DataFrame, sample: int = SAMPLE, steps: int = STEPS) -> Labeller | None:
-    """Fit the labeller on at most `sample` pages, those with the lowest hash of page_id; None if none
-    of them shows which blocks are main text. The sample's pages come to the driver."""
-    chosen = pages.where(F.octet_length(F.col("html").cast("string")) > 0).select("page_id")
-    chosen = chosen.orderBy(F.xxhash64("page_id"), "page_id").limit(sample).distinct()
-    rows = pages.select("page_id", F.col("html").cast("string").alias("html")).join(F.broadcast(chosen), "page_id")
-    found = sorted((r.page_id, r.html) for r in rows.dropDuplicates(["page_id"]).collect())
-    paths = Paths()
-    parsed = [[(paths.words[p], t, link) for p, t, link in blocks(page, paths)] for _, page in found]
-    parsed = [page for page in parsed if any(plain_label(b[0]) for b in page)]
+    """Fit the labeller on at most `sample` pages of at most LONGEST_PAGE bytes, those with the lowest
+    hash of page_id and html; repeated rows count once. None if none of them shows which blocks are
+    main text, as in an empty table. The sample's pages come to the driver."""
+    own = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("html").cast("string").alias("html"))
+    own = own.where(F.octet_length("html").between(1, LONGEST_PAGE)).withColumn("key", F.xxhash64("page_id", "html"))
+    chosen = own.select("key").distinct().orderBy(F.xxhash64("key"), "key").limit(sample)
+    rows = own.join(F.broadcast(chosen), "key").dropDuplicates(["key"])
+    parsed = [blocks(r.html) for r in sorted(rows.collect(), key=lambda r: r.key)]
+    parsed = [page for page in parsed if any(plain_labels([b[0] for b in page]))]
     if not parsed:
         return None
     spare = [t for page in parsed for _, t, _ in page]
@@ -357,7 +427,8 @@ def train(pages: DataFrame, sample: int = SAMPLE, steps: int = STEPS) -> Labelle
         pick = [parsed[i] for i in draw.integers(0, len(parsed), BATCH)]
         batch = []
         for k, page in enumerate(pick):
-            own = [(w, t, link, int(plain_label(w))) for w, t, link in page]
+            labels = plain_labels([p for p, _, _ in page])
+            own = [(p, t, link, int(good)) for (p, t, link), good in zip(page, labels)]
             rows = own if k % 2 else rearranged(page, spare, draw)
             if len(rows) > LONGEST:  # a stretch of a long page, as a page
                 at = int(draw.integers(0, len(rows) - LONGEST + 1))
@@ -379,16 +450,14 @@ def train(pages: DataFrame, sample: int = SAMPLE, steps: int = STEPS) -> Labelle
 
 # --- extraction -----------------------------------------------------------------------------
 
-_PATHS = Paths()
-
-
 def extract(pages: DataFrame, labeller: Labeller | None) -> DataFrame:
     """One row per page: page_id, url, text (its main blocks in page order, one per line) and n_chars
     (code points).
 
     Character references are decoded, white space inside a block becomes one space. A null or blank
-    page, or one without main blocks, has an empty text. Without a labeller the plain structural rule
-    decides. Repeated rows each get a row; other columns are not read.
+    page, or one without main blocks, has an empty text. Without a labeller the structure of each page
+    decides. Repeated rows each get a row, an empty table gives none; pages of any length are read
+    whole; other columns are not read.
     """
     shared = pages.sparkSession.sparkContext.broadcast(labeller)
 
@@ -396,16 +465,13 @@ def extract(pages: DataFrame, labeller: Labeller | None) -> DataFrame:
         net = shared.value
         for whole in batches:
             for batch in slices(whole, "html", 1 << 20):
-                if len(_PATHS.words) > _KEPT_PATHS:
-                    _PATHS.clear()
-                found = [blocks(page, _PATHS) if page else [] for page in batch.column(2).to_pylist()]
+                found = [blocks(page) if page else [] for page in batch.column(2).to_pylist()]
                 every = [b for page in found for b in page]
-                words = [_PATHS.words[b[0]] for b in every]
                 first = np.concatenate([[0], np.cumsum([len(page) for page in found])])
                 if net is None or not every:
-                    good = [plain_label(w) for w in words]
+                    good = [g for page in found for g in plain_labels([b[0] for b in page], guess=True)]
                 else:
-                    x = features(words, [b[1] for b in every], np.array([b[2] for b in every]))
+                    x = features([b[0] for b in every], [b[1] for b in every], np.array([b[2] for b in every]))
                     good = (net.logits(x, first) > 0).tolist()
                 texts = [
                     "\n".join([every[k][1] for k in range(a, b) if good[k]])

@@ -333,6 +333,47 @@ def test_common_added_spans_are_found(spark):
         if doc_id < 1000:  # numbers that fail their check stay
             assert found[doc_id] == base_spans(text)
 
+
+def test_trees_read_format_and_surroundings(spark):
+    """Looser forms count where they stand like valid spans, not behind a reference or between words."""
+    draw = np.random.default_rng(6)
+    words = ["word", "some", "Then", "they", "went", "out", "again", "over", "there", "mail", "call"]
+
+    def some(n):
+        return " ".join(draw.choice(words, n))
+
+    def number():
+        return f"({draw.integers(200, 999)}) {draw.integers(200, 999)}-{draw.integers(1000, 9999)}"
+
+    def card():
+        digits = [4, *draw.integers(0, 10, 14).tolist()]
+        total = sum(d * 2 - 9 * (d > 4) if i % 2 == 0 else d for i, d in enumerate(digits))
+        return "".join(map(str, digits)) + str(-total % 10)
+
+    rows = [
+        (i, f"{some(4)} +1 {number()} {some(3)} jo.{i}@mail{i % 9}.example.com {some(4)} {card()} {some(3)} {card()[:12]} and 300.{i}.1.1, {some(3)} +12-3{i}")
+        for i in range(300)
+    ]
+    rows += [(1000 + i, f"{some(4)} {number()} {some(2)}") for i in range(60)]
+    rows += [(2000 + i, f"see {['section', 'rule', 'page'][i % 3]} {number()} of the code") for i in range(60)]
+    rows += [(3000 + i, f"{some(3)} jo.{i} [at] mail{i % 9}.example.com {some(2)}") for i in range(60)]
+    rows += [(4000 + i, f"and so {['we met', 'they were'][i % 2]} [at] home.base today") for i in range(60)]
+    frame = documents(spark, rows)
+    model = pii.train(frame)
+
+    def used(node):
+        return {node[0]} | used(node[2]) | used(node[3]) if isinstance(node, tuple) else set()
+
+    assert len(set().union(*map(used, model.trees))) >= 4
+    assert len(set(model.thresholds.values())) > 1
+    found = {r.doc_id: r.spans for r in pii.digest(pii.find(frame, model)).collect()}
+    share = lambda low: np.mean([found[low + i] != "" for i in range(60)])
+    assert share(1000) > 0.95 and share(3000) > 0.95
+    assert share(2000) == 0 and share(4000) == 0
+    for doc_id, text in rows[:300]:
+        assert set(base_spans(text).split(",")) <= set(found[doc_id].split(","))
+
+
 # --- language model ---------------------------------------------------------------------------
 
 

@@ -6,12 +6,12 @@ card numbers in a row, a phone number followed by an address), and looser forms
 each candidate by its format and surroundings alone: the check of its kind (Luhn, octets, number of
 digits) is no feature, so they cannot repeat it. An added span has to pass both, check and score.
 
-The trees learn from a bounded sample of documents: from candidates that the rule of their kind judges
+The trees learn from all documents: from candidates that the rule of their kind judges
 (base matches and the tighter forms inside them), from valid ones respelt in the looser forms where they
 stand, and from decoys, which look the same in other places: numbers behind words that announce a
-reference, and words of the text on both sides of a spelt at sign. An isotonic fit on a held-out part of
-the sample sets, for each kind, the lowest score from which nine of ten of these are good. The looser
-forms that a text itself holds teach nothing and set no threshold; they are only scored.
+reference, and words of the text on both sides of a spelt at sign. A quarter of the documents is held
+out; an isotonic fit on it sets, for each kind, the lowest score from which nine of ten of these are good. The
+looser forms that a text itself holds teach nothing and set no threshold; they are only scored.
 
 A document's candidates stay in its row, so scoring moves nothing. No pattern backtracks over more
 than one run of its characters, so long texts cost linear time.
@@ -25,11 +25,10 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from backhaul.llm.sampling import ROW, distinct_rows, rows_of, sampled
+from backhaul.llm.sampling import ROW, distinct_rows, row_key, rows_of, sampled
 from backhaul.llm.scratch import stored
 
 KINDS = ["email", "ip", "card", "phone"]
-SAMPLE = 3000  # documents that the trees learn from
 PRECISION = 0.9
 _TREES, _DEPTH, _BINS = 12, 4, 20
 
@@ -298,27 +297,32 @@ def _thresholds(rows: list) -> dict[int, float]:
     return out
 
 
-def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
-    """Fit the trees on the candidates of at most `sample` documents, those with the lowest hash of
-    doc_id and text among those with an at sign or a number; repeated rows count once; a quarter of them sets the thresholds. Without both good
-    and bad examples the model is empty, and only base spans count."""
+def train(docs: DataFrame, sample: int | None = None) -> Model:
+    """Fit the trees on the candidates of all documents, or of at most `sample` of them, those with the
+    lowest hash of doc_id and text; repeated rows count once; a quarter of them sets the thresholds.
+    Without both good and bad examples the model is empty, and only base spans count."""
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.feature import VectorAssembler
 
-    likely = distinct_rows(docs.where(F.col("text").rlike("@|[0-9][^A-Za-z]?[0-9]")))
-    chosen = sampled(likely, sample)
-    texts = rows_of(docs, chosen, "doc_id", "text", ROW)
+    # No candidate that teaches anything is without one of these.
+    texts = docs.where(F.col("text").rlike("[@0-9]"))
+    if sample is None:
+        texts = texts.select("doc_id", "text", row_key().alias(ROW))
+    else:
+        texts = rows_of(texts, sampled(distinct_rows(texts), sample), "doc_id", "text", ROW)
     # The outer form: Spark would filter by the inner one first and so find all spans twice.
-    each = candidates(texts, F.col(ROW)).select("_row", F.explode_outer("spans").alias("s")).where("s is not null")
+    each = candidates(texts, F.col(ROW)).select("_row", F.posexplode_outer("spans").alias("at", "s")).where("s is not null")
     names = [f"f{i}" for i in range(len(features(F.col("s"))))]
-    taught = each.select("_row", F.explode(_examples(F.col("s"))).alias("e"))
+    taught = each.select("_row", "at", F.posexplode(_examples(F.col("s"))).alias("of", "e"))
     judged = taught.select(
-        (F.xxhash64("_row") % 4 == 0).alias("held"),
+        "_row",
+        "at",
+        "of",
         F.col("e.kind").alias("kind"),
         F.col("e.good").cast("double").alias("label"),
         *[f.alias(n) for f, n in zip(features(F.col("e")), names)],
-    )
-    rows = stored(judged, "pii-sample")
+    ).distinct()
+    rows = stored(judged.select((F.xxhash64("_row") % 4 == 0).alias("held"), "kind", "label", *names), "pii-examples")
     fit = rows.where("not held")
     if fit.select("label").distinct().count() < 2:
         return Model()

@@ -218,3 +218,25 @@ def test_samples_are_bounded_by_rows(spark, monkeypatch):
     pii.train(docs, sample=5)
     pii.train(docs, sample=100)
     assert seen == [5, 47]
+
+
+def test_personal_data_is_learnt_from_every_document(spark, monkeypatch):
+    # More documents than the trees once learnt from; some come twice, which counts once.
+    rows = [(i, f"mail a{i}@b.example or +1 555 {100 + i % 900} {1000 + i} now, not +1 -- 2{i % 7}") for i in range(3200)]
+    docs = documents(spark, rows + rows[:100])
+    seen, taught = [], []
+    find, keep = pii.candidates, pii.stored
+    monkeypatch.setattr(pii, "candidates", lambda texts, *row: seen.append(texts.count()) or find(texts, *row))
+
+    def kept(df, label):
+        out = keep(df, label)
+        taught.append(out.groupBy("kind", "label").count().collect())
+        return out
+
+    monkeypatch.setattr(pii, "stored", kept)
+    pii.train(docs)
+    assert seen == [3300]
+    email, phone = pii.KINDS.index("email"), pii.KINDS.index("phone")
+    n = {(r.kind, r.label): r["count"] for r in taught[0]}
+    # An address teaches itself and a respelt form; a number itself, another form, and two decoys.
+    assert n[email, 1.0] == 2 * 3200 and n[phone, 1.0] == 2 * 3200 and n[phone, 0.0] >= 3 * 3200

@@ -20,11 +20,27 @@ SETTINGS = {
     "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
 }
 
+# Where the session does not say otherwise: tasks stay small however large the tables, so that they sort
+# and fold in memory (AQE merges partitions that turn out smaller), and files take little space.
+SIZES = {
+    "spark.sql.files.maxPartitionBytes": "32m",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16m",
+    "spark.sql.parquet.compression.codec": "zstd",
+}
+# Partitions a shuffle starts with, at least. Up to this many, rows go straight to files, unsorted.
+PARTITIONS = 200
+
 
 def configure(spark: SparkSession) -> SparkSession:
-    """Apply the settings every job here relies on; sizing settings stay the cluster's own."""
+    """Apply the settings every job here relies on, and sizes of tasks that the session leaves open."""
     for key, value in SETTINGS.items():
         spark.conf.set(key, value)
+    for key, value in SIZES.items():
+        if spark.conf.get(key, None) is None:
+            spark.conf.set(key, value)
+    first = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    if spark.conf.get(first, None) is None:
+        spark.conf.set(first, str(max(PARTITIONS, int(spark.conf.get("spark.sql.shuffle.partitions")))))
     return spark
 
 

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import Row
 
 from backhaul.operators import quality
+from backhaul.session import configure
 
 
 def found(report):
@@ -79,3 +80,12 @@ def test_nothing_to_check_fails(spark):
         quality.integrity_report({})
     with pytest.raises(ValueError):
         quality.unique_violations({"orders": spark.range(1)})
+
+
+def test_one_task_checks_few_references(spark):
+    """A parent's keys reach tasks in bounded parts, whatever the session's number of partitions."""
+    one, own = configure(spark.newSession()), spark.newSession()
+    assert int(one.conf.get("spark.sql.adaptive.coalescePartitions.initialPartitionNum")) >= 200
+    assert one.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes") == "16m"
+    own.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "5m")
+    assert configure(own).conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes") == "5m"

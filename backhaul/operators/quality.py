@@ -114,21 +114,24 @@ def domain_violations(frames: Frames) -> DataFrame:
     return _stack(parts)
 
 
-def _marks(table: Table, df: DataFrame) -> DataFrame:
-    """rule, column_name and value of everything in a row that a rule looks at or finds at fault."""
+def _marks(table: Table, df: DataFrame, scopes: list[tuple[str, str, str]], children: Mapping[str, list]) -> DataFrame:
+    """scope, slot and value of everything in a row that a rule looks at or finds at fault. The scope is
+    a rule of a column; references lie in the scope of the key they refer to, in a slot of their own."""
 
-    def mark(rule: str, column: str, when: Column, value: Column) -> Column:
-        return F.when(when, F.struct(F.lit(rule).alias("rule"), F.lit(column).alias("column_name"), value.alias("value")))
+    def mark(scope: tuple[str, str, str], slot: int, when: Column, value: Column) -> Column:
+        return F.when(when, F.struct(F.lit(scopes.index(scope)).alias("scope"), F.lit(slot).alias("slot"), value.alias("value")))
 
     def text(column: str) -> Column:
         return F.col(column).cast("string")
 
-    known = [c for c in table.columns if c in df.columns]
-    marks = [mark(KEY, table.key, F.lit(True), text(table.key))] if table.key in known else []
-    marks += [mark(UNIQUE, c, F.col(c).isNotNull(), text(c)) for c in table.unique if c in known]
-    marks += [mark(REFERENCE, c, F.col(c).isNotNull(), text(c)) for c in table.references if c in known]
-    marks += [mark(REQUIRED, c, F.col(c).isNull(), F.lit(None).cast("string")) for c in table.required if c in known]
-    marks += [mark(DOMAIN, c, ~F.col(c).isin(*d), text(c)) for c, d in table.domains.items() if c in known]
+    name, known = table.name, [c for c in table.columns if c in df.columns]
+    marks = [mark((KEY, name, table.key), 0, F.lit(True), text(table.key))] if table.key in known else []
+    marks += [mark((UNIQUE, name, c), 0, F.col(c).isNotNull(), text(c)) for c in table.unique if c in known]
+    for parent, columns in children.items():
+        own = [(slot, c) for slot, (child, c) in enumerate(columns, 1) if child == name and c in known]
+        marks += [mark((KEY, parent, TABLES[parent].key), slot, F.col(c).isNotNull(), text(c)) for slot, c in own]
+    marks += [mark((REQUIRED, name, c), 0, F.col(c).isNull(), F.lit(None).cast("string")) for c in table.required if c in known]
+    marks += [mark((DOMAIN, name, c), 0, ~F.col(c).isin(*d), text(c)) for c, d in table.domains.items() if c in known]
     return df.select(F.inline(F.array_compact(F.array(*marks))))
 
 
@@ -137,24 +140,39 @@ def integrity_report(frames: Frames) -> DataFrame:
     n_rows`; rows without findings are not listed.
 
     Each table is read once: its rows give what all rules look at, counted per rule and value before
-    and after one shuffle, and written down. Repeated keys, nulls and values outside domains are read
-    off these counts. References are compared with the keys that the same counts hold of the parent,
-    so a parent is not read again; references to tables that are not given are not checked.
+    and after one shuffle; what breaks a rule is written down. References are counted beside the keys they
+    refer to, so that none is joined with its parent; references to tables that are not given are not
+    checked.
     """
     if not frames:
         raise ValueError("no table given")
-    counts = [
-        _marks(TABLES[name], df).groupBy(F.lit(name).alias("table_name"), "rule", "column_name", "value").agg(F.count("*").alias("n_rows"))
-        for name, df in frames.items()
-    ]
-    seen = written(reduce(DataFrame.unionByName, counts), "integrity")
-    rule, null, several = F.col("rule"), F.col("value").isNull(), F.col("n_rows") > 1
-    broken = rule.isin(REQUIRED, DOMAIN) | ((rule == KEY) & (null | several)) | ((rule == UNIQUE) & several)
-    parents = [(n, c, p) for n in frames for c, p in TABLES[n].references.items() if p in frames]
-    parent = F.lit(None).cast("string")
-    for name, column, to in parents:
-        parent = F.when((F.col("table_name") == name) & (F.col("column_name") == column), to).otherwise(parent)
-    used = seen.where(rule == REFERENCE).withColumn("parent", parent).where("parent is not null")
-    keys = seen.where((rule == KEY) & ~null).select(F.col("table_name").alias("parent"), "value")
-    columns = ("rule", "table_name", "column_name", "value", "n_rows")
-    return seen.where(broken).select(*columns).union(used.join(keys, ["parent", "value"], "left_anti").select(*columns))
+    children: dict[str, list[tuple[str, str]]] = {n: [] for n in frames}
+    scopes: list[tuple[str, str, str]] = []
+    for n in frames:
+        t = TABLES[n]
+        scopes += [(KEY, n, t.key), *[(UNIQUE, n, c) for c in t.unique]]
+        scopes += [*[(REQUIRED, n, c) for c in t.required], *[(DOMAIN, n, c) for c in t.domains]]
+        for column, parent in t.references.items():
+            if parent in frames:
+                children[parent].append((n, column))
+    slots = range(max(map(len, children.values())) + 1)
+    marks = _stack([_marks(TABLES[n], df, scopes, children) for n, df in frames.items()])
+    seen = marks.groupBy("scope", "value").agg(*[F.count_if(F.col("slot") == i).alias(f"n{i}") for i in slots])
+
+    def at(part: int) -> Column:
+        return F.get(F.array(*[F.lit(s[part]) for s in scopes]), F.col("scope"))
+
+    def finding(when: Column, rule: Column, table: Column, column: Column, n: Column) -> Column:
+        named = {"rule": rule, "table_name": table, "column_name": column, "value": F.col("value"), "n_rows": n}
+        return F.when(when, F.struct(*[c.alias(k) for k, c in named.items()]))
+
+    null, several = F.col("value").isNull(), F.col("n0") > 1
+    broken = at(0).isin(REQUIRED, DOMAIN) | ((at(0) == KEY) & (null | several)) | ((at(0) == UNIQUE) & several)
+    found = [finding(broken & (F.col("n0") > 0), at(0), at(1), at(2), F.col("n0"))]
+    for parent, columns in children.items():
+        here = F.col("scope") == scopes.index((KEY, parent, TABLES[parent].key))
+        for slot, (child, column) in enumerate(columns, 1):
+            n = F.col(f"n{slot}")
+            lost = here & (F.col("n0") == 0) & (n > 0)
+            found.append(finding(lost, F.lit(REFERENCE), F.lit(child), F.lit(column), n))
+    return written(seen.select(F.inline(F.array_compact(F.array(*found)))), "integrity")

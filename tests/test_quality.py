@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import pytest
 from pyspark.sql import Row
+from pyspark.sql import functions as F
 
 from backhaul.operators import quality
 from backhaul.session import configure
@@ -82,6 +83,23 @@ def test_nothing_to_check_fails(spark):
         quality.unique_violations({"orders": spark.range(1)})
 
 
+def test_report_joins_nothing_and_writes_findings_only(spark, seed, monkeypatch):
+    frames = {n: seed.table(n) for n in ("customers", "products", "orders", "order_items", "returns")}
+    orders = frames["orders"].withColumn("customer_id", F.when(F.col("order_id") == 1001, -1).otherwise(F.col("customer_id")))
+    plans, keep = [], quality.written
+
+    def kept(df, label):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return keep(df, label)
+
+    monkeypatch.setattr(quality, "written", kept)
+    report = quality.integrity_report({**frames, "orders": orders})
+    assert found(report) == [("foreign_key", "orders", "customer_id", "-1", 1)]
+    assert len(plans) == 1 and "Join" not in plans[0]
+    # One shuffle in all, after rows were counted per value.
+    assert plans[0].count("Exchange hashpartitioning") == 1 and "partial_count" in plans[0]
+
+
 def test_one_task_checks_few_references(spark):
     """A parent's keys reach tasks in bounded parts, whatever the session's number of partitions."""
     one, own = configure(spark.newSession()), spark.newSession()

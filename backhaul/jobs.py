@@ -7,8 +7,9 @@ from collections.abc import Callable
 from datetime import datetime
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from backhaul import schemas, sources
 from backhaul.operators.dedupe import dedupe_returns
@@ -30,6 +31,19 @@ class Load(NamedTuple):
     rejected: int
 
 
+def ranked_files(rows: DataFrame) -> DataFrame:
+    """Rows as read from files, the file of their `ingest_seq` given by its rank among the names: as good
+    an order, without a path in every row that is sorted. One row per file is broadcast."""
+    order = rows.schema[SEQ].dataType
+    if not isinstance(order, StructType) or "file" not in order.fieldNames():
+        return rows
+    names = rows.select(F.col(f"{SEQ}.file").alias("_file")).distinct()
+    ranks = names.withColumn("_rank_of_file", F.row_number().over(Window.orderBy("_file")))
+    rest = [F.col(f"{SEQ}.{c}").alias(c) for c in order.fieldNames() if c != "file"]
+    placed = rows.join(F.broadcast(ranks), F.col(f"{SEQ}.file").eqNullSafe(F.col("_file")))
+    return placed.withColumn(SEQ, F.struct(F.col("_rank_of_file").alias("file"), *rest)).select(*rows.columns)
+
+
 def upsert(
     old: Warehouse,
     new: Warehouse,
@@ -55,7 +69,7 @@ def upsert(
         loaded, rejected = rows.agg(F.count_if(good), F.count_if(~good)).first()
         if rejected:
             new.write_rejects(name, rows.where(~good))
-        fit = rows.where(good)
+        fit = ranked_files(rows.where(good))
         rows_of_key = latest(fit) if latest else fit
         merged = merge_upsert(
             old.table(name), rows_of_key, table, SEQ, loaded_at, unique=latest is not None, few=loaded <= FEW_ROWS

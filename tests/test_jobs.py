@@ -138,3 +138,15 @@ def test_a_write_that_broke_off_is_not_read(spark, seed, tmp_path):
 def test_training_without_returns_fails(spark, tmp_path):
     with pytest.raises(RuntimeError, match="labelled"):
         jobs.train(Warehouse(spark, f"{tmp_path}/a"), f"{tmp_path}/model")
+
+
+def test_rows_are_sorted_by_the_rank_of_their_file(spark):
+    """Loads carry no path per row, and rank files as their names order them."""
+    places = [("file:/b", 0, 1), ("file:/a", 0, 7), ("file:/a", 9, 2), ("file:/b", 0, 0), ("file:/aa", 0, 0)]
+    rows = spark.createDataFrame([(i, p) for i, p in enumerate(places)], "id long, ingest_seq struct<file:string,block:long,row:long>")
+    ranked = jobs.ranked_files(rows)
+    assert ranked.columns == rows.columns and ranked.schema["ingest_seq"].dataType["file"].dataType.typeName() == "integer"
+    order = lambda df: [r.id for r in df.orderBy("ingest_seq").collect()]
+    assert order(ranked) == order(rows) == [1, 2, 4, 3, 0]
+    plain = spark.createDataFrame([(1, 2)], "id long, ingest_seq long")
+    assert jobs.ranked_files(plain) is plain

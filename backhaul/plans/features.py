@@ -37,14 +37,19 @@ def _features(
     purchases = returns.where(rows).join(
         order_items.select("order_item_id", "order_id"), "order_item_id"
     ).join(orders.select("order_id", "order_date"), "order_id")
-    return join_per_key(purchases, counts, "customer_id").select(
+    # Only what the result holds goes on to the last shuffle.
+    known = purchases.select(
         "return_id",
+        "customer_id",
         *label,
         "refund_amount",
         "restocking_fee",
         "cycle_time_hours",
         *CATEGORICAL_FEATURES,
         days_between(F.col("return_date"), F.col("order_date")).alias("days_since_purchase"),
+    )
+    return join_per_key(known, counts, "customer_id").select(
+        *[c for c in known.columns if c != "customer_id"],
         F.coalesce("lifetime_returns", F.lit(0)).alias("customer_lifetime_returns"),
     )
 

@@ -211,3 +211,12 @@ LAZY = sorted(set(QUERIES) - {"logistic_regression", "score_returns", "run_etl"}
 def test_no_cross_join_and_no_python(spark, name):
     plan = planned(QUERIES[name](open_tables(spark, str(SF_DIR))))
     assert not [bad for bad in ("CartesianProduct", "BroadcastNestedLoopJoin", "Python", "Pandas") if bad in plan]
+
+
+def test_features_carry_little_to_the_last_shuffle(hot):
+    """The join with customers moves no dates, which are days by then, and one bit for a second key."""
+    frame = features.training_frame(*[hot[n] for n in ("returns", "order_items", "orders", "customers")])
+    plan = frame._jdf.queryExecution().optimizedPlan().toString()
+    moved = plan.split("Join LeftOuter")[1].splitlines()[1]
+    assert "AS _guard" in moved and "pmod(" in moved
+    assert "AS days_since_purchase" in moved

@@ -12,7 +12,7 @@ from functools import cache
 from pyspark.sql import DataFrame, SparkSession
 
 from backhaul.plans.signals import all_signals, signal_log
-from backhaul.session import configure, scratch_path
+from backhaul.session import configure_tables, scratch_path
 from backhaul.sources.warehouse import Warehouse, append_lines, write_csv
 
 LOADED_AT = datetime(2002, 1, 1)
@@ -204,4 +204,4 @@ def _open(spark: SparkSession, source: str) -> SampleWarehouse:
 
 def open_tables(spark: SparkSession, source: str) -> SampleWarehouse:
     """The derived warehouse of a folder of test tables; one per session and folder."""
-    return _open(configure(spark), source.rstrip("/"))
+    return _open(configure_tables(spark), source.rstrip("/"))

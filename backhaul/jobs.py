@@ -17,7 +17,7 @@ from backhaul.operators.upsert import FEW_ROWS, merge_upsert, storable, update_s
 from backhaul.plans import features, model
 from backhaul.plans.cleaning import normalize_returns
 from backhaul.plans.signals import all_signals, history_bounds, signal_log
-from backhaul.session import configure, staged
+from backhaul.session import configure_tables, staged
 from backhaul.sources.csv import SEQ
 from backhaul.sources.warehouse import Warehouse
 
@@ -88,7 +88,7 @@ def run_etl(
     from the file and keeps `fraud_score`, so a flag set by scoring lasts until the next load
     of that return.
     """
-    spark, raw = configure(old.spark), raw_dir.rstrip("/")
+    spark, raw = configure_tables(old.spark), raw_dir.rstrip("/")
     batches = {
         "customers": sources.read_customers(spark, f"{raw}/customers.csv"),
         "products": sources.read_products(spark, f"{raw}/products.csv"),
@@ -109,7 +109,7 @@ def compute_signals(store: Warehouse, created_at: datetime, since: datetime | No
     can see of the history: what an hourly run needs. `created_at` names the run: one that is in the log
     already is not logged again, so a job may be repeated. Returns whether it was logged.
     """
-    configure(store.spark)
+    configure_tables(store.spark)
     if store.has_signals_of(created_at):
         return False
     returns = store.table("returns")
@@ -129,7 +129,7 @@ def _feature_tables(store: Warehouse) -> list[DataFrame]:
 
 def train(store: Warehouse, model_path: str) -> str:
     """Fit the fraud model on all labelled returns and save it."""
-    configure(store.spark)
+    configure_tables(store.spark)
     fitted = model.fit_stored(features.training_frame(*_feature_tables(store)))
     model.save(fitted, model_path)
     return model_path
@@ -140,7 +140,7 @@ def score_returns(old: Warehouse, new: Warehouse, model_path: str) -> int:
 
     Writes nothing if there is nothing to score.
     """
-    fitted = model.load(configure(old.spark), model_path)
+    fitted = model.load(configure_tables(old.spark), model_path)
     probabilities = model.score(fitted, features.scoring_frame(*_feature_tables(old)))
     with staged(model.stored_scores(probabilities), "scores") as scores:
         scored = scores.count()

@@ -31,11 +31,16 @@ SIZES = {
 PARTITIONS = 200
 
 
-def configure(spark: SparkSession) -> SparkSession:
+# Where the session does not say otherwise, for queries over tables: the JVM interprets methods of more than 8000
+# bytes for good, such as those that clean many columns. Spark then generates several smaller ones instead.
+METHODS = {"spark.sql.codegen.hugeMethodLimit": "8000"}
+
+
+def configure(spark: SparkSession, sizes: dict[str, str] = SIZES) -> SparkSession:
     """Apply the settings every job here relies on, and sizes of tasks that the session leaves open."""
     for key, value in SETTINGS.items():
         spark.conf.set(key, value)
-    for key, value in SIZES.items():
+    for key, value in sizes.items():
         if spark.conf.get(key, None) is None:
             spark.conf.set(key, value)
     first = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
@@ -44,6 +49,11 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def configure_tables(spark: SparkSession) -> SparkSession:
+    """`configure` for jobs and queries over tables, whose stages may clean many columns at once."""
+    return configure(spark, SIZES | METHODS)
+
+
 @cache
 def _package_zip() -> str:
     """This package as a zip file on the driver, for `addPyFile`."""

@@ -18,6 +18,7 @@ from backhaul.functions import (
     trailing_months,
 )
 from backhaul.functions.text import CONDITION_ALIASES, REASON_ALIASES, WHITESPACE
+from backhaul.session import configure_tables
 from backhaul.schemas import CONDITIONS, RETURN_REASONS
 from conftest import day
 
@@ -114,3 +115,12 @@ def test_trailing_months_start_on_the_first(spark, as_of, months, start):
     )
     kept = df.where(trailing_months(F.col("t"), months, day(as_of))).collect()
     assert [r.t for r in kept] == [day(start)]
+
+
+def test_methods_for_queries_over_tables_are_compiled(spark):
+    """The JVM compiles no method of more than 8000 bytes; a session's own limit stays."""
+    one, own = configure_tables(spark.newSession()), spark.newSession()
+    assert one.conf.get("spark.sql.codegen.hugeMethodLimit") == "8000"
+    assert one.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes") == "16m"
+    own.conf.set("spark.sql.codegen.hugeMethodLimit", "20000")
+    assert configure_tables(own).conf.get("spark.sql.codegen.hugeMethodLimit") == "20000"

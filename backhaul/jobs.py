@@ -13,7 +13,7 @@ from pyspark.sql.types import StructType
 
 from backhaul import schemas, sources
 from backhaul.operators.dedupe import dedupe_returns
-from backhaul.operators.upsert import FEW_ROWS, merge_upsert, storable, update_scores
+from backhaul.operators.upsert import FEW_ROWS, fill_scores, merge_upsert, scored_again, storable, update_scores
 from backhaul.plans import features, model
 from backhaul.plans.cleaning import normalize_returns
 from backhaul.plans.signals import all_signals, history_bounds, signal_log
@@ -145,6 +145,9 @@ def score_returns(old: Warehouse, new: Warehouse, model_path: str) -> int:
     with staged(model.stored_scores(probabilities), "scores") as scores:
         scored = scores.count()
         if scored:
-            new.write("returns", update_scores(old.table("returns"), scores))
+            returns = old.table("returns")
+            # A key that repeats may have rows with and without a score; all take the new one.
+            put = update_scores if scored_again(returns, scores) else fill_scores
+            new.write("returns", put(returns, scores))
     log.info("New scores for %d returns", scored)
     return scored

@@ -144,3 +144,16 @@ def update_scores(returns: DataFrame, scores: DataFrame) -> DataFrame:
         )
         .select(*returns.columns)
     )
+
+
+def scored_again(returns: DataFrame, scores: DataFrame) -> bool:
+    """Whether new scores meet a return that has one already. Looks at ids only."""
+    ids = returns.where(F.col("fraud_score").isNotNull()).select("return_id")
+    return not ids.join(scores.select("return_id"), "return_id", "left_semi").isEmpty()
+
+
+def fill_scores(returns: DataFrame, scores: DataFrame) -> DataFrame:
+    """`update_scores` for scores that meet no return that has one already (see `scored_again`): only
+    returns without a score are shuffled to meet them."""
+    missing = F.col("fraud_score").isNull()
+    return returns.where(~missing).unionByName(update_scores(returns.where(missing), scores))

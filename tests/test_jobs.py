@@ -150,3 +150,27 @@ def test_rows_are_sorted_by_the_rank_of_their_file(spark):
     assert order(ranked) == order(rows) == [1, 2, 4, 3, 0]
     plain = spark.createDataFrame([(1, 2)], "id long, ingest_seq long")
     assert jobs.ranked_files(plain) is plain
+
+
+def test_scoring_takes_rows_of_a_repeated_return_together(spark, seed, tmp_path, monkeypatch):
+    """A return with rows with and without a score gets the new one in all of them."""
+    store = Warehouse(spark, f"{tmp_path}/v1")
+    for name in ("customers", "products", "orders", "order_items"):
+        store.write(name, seed.table(name))
+    returns = seed.table("returns")
+    first = returns.where("return_id = 9001").withColumn("fraud_score", F.lit("0.123").cast("decimal(4,3)"))
+    store.write("returns", returns.unionByName(first))
+    path = jobs.train(store, f"{tmp_path}/model")
+    new = store.next(f"{tmp_path}/v2")
+    assert jobs.score_returns(store, new, path) == 4
+    rows = new.table("returns").where("return_id = 9001").collect()
+    assert len(rows) == 2 and len({r.fraud_score for r in rows}) == 1
+    # Others that have a score keep it.
+    kept = Warehouse(spark, f"{tmp_path}/w1", *store.paths)
+    scored = F.when(F.col("return_id") == 9002, F.lit("0.123").cast("decimal(4,3)"))
+    kept.write("returns", returns.withColumn("fraud_score", scored))
+    last = kept.next(f"{tmp_path}/w2")
+    monkeypatch.setattr(jobs, "update_scores", None)  # all rows need not be shuffled for that
+    assert jobs.score_returns(kept, last, path) == 3
+    out = {r.return_id: str(r.fraud_score) for r in last.table("returns").collect()}
+    assert len(out) == 4 and out[9002] == "0.123" and "None" not in out.values()

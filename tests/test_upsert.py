@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from backhaul import schemas
 from backhaul.operators import insert_if_absent, merge_upsert, update_scores, upsert
-from backhaul.operators.upsert import conform
+from backhaul.operators.upsert import conform, fill_scores, scored_again
 from conftest import day
 
 LOADED = day("2026-02-02")
@@ -138,3 +138,26 @@ def test_scores_touch_only_scored_rows(spark, seed):
     scores = scores.withColumn("fraud_score", F.col("fraud_score").cast("decimal(4,3)"))
     out = {r.return_id: (r.fraud_score, r.fraud_flagged) for r in update_scores(seed.table("returns"), scores).collect()}
     assert out == {9001: (Decimal("0.812"), True), 9002: (None, False), 9003: (None, False), 9004: (Decimal("0.100"), False)}
+
+
+def test_only_returns_without_a_score_move_for_new_scores(spark, tmp_path):
+    rows = [(1, None), (1, None), (2, "0.200"), (3, None), (None, None), (None, "0.300")]
+    cells = "return_id long, fraud_score string"
+    returns = spark.createDataFrame(rows, cells).selectExpr(
+        "return_id", "cast(fraud_score as decimal(4,3)) as fraud_score", "return_id = 2 as fraud_flagged"
+    )
+    scores = spark.createDataFrame([(1, "0.812"), (1, "0.900"), (None, "0.100")], cells).selectExpr(
+        "return_id", "cast(fraud_score as decimal(4,3)) as fraud_score", "true as fraud_flagged"
+    )
+    assert not scored_again(returns, scores)
+    filled = fill_scores(returns, scores)
+    assert filled.schema == update_scores(returns, scores).schema
+    assert sorted(map(str, filled.collect())) == sorted(map(str, update_scores(returns, scores).collect()))
+    # Rows that have a score do not come to the join.
+    returns.write.parquet(f"{tmp_path}/returns")
+    moved = fill_scores(spark.read.parquet(f"{tmp_path}/returns"), scores)
+    below = moved._jdf.queryExecution().optimizedPlan().toString().split("Join LeftOuter")[1]
+    assert "isnull(fraud_score" in below
+    # A score for a return that has one concerns its rows of either kind.
+    again = scores.unionByName(scores.limit(1).withColumn("return_id", F.lit(2).cast("long")))
+    assert scored_again(returns, again)
